@@ -16,7 +16,6 @@ of their own; draws depend on the rows alone, so reruns agree; an empty table gi
 
 from __future__ import annotations
 
-import itertools
 import math
 import random
 
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BLOCK = 2048
+LANDING = 10
 WEIGHTS = (5.0, 2.0, 1.0)
 RATIO = 1.5
 CAP = 2.0
@@ -91,13 +91,21 @@ def flight(size: list[int], p: list[float], draw: random.Random) -> list[float]:
     return p
 
 
-def landing(size: list[int], p: list[float]) -> list[float]:
-    """Rounds the fractional entries, two or three, so that words and then documents miss by least."""
-    open_ = [i for i, x in enumerate(p) if 0 < x < 1]
-    words, docs = sum(size[i] * p[i] for i in open_), sum(p[i] for i in open_)
-    best = min(itertools.product((0.0, 1.0), repeat=len(open_)), key=lambda z: (abs(sum(size[i] * x for i, x in zip(open_, z)) - words), abs(sum(z) - docs), z))
-    for i, x in zip(open_, best):
+def landing(size: list[int], p: list[float], draw: random.Random) -> list[float]:
+    """The last block of a source: LANDING units, evenly spread over the sizes, stay out of the flight; they and what
+    the flight leaves are rounded so that words, then documents, miss by least."""
+    wait = [i for i, x in sorted(enumerate(p), key=lambda y: (size[y[0]], y[0])) if 0 < x < 1]
+    wait = sorted({wait[k * (len(wait) - 1) // (LANDING - 1)] for k in range(LANDING)}) if wait else []
+    fly = [i for i in range(len(p)) if i not in set(wait)]
+    for i, x in zip(fly, flight([size[i] for i in fly], [p[i] for i in fly], draw)):
         p[i] = x
+    open_ = [i for i, x in enumerate(p) if 0 < x < 1]
+    if open_:
+        s, x = np.array([size[i] for i in open_]), np.array([p[i] for i in open_])
+        z = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+        miss = np.abs(z @ s - s @ x) + 0.01 * s.mean() * np.abs(z.sum(1) - x.sum())
+        for i, v in zip(open_, z[int(np.argmin(miss))].tolist()):
+            p[i] = float(v)
     return p
 
 
@@ -108,8 +116,7 @@ def level(units: DataFrame, last: bool) -> DataFrame:
         key = pd.util.hash_array(pdf["doc_id"].fillna(-1).to_numpy(np.int64))
         pdf = pdf.iloc[np.lexsort((pdf["size"].to_numpy(), pdf["doc_id"].fillna(-1).to_numpy(), key))]
         draw = random.Random(int(key.sum(dtype=np.uint64)))
-        size, p = pdf["size"].tolist(), flight(pdf["size"].tolist(), pdf["p"].tolist(), draw)
-        return pdf.assign(p=landing(size, p) if last else p)
+        return pdf.assign(p=(landing if last else flight)(pdf["size"].tolist(), pdf["p"].tolist(), draw))
 
     return units.groupBy("source", "block").applyInPandas(run, units.schema)
 
