@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate
 from .shared import table
 
+#: The registered queries' key. A real one is a secret that the caller passes.
+PII_KEY = "ledgerspark-example-key"
+
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
@@ -44,11 +48,27 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import COUNTED, pseudonymise
+
+    got = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return got.select("doc_id", "text", *((F.size("pii_kinds") - F.size(F.array_remove("pii_kinds", k))).cast("long").alias(f"n_{k}") for k in COUNTED))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    got = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_pii": op3_pii,
     "op4_tokens": op4_tokens,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op9_html": op9_html,
+    "op10_decontaminate": op10_decontaminate,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_decontaminate": decontaminate.SQL}
