@@ -42,6 +42,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    got = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return got.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -74,7 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_tokens": op4_tokens,
     "op5_toxicity": op5_toxicity,
+    "op6_repeats": op6_repeats,
     "op7_mixing": op7_mixing,
+    "op8_lm": op8_lm,
     "op9_html": op9_html,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -277,3 +277,19 @@ def toxicity(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 
     out = documents.select("doc_id", "text").mapInArrow(rows, "doc_id long, score double, bits long")
     return out.select("doc_id", held_out("doc_id", 3).alias("held_out"), "score", "bits")
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, cut: float = CUT, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of documents that score below cut, with all their columns."""
+    weights = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, max_train))
+
+    def rows(batches):
+        lex, w = lexicon(), weights.value
+        w = w * scale(np.arange(WIDTH))
+        for part, t in tk.pieces(batches, "text"):
+            b, h, own = votes_and_words(t, lex)
+            f, at = features(b, h, own)
+            z = tk.per_text_sum(w[f], at)
+            yield part.filter(pa.array(np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 9) < cut))
+
+    return documents.mapInArrow(rows, documents.schema)
