@@ -6,7 +6,7 @@ A document's set is its distinct SHINGLE-word shingles (64-bit hashes). Two docu
 The global order of shingles is by hash, with the most frequent shingles last, by frequency. The order is cut into
 fragments. In each fragment, classes that share a shingle of their prefixes (the first n - ceil(t n) + 1 shingles in
 the global order, of which linked sets share one) are candidates: all pairs of a small group; in a large group each
-class with the group's hub. The overlap of a candidate pair is counted in each fragment separately and summed per
+class with the group's hub. Bitmaps of the sets give each pair's overlap an upper bound that rules most out. The overlap of a candidate pair is counted in each fragment separately and summed per
 pair. Then, while a large group still holds several components, its classes are tried with other hubs, and last with
 every class outside their component, so no link between components is lost, and groups of copies cost as many pairs
 as they have members.
@@ -58,6 +58,35 @@ def class_of(s: np.ndarray) -> int:
     return int(tk.mix(np.array([tk.mix(s).sum(dtype=np.uint64) + tk.U(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle's residue, in 2,048 bits, or 16,384 for large sets."""
+    size = 2048 if len(s) <= 1500 else 16384
+    bits = np.zeros(size, bool)
+    bits[(tk.mix(s) & tk.U(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def possible(pairs: DataFrame, size: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps allow a link: each bit of one set that the other lacks is at least one shingle that it
+    lacks, so the overlap has an upper bound, and a pair below what a link needs is out."""
+
+    def rows(batches):
+        for b in batches:
+            na, nb = (b.column(i).to_numpy() for i in (2, 4))
+            keep = np.ones(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column(3), b.column(5))):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                if len(x) != len(y):
+                    m = min(len(x), len(y))
+                    x, y = (np.bitwise_or.reduce(z.reshape(-1, m), 0) for z in (x, y))
+                most = min(na[i] - int(np.bitwise_count(x & ~y).sum()), nb[i] - int(np.bitwise_count(y & ~x).sum()))
+                keep[i] = 100 * most >= PERCENT * (na[i] + nb[i] - most)
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    a, b = (size.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(rows, "a long, b long")
+
+
 def surveyed(documents: DataFrame) -> DataFrame:
     """kind 0: doc_id, n, c (class; null for an empty set). kind 1: a shingle that one task saw in LOCAL documents or more, and in how many."""
 
@@ -66,7 +95,7 @@ def surveyed(documents: DataFrame) -> DataFrame:
         for part, t in tk.pieces(batches, "text"):
             s = sets(t)
             n = np.array([len(x) for x in s])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column(0), pa.array(n), pa.array([class_of(x) if len(x) else None for x in s], pa.int64())], ["kind", "a", "n", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column(0), pa.array(n), pa.array([class_of(x) if len(x) else None for x in s], pa.int64()), pa.array(list(map(bitmap, s)), pa.binary())], ["kind", "a", "n", "c", "bits"])
             lists.extend(s)
             if len(lists) > 4000:  # keeps the counts of shingles seen twice or more
                 seen.append(counted(lists))
@@ -77,9 +106,9 @@ def surveyed(documents: DataFrame) -> DataFrame:
             u, inv = np.unique(k, return_inverse=True)
             c = np.bincount(inv, c, len(u)).astype(np.int64)
             u, c = u[c >= LOCAL], c[c >= LOCAL]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u.view(np.int64)), pa.array(c), pa.array(np.zeros(len(u), np.int64))], ["kind", "a", "n", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u.view(np.int64)), pa.array(c), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.binary())], ["kind", "a", "n", "c", "bits"])
 
-    return documents.select("doc_id", "text").mapInArrow(rows, "kind byte, a long, n long, c long")
+    return documents.select("doc_id", "text").mapInArrow(rows, "kind byte, a long, n long, c long, bits binary")
 
 
 def counted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -245,10 +274,15 @@ def near_duplicates(documents: DataFrame, rounds: int = 2) -> DataFrame:
     found = written(candidates(prefix_rows(documents, order, pieces), pieces), "near-candidates")
     tried = written(found.where("kind = 0").select("a", "b").distinct(), "near-pairs")
     groups = found.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("c"), "n")
-    wanted = tried.select(F.col("a").alias("c")).union(tried.select("b")).union(groups.select("c")).distinct()
-    size = written(docs.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(wanted, "c", "left_semi"), "near-classes")
-    segs = written(segments(documents, size.select("doc_id", "c")), "near-segments")
-    links = written(linked(tried, segs, size), "near-links")
+    size = written(survey.where("kind = 0 AND c IS NOT NULL").groupBy("c").agg(F.min("a").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits")), "near-classes")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = written(possible(pairs, size), "near-possible")
+        named = left.select(F.col("a").alias("c")).union(left.select("b")).distinct()
+        segs = written(segments(documents, size.join(named, "c", "left_semi").select("doc_id", "c")), "near-segments")
+        return written(linked(left, segs, size), "near-links")
+
+    links = verified(tried)
     labels = components(links)
     for k in range(rounds + 1):
         left = groups.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
@@ -263,7 +297,7 @@ def near_duplicates(documents: DataFrame, rounds: int = 2) -> DataFrame:
         new = left.join(hub, "token").where(f"label <> label2 AND 100 * least(n, n2) >= {PERCENT} * greatest(n, n2)").select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
         new = written(new.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         if new.head(1):
-            links = links.unionByName(written(linked(new, segs, size), "near-links"))
+            links = links.unionByName(verified(new))
             tried = tried.unionByName(new)
             labels = components(links)
     named = docs.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
