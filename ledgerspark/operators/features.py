@@ -41,7 +41,7 @@ def drop_high_missing(df: DataFrame, threshold: float = 0.7, essential: tuple[st
 
 def null_shares(df: DataFrame) -> DataFrame:
     shares = df.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in df.columns))
-    return shares.unpivot([], df.columns, "column", "null_share")
+    return shares.unpivot([], df.columns, "name", "null_share")
 
 
 def amount_features(df: DataFrame) -> DataFrame:

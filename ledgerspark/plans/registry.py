@@ -49,7 +49,7 @@ lk = lambda keys, aggs: f"(SELECT {keys}, {aggs} FROM t GROUP BY {keys})"  # noq
 
 op("scan_limited", [lambda t: t.orderBy(ID).limit(10_000)], f"{A}:4", f"SELECT * FROM t ORDER BY {ID} LIMIT 10000")
 op("left_join_identity", [], "DeviceInfo DeviceType", "SELECT t.TransactionID, i.DeviceInfo, i.DeviceType FROM t LEFT JOIN i USING (TransactionID)", view=lambda s, p: f.left_join_identity(txn_ev(s, p).drop("DeviceInfo"), ident_ev(s, p)))
-op("drop_high_missing", [f.null_shares], "column null_share:6", "SELECT column, null_share FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END) AS null_share FROM t" for c in "TransactionID TransactionDT TransactionAmt isFraud card1 card2 card4 card5 card6 ProductCD addr1 P_emaildomain DeviceInfo D1 dist1 proba".split()) + ")", key="")
+op("drop_high_missing", [f.null_shares], "name null_share:6", "SELECT name, null_share FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END) AS null_share FROM t" for c in "TransactionID TransactionDT TransactionAmt isFraud card1 card2 card4 card5 card6 ProductCD addr1 P_emaildomain DeviceInfo D1 dist1 proba".split()) + ")", key="")
 op("amount_features", [f.amount_features], "log_amount:6 sqrt_amount:6 amount_decimal:6 is_round_amount:i", f"SELECT *, ln(1+{A}) AS log_amount, sqrt({A}) AS sqrt_amount, {A}-floor({A}) AS amount_decimal, CASE WHEN {A}=floor({A}) THEN 1 ELSE 0 END AS is_round_amount FROM t")
 op("time_features", [f.time_features], "hour:i is_night:i day_of_week:i is_weekend:i month_approx:i", f"SELECT *, {HOUR} AS hour, CASE WHEN {HOUR} BETWEEN 0 AND 6 THEN 1 ELSE 0 END AS is_night, CAST(floor({DT}/86400) AS BIGINT)%7 AS day_of_week, CASE WHEN CAST(floor({DT}/86400) AS BIGINT)%7>=5 THEN 1 ELSE 0 END AS is_weekend, floor({DT}/2592000) AS month_approx FROM t")
 PROFILE = f"SELECT t.*, m AS user_avg_amt, coalesce(s,1.0) AS user_std_amt, n AS user_txn_count, k AS user_product_diversity, ({A}-m)/greatest(coalesce(s,1.0),1.0) AS amount_zscore, {A}/greatest(m,0.01) AS amount_to_mean_ratio FROM {{v}} t LEFT JOIN (SELECT card1, avg({A}) AS m, stddev_samp({A}) AS s, count(*) AS n, count(DISTINCT ProductCD) AS k FROM {{v}} GROUP BY card1) USING (card1)"
@@ -87,7 +87,7 @@ op("missing_indicators", [f.missing_indicators], "card2_missing:i addr1_missing:
 op("interaction_features", [f.all_features], "amount_x_night:6 round_x_new_device:i rapid_fire_x_night:i free_email_x_high_amt:i fraud_neighbor_x_night:i", None)
 op("risk_score", [f.all_features, d.scored], "risk_score:4 risk_category auth_recommendation explanation", None)
 op("tier_distribution", [f.all_features, d.scored, d.tier_distribution], "risk_category n:i pct:6", None, key="")
-op("point_score", [f.time_features, d.point_score], "risk_score:1 risk_category", f"SELECT TransactionID, round(s,1) AS risk_score, CASE WHEN s>=71 THEN 'RED' WHEN s>=51 THEN 'ORANGE' WHEN s>=31 THEN 'YELLOW' ELSE 'GREEN' END AS risk_category FROM (SELECT *, least(100.0, 70*proba+CASE WHEN {HOUR}<=6 OR {HOUR}>=23 THEN 10 ELSE 0 END+CASE WHEN {A}=floor({A}) AND {A}>=500 AND {HOUR}<=6 THEN 10 ELSE 0 END+CASE WHEN {A}>1000 THEN 10 ELSE 0 END) AS s FROM t)")
+op("point_score", [f.time_features, d.point_score], "risk_score:1 risk_category", f"SELECT TransactionID, round(CAST(s AS DECIMAL(18,6)),1) AS risk_score, CASE WHEN s>=71 THEN 'RED' WHEN s>=51 THEN 'ORANGE' WHEN s>=31 THEN 'YELLOW' ELSE 'GREEN' END AS risk_category FROM (SELECT *, least(100.0, 70*proba+CASE WHEN {HOUR}<=6 OR {HOUR}>=23 THEN 10 ELSE 0 END+CASE WHEN {A}=floor({A}) AND {A}>=500 AND {HOUR}<=6 THEN 10 ELSE 0 END+CASE WHEN {A}>1000 THEN 10 ELSE 0 END) AS s FROM t)")
 op("feed_rule_score", [f.time_features, d.feed_score], "feed_score:i feed_tier", f"SELECT *, CASE WHEN feed_score>75 THEN 'RED' WHEN feed_score>55 THEN 'ORANGE' WHEN feed_score>35 THEN 'YELLOW' ELSE 'GREEN' END AS feed_tier FROM (SELECT *, least(greatest(10+CASE WHEN {A}>5000 THEN 25 WHEN {A}>1000 THEN 12 ELSE 0 END+CASE WHEN {HOUR}<=5 OR {HOUR}>=23 THEN 18 ELSE 0 END+CASE WHEN ({DT}//86400)%7>=5 AND {HOUR}<=5 THEN 10 ELSE 0 END+CASE WHEN ProductCD='W' AND {A}>3000 THEN 15 ELSE 0 END+CASE WHEN P_emaildomain='protonmail.com' THEN 12 ELSE 0 END,0),100) AS feed_score FROM t)")
 CM = "SELECT *, coalesce(tp/nullif(tp+fp,0),0.0) AS precision, coalesce(tp/nullif(tp+fn,0),0.0) AS recall, coalesce(2.0*tp/nullif(2*tp+fp+fn,0),0.0) AS f1 FROM (SELECT count(*) FILTER (isFraud=1 AND proba>0.5) AS tp, count(*) FILTER (isFraud=0 AND proba>0.5) AS fp, count(*) FILTER (isFraud=1 AND proba<=0.5) AS fn, count(*) FILTER (isFraud=0 AND proba<=0.5) AS tn FROM t)"
 op("binary_metrics", [d.confusion], "tp:i fp:i fn:i tn:i precision:6 recall:6 f1:6", CM, key="")
