@@ -267,7 +267,7 @@ def scores(documents: DataFrame) -> DataFrame:
             ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             chunk = int(ids[0])
             here = np.concatenate([x.astype(np.float64).view(np.int64) for x in (base, score)] + [known.astype(np.int64), np.diff(at), part.column(3).fill_null(0).to_numpy().astype(np.int64), np.asarray(part.column(3).is_null().to_numpy(zero_copy_only=False), np.int64), (~train).astype(np.int64)]).tobytes()
-            flags = np.packbits(train).tobytes()
+            flags = train.astype(np.uint8).tobytes()
             r = {k: x for k, *x in packed_by(place(h[rare], pieces), pieces, h[rare], b[rare].astype(np.uint8), own[rare])}
             q = {k: x for k, *x in packed_by(place(key[far], pieces), pieces, key[far], own[far])}
             out = [(k, chunk, *(r.get(k) or (b"",) * 3), *(q.get(k) or (b"",) * 2), flags, b"") for k in sorted({*r, *q})]
@@ -281,7 +281,7 @@ def scores(documents: DataFrame) -> DataFrame:
         if not got:
             return
         arr = lambda j, d: [np.frombuffer(r[j], d) for r in got]
-        train = [np.unpackbits(np.frombuffer(r[6], np.uint8)).astype(bool) for r in got]
+        train = [np.frombuffer(r[6], np.uint8).astype(bool) for r in got]
         part: dict[int, list[np.ndarray]] = {}
 
         def add(j, own, *values):

@@ -132,14 +132,10 @@ def grams(words: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         h += words[j : total - k + 1 + j]
     count = np.maximum(np.diff(own) - k + 1, 0)
     keep = np.ones(total + 1, bool)
-    for j in range(1, k):
-        keep[np.maximum(own[1:] - j, own[:-1])] = False
+    first, last = own[:-1][np.diff(own) > 0], own[1:][np.diff(own) > 0]
+    for j in range(1, k):  # the last k - 1 words of a text begin no window; of a shorter text none does
+        keep[np.maximum(last - j, first)] = False
     keep = keep[: total - k + 1]
-    short = np.flatnonzero((np.diff(own) < k) & (np.diff(own) > 0))
-    for i in short if len(short) < 1000 else []:
-        keep[own[i] : own[i + 1]] = False
-    if len(short) >= 1000:
-        keep[np.isin(of_text(own)[: total - k + 1], short)] = False
     return mix(h[keep]), np.concatenate(([0], np.cumsum(count)))
 
 
