@@ -40,11 +40,12 @@ def runs_of(hashes: Column, n: int) -> Column:
     return F.transform(hashes, lambda x, i: gram(hashes, x, i, n))
 
 
-def fingerprints(hashes: Column, short: list[int]) -> Column:
-    """Winnowed fingerprints, and all runs of the lengths in short."""
-    grams = F.transform(hashes, lambda x, i: gram(hashes, x, i, GRAM))
-    least = F.transform(grams, lambda x, i: F.least(x, *(F.get(grams, i + j) for j in range(1, WINDOW))))
-    return F.array_distinct(F.concat(least, *(runs_of(hashes, n) for n in short)))
+def fingerprints(df: DataFrame, keep: list[str], short: list[int]) -> DataFrame:
+    """keep and fps, the winnowed fingerprints and all runs of the lengths in short; df has the word hashes h. The grams
+    get a column of their own: inside the lambda each reference would compute them anew."""
+    df = df.select(*keep, "h", F.transform("h", lambda x, i: gram(F.col("h"), x, i, GRAM)).alias("g"))
+    least = F.transform("g", lambda x, i: F.least(x, *(F.get("g", i + j) for j in range(1, WINDOW))))
+    return df.select(*keep, F.array_distinct(F.concat(least, *(runs_of(F.col("h"), n) for n in short))).alias("fps"))
 
 
 def prepared(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -78,7 +79,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_windows = written(item_windows.select("win", F.col("item_id").cast("string").alias("item")).distinct(), "bench-windows")
 
     hashed = F.transform("w", lambda x: F.xxhash64(x))
-    long_items = items.where(F.size("w") >= SPAN).select(hashed.alias("h")).select(F.explode(fingerprints(F.col("h"), [])).alias("fp"))
+    long_items = items.where(F.size("w") >= SPAN).select(hashed.alias("h"))
+    long_items = fingerprints(long_items, [], []).select(F.explode("fps").alias("fp"))
     marks = long_items
     for n in short:
         marks = marks.unionByName(items.where(F.size("w") == n).select(hashed.alias("h")).select(gram(F.col("h"), F.get("h", F.lit(0)), F.lit(0), n).alias("fp")))
@@ -87,7 +89,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
     docs = documents.select("doc_id", "text")
     seen = docs.select("doc_id", key, words(F.col("text")).alias("w")).select("doc_id", "key", F.size("w").cast("long").alias("n_words"), hashed.alias("h"))
-    seen = seen.select("doc_id", "key", "n_words", F.explode_outer(fingerprints(F.col("h"), short)).alias("fp"))
+    seen = fingerprints(seen, ["doc_id", "key", "n_words"], short).select("doc_id", "key", "n_words", F.explode_outer("fps").alias("fp"))
     seen = seen.join(sided(marks.withColumn("found", F.lit(True))), "fp", "left").groupBy("doc_id", "key", "n_words").agg(F.coalesce(F.max("found"), F.lit(False)).alias("found"))
     seen = written(seen, "doc-marks")
 
