@@ -74,7 +74,7 @@ def point_score(df: DataFrame) -> DataFrame:
     """Requests (amount, hour, proba) to score, tier and text; cut at 100."""
     whole = F.col("TransactionAmt") == F.floor("TransactionAmt")
     s = F.least(F.lit(100.0), 70 * F.col("proba") + 10 * flag((F.col("hour") <= 6) | (F.col("hour") >= 23)) + 10 * flag(whole & (F.col("TransactionAmt") >= 500) & (F.col("hour") <= 6)) + 10 * flag(F.col("TransactionAmt") > 1000))
-    return df.withColumn("risk_score", s).withColumn("risk_category", tier()).withColumn("risk_score", F.round("risk_score", 1))
+    return df.withColumn("risk_score", s).withColumn("risk_category", tier()).withColumn("risk_score", F.round(F.col("risk_score").cast("decimal(18,6)"), 1).cast("double"))
 
 
 def feed_score(df: DataFrame) -> DataFrame:
