@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import decide as d
 from ..operators import features as f
 from ..operators import network as g
-from ..sources.views import duckdb_views, ident_ev, txn_ev, txn_ord
+from ..operators import robust as r
+from ..sources.views import duckdb_views, ident_ev, txn_ev, txn_ord, v_feat
 from ..streaming import streams
 
 ID = "TransactionID"
@@ -111,6 +112,25 @@ op("degree_centrality", [g.degree_centrality], "card1:i degree:i centrality:9",
 op("fraud_neighbors", [g.fraud_neighbors], "card1:i fraud_neighbors:i fraud_neighbor_ratio:6", graph("SELECT src AS card1, sum(bad) AS fraud_neighbors, avg(bad) AS fraud_neighbor_ratio FROM w JOIN (SELECT card1, max(isFraud) AS bad FROM o GROUP BY card1) b ON w.dst=b.card1 GROUP BY src"), view=txn_ord, key="")
 op("clustering_coeff", [g.clustering], "card1:i clustering:6", graph("SELECT d.src AS card1, coalesce(2.0*t/nullif(n*(n-1),0),0.0) AS clustering FROM (SELECT src, count(*) AS n FROM w GROUP BY src) d LEFT JOIN (SELECT a.src, count(*)/2 AS t FROM w a JOIN w b ON a.src=b.src JOIN w c ON a.dst=c.src AND b.dst=c.dst GROUP BY a.src) x ON d.src=x.src"), view=txn_ord, key="")
 
+CAL = "TransactionID % 2 = 0"
+CONFORMAL = f"SELECT t.*, CASE WHEN 1-proba<=q AND proba<=q THEN '0,1' WHEN 1-proba<=q THEN '1' WHEN proba<=q THEN '0' WHEN proba>0.5 THEN '1' ELSE '0' END AS prediction_set, CAST(1-proba<=q AND proba<=q AS INT) AS is_uncertain, CASE WHEN 1-proba<=q AND proba>q THEN proba WHEN proba<=q AND 1-proba>q THEN 1-proba ELSE greatest(proba,1-proba) END AS confidence FROM t, (SELECT max(s) FILTER (k=floor(h))+(max(s) FILTER (k=ceil(h))-max(s) FILTER (k=floor(h)))*(max(h)-floor(max(h))) AS q FROM (SELECT *, (n-1)*least(ceil((n+1)*0.95::DOUBLE)/n,1.0) AS h FROM (SELECT CASE WHEN isFraud=1 THEN 1-proba ELSE proba END AS s, row_number() OVER (ORDER BY CASE WHEN isFraud=1 THEN 1-proba ELSE proba END)-1 AS k, count(*) OVER () AS n FROM t WHERE {CAL})))"
+op("conformal_sets", [lambda t: r.conformal_sets(t, F.expr(CAL))], "prediction_set is_uncertain:i confidence:6", CONFORMAL)
+op("conformal_summary", [lambda t: r.conformal_sets(t, F.expr(CAL)), r.conformal_summary], "certain_fraud:6 certain_legit:6 uncertain:6 mean_confidence:6", f"SELECT avg(CAST(prediction_set='1' AS INT)) AS certain_fraud, avg(CAST(prediction_set='0' AS INT)) AS certain_legit, avg(CAST(prediction_set='0,1' AS INT)) AS uncertain, avg(confidence) AS mean_confidence FROM ({CONFORMAL})", key="")
+USUAL = "(SELECT card1, DeviceInfo AS d FROM (SELECT card1, DeviceInfo, row_number() OVER (PARTITION BY card1 ORDER BY count(*) DESC, DeviceInfo) AS r FROM t WHERE DeviceInfo IS NOT NULL GROUP BY card1, DeviceInfo) WHERE r=1)"
+HIT = "coalesce(avg(CAST(proba>0.5 AS INT)) FILTER ({c}),0.0)"
+CATCH = f"SELECT 'low_amount_fraud_catch_rate' AS metric, {HIT.format(c=A + '<=m')} AS value, 0.4 AS pass_above FROM fr UNION ALL SELECT 'daytime_fraud_catch_rate', {HIT.format(c=HOUR + '>6')}, 0.4 FROM fr UNION ALL SELECT 'normal_device_fraud_catch_rate', {HIT.format(c='DeviceInfo IS NULL OR d IS NULL OR DeviceInfo=d')}, 0.35 FROM fr"
+STABLE = "SELECT 'threshold_stability' AS metric, (SELECT min(f1) FROM f1s WHERE abs(i-(SELECT arg_min(i, (-f1, i)) FROM f1s))<=2)/greatest((SELECT max(f1) FROM f1s),0.001) AS value, 0.7 AS pass_above"
+SURE = "SELECT 'confidence_rate' AS metric, coalesce(avg(CAST(proba>0.6::DOUBLE OR proba<0.4::DOUBLE AS INT)),0.0) AS value, 0.6 AS pass_above FROM fr"
+CHECKS = f"WITH fr AS (SELECT t.*, d, median({A}) OVER () AS m FROM t LEFT JOIN {USUAL} USING (card1) WHERE isFraud=1), f1s AS (SELECT i, coalesce(2.0*sum(CAST(proba>c AS INT)*isFraud)/nullif(sum(isFraud)+sum(CAST(proba>c AS INT)),0),0.0) AS f1 FROM t, (VALUES {', '.join(f'({i}, {c!r}::DOUBLE)' for i, c in enumerate(r.STEPS))}) s(i, c) GROUP BY i) SELECT *, CAST(value>pass_above AS INT) AS passed FROM ({{q}})"
+MARKS = [f.amount_features, f.time_features, f.sim_swap]
+op("catch_rate_by_slice", [*MARKS, r.catch_rates], "metric value:4 pass_above:2 passed:i", CHECKS.format(q=CATCH), key="")
+op("threshold_stability", [r.threshold_stability], "metric value:4 pass_above:2 passed:i", CHECKS.format(q=STABLE), key="")
+op("confidence_rate", [r.confidence_rate], "metric value:4 pass_above:2 passed:i", CHECKS.format(q=SURE), key="")
+op("robustness_report", [*MARKS, r.robustness_report], "passed:i total:i pct:4", f"SELECT sum(passed) AS passed, count(*) AS total, 100*avg(passed) AS pct FROM ({CHECKS.format(q=f'{CATCH} UNION ALL {STABLE} UNION ALL {SURE}')})", key="")
+VS = [f"V{j}" for j in range(1, 9)]
+VALS = "[" + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM v))" for c in VS) + "]"
+op("row_stats_v", [lambda t: r.row_stats(t, VS)], "v_mean:6 v_std:6 v_max:6 v_min:6 v_range:6 v_nulls:i v_null_pct:6", f"SELECT *, list_avg(a) AS v_mean, list_stddev_samp(a) AS v_std, list_max(a) AS v_max, list_min(a) AS v_min, list_max(a)-list_min(a) AS v_range, v_nulls/8 AS v_null_pct FROM (SELECT TransactionID, {VALS} AS a, {'+'.join(f'CAST({c} IS NULL AS INT)' for c in VS)} AS v_nulls FROM v)", view=v_feat)
+
 REGISTERED["stream_running_totals"] = (lambda s, p: streams.drained(streams.running_totals(streams.event_stream(s, p)), "complete"), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 
 

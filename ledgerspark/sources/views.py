@@ -33,7 +33,7 @@ _SLOTS = {
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    return spark.sql(sql.format(**_SLOTS["spark"], **{}).replace("FROM events", "FROM {events}").replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    return spark.sql(sql.format(**_SLOTS["spark"], **{}).replace("FROM events", "FROM {events}").replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}").replace("FROM embeddings", "FROM {embeddings}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
 def txn_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,15 @@ def ident_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, _IDENT, "events")
 
 
+def _v(base: int) -> str:
+    return ", ".join(f"CASE WHEN (vec_id+{j})%7=0 THEN NULL ELSE CAST(embedding[{base + j - 1}] AS DOUBLE) END AS V{j}" for j in range(1, 9))
+
+
+def v_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, f"SELECT vec_id AS TransactionID, {_v(0)} FROM embeddings", "embeddings")
+
+
 def duckdb_views() -> str:
-    """WITH list that defines t (from events), o (from orders) and i (identity) for an oracle query."""
+    """WITH list that defines t (from events), o (from orders) i (identity) and v (V columns) for an oracle query."""
     s = _SLOTS["duckdb"]
-    return f"WITH t AS ({_EV.format(**s)}), o AS ({_ORD.format(**s)}), i AS ({_IDENT})"
+    return f"WITH t AS ({_EV.format(**s)}), o AS ({_ORD.format(**s)}), i AS ({_IDENT}), v AS (SELECT vec_id AS TransactionID, {_v(1)} FROM embeddings)"
