@@ -31,11 +31,11 @@ def quantiles(df: DataFrame, column: str, level: Column | float, keys: tuple[str
 
 def conformal_sets(df: DataFrame, calibration: Column, alpha: float = 0.05) -> DataFrame:
     """The input with prediction_set ('0', '1' or '0,1'), is_uncertain and confidence; calibration marks the rows that
-    set the nonconformity threshold."""
+    set the nonconformity threshold. Without such rows the set is the likelier class."""
     p = F.col("proba")
     cal = df.where(calibration).select(F.when(F.col("isFraud") == 1, 1 - p).otherwise(p).alias("score"))
     level = F.least(F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"), F.lit(1.0))
-    df = df.crossJoin(F.broadcast(quantiles(cal, "score", level)))
+    df = df.join(F.broadcast(quantiles(cal, "score", level)), F.lit(True), "left")
     fraud, legit = (1 - p) <= F.col("q"), p <= F.col("q")
     one = F.when(fraud & legit, "0,1").when(fraud, "1").when(legit, "0").when(p > 0.5, "1").otherwise("0")
     sure = F.when(fraud & ~legit, p).when(legit & ~fraud, 1 - p).otherwise(F.greatest(p, 1 - p))
