@@ -5,14 +5,19 @@ mixed with weights (l2, l1, l0) that depend on the bucket of the context's frequ
 come from expectation-maximisation on held-out counts: one fold of the training documents is counted apart and
 predicted from the others; then all training counts are used.
 
-Tokens are words in lower case (A-Z) and one end a text, which is also the context of the first word. The FREQUENT most
-frequent words have numbers; order two is estimated between those (contexts below them form bucket 0, where l2 is 0).
-All counts cover all training documents. Counts are gathered by fragments of the hash space: tasks send packed
-arrays of what they saw, and a fragment returns sums per document. The HEAVY most frequent pairs are
-looked up in a broadcast table, so no fragment gets a hot pair.
+Tokens are words in lower case (A-Z) and one end a text, which is also the context of the first word. Every pair of
+the training documents is counted. The FREQUENT most frequent words (and the end) have numbers, which are broadcast
+with their counts; pairs of two numbers are gathered by fragments of the hash space, the HEAVY most frequent of
+them looked up in a broadcast table, so no fragment gets a hot pair. Each place of a word without a number goes to the
+fragment of that word, with its neighbours, so the fragment has the counts of the word and of its pairs on both sides.
+Where both words of a pair lack numbers, one fragment returns c(v) and c(v, w), the other c(w), and the text's chunk puts
+them together. Numbers thus save work and change no count; what is gathered grows with the input.
+
+The cells of expectation-maximisation hold p2 and p1 in quarter powers of two; of a pair without numbers p1 is the mean of
+such words. Under one word without a number, neighbours without numbers are told apart by 31 bits of their hashes.
 
 Defined cases: null or empty text is one end; repeated rows each count and are each scored; a null id has the text
-'' in the fold rule; without training tokens every probability is 1 / (V + 1) and N is 0.
+'' in the fold rule; without training tokens every probability is 1 and N is 0.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import fragments, held_out, written
 
-FREQUENT = 1 << 16
+NONE = 0xFFFF  # stands for a word without a number
+FREQUENT = NONE
 HEAVY = 1 << 17
 FOLDS, TUNE = 5, 2  # of the training folds, documents with remainder TUNE are held out for the weights
 END = np.uint64(0x5DEECE66D1234567)
@@ -106,6 +112,22 @@ def unpacked(batches, width: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return merged(some) if some else (np.zeros(0, width), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
 
 
+def bucket_of(c: np.ndarray) -> np.ndarray:
+    """0 for contexts that were not seen, else 1 + log2 of the count."""
+    return np.where(c < 1, 0, np.minimum(1 + np.log2(np.maximum(c, 1)).astype(np.int64), BUCKETS - 1))
+
+
+def quarters(p: np.ndarray) -> np.ndarray:
+    """Probabilities in quarter powers of two; -999 for zero."""
+    return np.where(p > 0, np.round(4 * np.log2(np.maximum(p, 1e-300))), -999).astype(np.int64)
+
+
+def counted(keys: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """For each place, how often its key occurs among the places that are on."""
+    u, inv = np.unique(keys, return_inverse=True)
+    return np.bincount(inv, on, len(u)).astype(np.int64)[inv]
+
+
 class Model:
     """words (sorted hashes), their counts outside the tuning fold (rest) and in all (total); N, V; heavy pairs; weights."""
 
@@ -129,9 +151,8 @@ class Model:
         return out
 
     def bucket(self, v: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Bucket of the contexts numbered v: 0 for those without a number, else 1 + log2 of the count."""
-        c = counts[np.maximum(v, 0)] if len(counts) else np.zeros(len(v))
-        return np.where(v < 0, 0, np.minimum(1 + np.log2(np.maximum(c, 1)).astype(np.int64), BUCKETS - 1))
+        """Bucket of the contexts numbered v."""
+        return bucket_of(np.where(v < 0, 0, counts[np.maximum(v, 0)]))
 
     def pairs(self, t: tk.Texts):
         """Tokens, ranges, numbers, contexts' numbers and pair keys (number of the context, of the word)."""
@@ -144,19 +165,26 @@ class Model:
         key = np.where(both, v.astype(np.int64) << 16 | w, 0).astype(np.uint32)
         return h, at, w, v, both, key
 
+    def unnumbered(self, h: np.ndarray, w: np.ndarray, v: np.ndarray):
+        """Places of words without numbers, their hashes, the numbers before them and marks of the words after them
+        (an end has a number, so each has a word after it): numbers, or 31 bits of the hash behind a set bit."""
+        i = np.flatnonzero(w < 0)
+        after = np.where(w[i + 1] >= 0, w[i + 1].astype(np.int64), (h[i + 1] >> tk.U(33)).astype(np.int64) | 1 << 31).astype(np.uint32)
+        return i, h[i], np.where(v[i] >= 0, v[i], NONE).astype(np.uint16), after
+
 
 def known_words(train: DataFrame, pieces: int) -> Model:
     def totals(batches):
         keys, rest, tune = unpacked(batches, np.uint64)
         every = rest.astype(np.int64) + tune
-        top = np.lexsort((keys, -every))[:FREQUENT]
-        top = top[every[top] > 2]
+        top = np.lexsort((keys, -every, keys != END))[:FREQUENT]
+        top = top[(every[top] > 2) | (keys[top] == END)]
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([len(keys)], pa.int64()), pa.array([int(rest.sum())], pa.int64()), pa.array([int(every.sum())], pa.int64())], ["kind", "w", "rest", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int8)), pa.array(keys[top].view(np.int64)), pa.array(rest[top].astype(np.int64)), pa.array(every[top])], ["kind", "w", "rest", "n"])
 
     found = written(type_counts(train, tokens, np.uint64, pieces).mapInArrow(totals, "kind byte, w long, rest long, n long"), "lm-words")
     v, n_rest, n = found.where("kind = 0").agg(F.sum("w"), F.sum("rest"), F.sum("n")).first()
-    rows = found.where("kind = 1").orderBy(F.desc("n"), "w").limit(FREQUENT).collect()  # at most FREQUENT
+    rows = found.where("kind = 1").orderBy(F.desc(F.col("w") == int(END)), F.desc("n"), "w").limit(FREQUENT).collect()  # at most FREQUENT
     w, rest, every = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
     return Model(w.view(np.uint64), rest, every, n_rest or 0, n or 0, v or 0)
 
@@ -167,6 +195,7 @@ def fit(documents: DataFrame) -> Model:
     train = training(documents)
     model = known_words(train, pieces)
     if not len(model.words):
+        model.weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
         return model
     shared = spark.sparkContext.broadcast(model)
     rare = max(model.n_rest - int(model.rest.sum()), 1) / max(model.n_rest, 1) / max(model.v - len(model.words), 1)
@@ -186,32 +215,37 @@ def fit(documents: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int8)), pa.array(keys[top].view(np.int64)), pa.array(np.zeros(len(top), np.int64)), pa.array(np.zeros(len(top), np.int64)), pa.array(every[top])], ["kind", "k", "q2", "q1", "n"])
         on = tune > 0
         v, w = (keys[on] >> tk.U(16)).astype(np.int64), (keys[on] & tk.U(0xFFFF)).astype(np.int64)
-        with np.errstate(divide="ignore"):
-            q2 = np.where(rest[on] > 0, np.round(4 * np.log2(rest[on] / np.maximum(m.rest[v], 1))), -999).astype(np.int64)
-            q1 = np.where(m.rest[w] > 0, np.round(4 * np.log2(m.rest[w] / max(m.n_rest, 1))), -999).astype(np.int64)
-        u, inv = np.unique(np.stack((m.bucket(v, m.rest), q2, q1), 1), axis=0, return_inverse=True)
-        n = np.bincount(inv.ravel(), tune[on], len(u)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int8)), *(pa.array(u[:, i]) for i in range(3)), pa.array(n)], ["kind", "k", "q2", "q1", "n"])
+        yield cell_rows(m.bucket(v, m.rest), rest[on] / np.maximum(m.rest[v], 1), m.rest[w] / max(m.n_rest, 1), tune[on])
 
     schema = "kind byte, k long, q2 long, q1 long, n long"
     found = written(type_counts(train, keys_of, np.uint64, pieces).mapInArrow(cells, schema), "lm-pairs")
 
-    def single(batches):
-        """Tuning tokens without a pair: by the context's bucket and the word's frequency (rare words: their mean)."""
+    def sent(batches):
+        m = shared.value
+        for part, t in tk.pieces(batches, "text", CHUNK):
+            h, at, w, v, _, _ = m.pairs(t)
+            i, x, before, after = m.unnumbered(h, w, v)
+            tune = np.repeat(np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool), np.diff(at))[i]
+            if len(i):
+                yield batch_of(packed_by(place(x, pieces), pieces, x, before, after, tune), [pa.int32(), *[pa.binary()] * 4], ["f", "x", "before", "after", "tune"])
+
+    def unnumbered_cells(batches):
         m = shared.value
-        total: dict[tuple[int, int], int] = {}
-        for _, t in tk.pieces(batches, "text", CHUNK):
-            _, _, w, v, both, _ = m.pairs(t)
-            w, b = w[~both], m.bucket(v[~both], m.rest)
-            p = np.where(w >= 0, m.rest[np.maximum(w, 0)] / max(m.n_rest, 1), rare)
-            q1 = np.where(p > 0, np.round(4 * np.log2(np.maximum(p, 1e-300))), -999).astype(np.int64)
-            u, c = np.unique(b * 2000 + q1 + 1000, return_counts=True)
-            for x, y in zip(u.tolist(), c.tolist()):
-                total[x] = total.get(x, 0) + y
-        k = np.array(list(total), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int8)), pa.array(k // 2000), pa.array(np.full(len(k), -999)), pa.array(k % 2000 - 1000), pa.array(list(total.values()), pa.int64())], ["kind", "k", "q2", "q1", "n"])
-
-    rest = train.where("tune").select("text").mapInArrow(single, schema)
+        got = [[np.frombuffer(x.as_buffer(), d) for x, d in zip(r, (np.uint64, np.uint16, np.uint32, bool))] for b in batches for r in zip(*(b.column(i) for i in range(1, 5)))]
+        if not got:
+            return
+        x, before, after, tune = (np.concatenate(a) for a in zip(*got))
+        c, n = counted(x, ~tune), max(m.n_rest, 1)
+        with_before = counted(tk.mix(x + tk.mix(before.astype(np.uint64))), ~tune)
+        with_after = counted(tk.mix(x + tk.mix(after.astype(np.uint64) + tk.U(1 << 32))), ~tune)
+        on = tune & (before != NONE)
+        v = before[on].astype(np.int64)
+        yield cell_rows(m.bucket(v, m.rest), with_before[on] / np.maximum(m.rest[v], 1), c[on] / n)
+        w = after[tune].astype(np.int64)
+        p1 = np.where(w < NONE, m.rest[np.minimum(w, len(m.rest) - 1)] / n, rare)
+        yield cell_rows(bucket_of(c[tune]), with_after[tune] / np.maximum(c[tune], 1), p1)
+
+    rest = train.mapInArrow(sent, "f int, x binary, before binary, after binary, tune binary").repartition(pieces, "f").mapInArrow(unnumbered_cells, schema)
     got = found.where("kind = 0").unionByName(rest).groupBy("k", "q2", "q1").agg(F.sum("n").alias("n")).orderBy("k", "q2", "q1").collect()  # bounded by the grid of BUCKETS and quarter powers of two
     k, q2, q1, n = (np.array([r[i] for r in got], np.int64) for i in range(4))
     model.weights = learned(k, q2, q1, n, model.v)
@@ -221,6 +255,13 @@ def fit(documents: DataFrame) -> Model:
     return model
 
 
+def cell_rows(bucket, p2, p1, times=None) -> pa.RecordBatch:
+    """The places of tuning documents by bucket and rounded probabilities."""
+    u, inv = np.unique(np.stack((bucket, quarters(p2), quarters(p1)), 1), axis=0, return_inverse=True)
+    n = np.bincount(inv.ravel(), times, len(u)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int8)), *(pa.array(u[:, i]) for i in range(3)), pa.array(n)], ["kind", "k", "q2", "q1", "n"])
+
+
 def learned(k, q2, q1, n, v, rounds: int = 50) -> np.ndarray:
     """Expectation-maximisation of each bucket's weights on the cells (bucket, p2, p1, held-out count)."""
     p = np.stack([np.where(q > -999, 2.0 ** (q / 4), 0.0) for q in (q2, q1)] + [np.full(len(k), 1 / (v + 1))], 1)
@@ -235,103 +276,121 @@ def learned(k, q2, q1, n, v, rounds: int = 50) -> np.ndarray:
     return w / w.sum(1, keepdims=True)
 
 
+LATE_W = np.dtype([("at", np.int32), ("w", np.uint32)])
+LATE_V = np.dtype([("at", np.int32), ("v", np.uint32), ("vw", np.uint32)])
+
+
 def scores(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
     spark = documents.sparkSession
     pieces = fragments(spark)
     shared = spark.sparkContext.broadcast(fit(documents))
-    names = ["f", "chunk", "rare", "rare_b", "rare_own", "pair", "pair_own", "train", "here"]
+    kinds = {"x": np.uint64, "x_own": np.int32, "x_at": np.int32, "before": np.uint16, "after": np.uint32, "pair": np.uint32, "pair_own": np.int32, "train": bool}
+
+    def mixed(m, b, p2, c):
+        lam = m.weights[b]
+        return np.log10(lam[:, 0] * p2 + lam[:, 1] * c / max(m.n, 1) + lam[:, 2] / (m.v + 1))
 
     def rows(batches):
         m = shared.value
         unit = m.n + 0.5 * (m.v + 1)
-        zero = 1 / (m.v + 1)
         for part, t in tk.pieces(batches, "text", CHUNK):
             h, at, w, v, both, key = m.pairs(t)
+            if not len(m.words):  # nothing was learnt
+                w, both = np.zeros_like(w), np.zeros(len(w), bool)
             own = tk.of_text(at).astype(np.int32)
             train = ~np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
-            b = m.bucket(v, m.total)
-            lam = m.weights[b]
             c = np.where(w >= 0, m.total[np.maximum(w, 0)], 0) if len(m.total) else np.zeros(len(w))
-            p = lam[:, 1] * c / max(m.n, 1) + lam[:, 2] * zero
             i = np.minimum(np.searchsorted(m.heavy, key), max(len(m.heavy) - 1, 0))
-            is_heavy = both & (m.heavy[i] == key) if len(m.heavy) else np.zeros(len(w), bool)
-            if is_heavy.any():
-                p[is_heavy] += lam[is_heavy, 0] * m.heavy_count[i[is_heavy]] / m.total[v[is_heavy]]
-            far = both & ~is_heavy
-            rare = w < 0
-            near = ~far & ~rare
-            base = tk.per_text_sum(np.where(rare, 0.0, np.log10((c + 0.5) / unit)), at)
-            score = tk.per_text_sum(np.where(near, np.log10(p), 0.0), at)
-            known = tk.per_text_sum(~rare & (c > 0), at)
+            heavy = both & (m.heavy[i] == key) if len(m.heavy) else np.zeros(len(w), bool)
+            known = np.zeros(len(w))
+            known[heavy] = mixed(m, m.bucket(v[heavy], m.total), m.heavy_count[i[heavy]] / m.total[v[heavy]], c[heavy])
+            far = both & ~heavy
+            sums = [np.where(w < 0, 0.0, np.log10((c + 0.5) / unit)), known, (w >= 0) & (c > 0)]
+            base, score, seen = (tk.per_text_sum(x, at) for x in sums)
             ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             chunk = int(ids[0])
-            here = np.concatenate([x.astype(np.float64).view(np.int64) for x in (base, score)] + [known.astype(np.int64), np.diff(at), part.column(3).fill_null(0).to_numpy().astype(np.int64), np.asarray(part.column(3).is_null().to_numpy(zero_copy_only=False), np.int64), (~train).astype(np.int64)]).tobytes()
-            flags = train.astype(np.uint8).tobytes()
-            r = {k: x for k, *x in packed_by(place(h[rare], pieces), pieces, h[rare], b[rare].astype(np.uint8), own[rare])}
-            q = {k: x for k, *x in packed_by(place(key[far], pieces), pieces, key[far], own[far])}
-            out = [(k, chunk, *(r.get(k) or (b"",) * 3), *(q.get(k) or (b"",) * 2), flags, b"") for k in sorted({*r, *q})]
-            out.append((int(place(np.array([chunk]), pieces)[0]), chunk, *(b"",) * 5, flags, here))
-            yield batch_of(out, [pa.int32(), pa.int64(), *[pa.binary()] * 7], names)
+            here = np.concatenate([x.astype(np.float64).view(np.int64) for x in (base, score)] + [seen.astype(np.int64), np.diff(at), part.column(3).fill_null(0).to_numpy().astype(np.int64), np.asarray(part.column(3).is_null().to_numpy(zero_copy_only=False), np.int64), (~train).astype(np.int64)]).tobytes()
+            flags = train.tobytes()
+            j, x, before, after = m.unnumbered(h, w, v)
+            r = {k: y for k, *y in packed_by(place(x, pieces), pieces, x, own[j], j.astype(np.int32), before, after)}
+            q = {k: y for k, *y in packed_by(place(key[far], pieces), pieces, key[far], own[far])}
+            out = [(k, chunk, *(r.get(k) or (b"",) * 5), *(q.get(k) or (b"",) * 2), flags, b"") for k in sorted({*r, *q})]
+            out.append((int(place(np.array([chunk]), pieces)[0]), chunk, *(b"",) * 7, flags, here))
+            yield batch_of(out, [pa.int32(), pa.int64(), *[pa.binary()] * 9], ["f", "chunk", *kinds, "here"])
 
     def sums(batches):
         m = shared.value
-        unit, zero = m.n + 0.5 * (m.v + 1), 1 / (m.v + 1)
-        got = [[x.as_py() for x in r] for b in batches for r in zip(*(b.column(i) for i in range(1, 9)))]
+        unit = m.n + 0.5 * (m.v + 1)
+        got = [[x.as_py() for x in r] for b in batches for r in zip(*(b.column(i) for i in range(1, 11)))]
         if not got:
             return
-        arr = lambda j, d: [np.frombuffer(r[j], d) for r in got]
-        train = [np.frombuffer(r[6], np.uint8).astype(bool) for r in got]
+        a = {k: [np.frombuffer(r[i], d) for r in got] for i, (k, d) in enumerate(kinds.items(), 1)}
         part: dict[int, list[np.ndarray]] = {}
+        late: dict[int, tuple[bytes, bytes]] = {}
 
         def add(j, own, *values):
-            have = part.setdefault(got[j][0], [np.zeros(len(train[j]))] * 3)
-            part[got[j][0]] = [a + np.bincount(own, x, len(a)) for a, x in zip(have, values)]
-
-        for keys, owns, kind in ((arr(1, np.uint64), arr(3, np.int32), 0), (arr(4, np.uint32), arr(5, np.int32), 1)):
-            lens = [len(k) for k in keys]
-            if not sum(lens):
-                continue
-            every = np.concatenate(keys)
-            mine = np.concatenate([t[o] for t, o in zip(train, owns)])
-            u, inv = np.unique(every, return_inverse=True)
-            c = np.bincount(inv, mine, len(u))[inv]
-            if kind == 0:
-                lam = m.weights[np.concatenate(arr(2, np.uint8))]
-                base = np.log10((c + 0.5) / unit)
-                score = np.log10(lam[:, 1] * c / max(m.n, 1) + lam[:, 2] * zero)
-                known = c > 0
-            else:
-                v, w = (every >> np.uint32(16)).astype(np.int64), (every & np.uint32(0xFFFF)).astype(np.int64)
-                lam = m.weights[m.bucket(v, m.total)]
-                base = known = np.zeros(len(c))
-                score = np.log10(lam[:, 0] * c / m.total[v] + lam[:, 1] * m.total[w] / max(m.n, 1) + lam[:, 2] * zero)
+            have = part.setdefault(got[j][0], [np.zeros(len(a["train"][j]))] * 3)
+            part[got[j][0]] = [y + np.bincount(own, x, len(y)) for y, x in zip(have, values)]
+
+        def spread(lens):
             at = np.concatenate(([0], np.cumsum(lens)))
-            for j in range(len(got)):
-                if lens[j]:
-                    s = slice(at[j], at[j + 1])
-                    add(j, owns[j], base[s], score[s], known[s])
-        out = [(chunk, b"".join(x.astype(np.float64).tobytes() for x in p), b"") for chunk, p in part.items()]
-        out += [(r[0], b"", r[7]) for r in got if r[7]]
-        yield batch_of(out, [pa.int64(), pa.binary(), pa.binary()], ["chunk", "part", "here"])
+            return [(j, slice(at[j], at[j + 1])) for j in range(len(got)) if lens[j]]
+
+        if any(len(k) for k in a["x"]):
+            x, before, after = (np.concatenate(a[k]) for k in ("x", "before", "after"))
+            mine = np.concatenate([t[o] for t, o in zip(a["train"], a["x_own"])])
+            c = counted(x, mine)
+            with_before = counted(tk.mix(x + tk.mix(before.astype(np.uint64))), mine)
+            with_after = counted(tk.mix(x + tk.mix(after.astype(np.uint64) + tk.U(1 << 32))), mine)
+            v, w = np.minimum(before, len(m.total) - 1).astype(np.int64), np.minimum(after, len(m.total) - 1).astype(np.int64)
+            lone, open_ = before == NONE, after >= NONE
+            score = np.where(lone, 0.0, mixed(m, m.bucket(v, m.total), with_before / m.total[v], c))
+            score += np.where(open_, 0.0, mixed(m, bucket_of(c), with_after / np.maximum(c, 1), m.total[w]))
+            base = np.log10((c + 0.5) / unit)
+            for j, s in spread([len(k) for k in a["x"]]):
+                add(j, a["x_own"][j], base[s], score[s], c[s] > 0)
+                left, right = np.flatnonzero(lone[s]), np.flatnonzero(open_[s])
+                one, two = np.zeros(len(left), LATE_W), np.zeros(len(right), LATE_V)
+                one["at"], one["w"] = a["x_at"][j][left], c[s][left]
+                two["at"], two["v"], two["vw"] = a["x_at"][j][right] + 1, c[s][right], with_after[s][right]
+                have = late.get(got[j][0], (b"", b""))  # a partition can hold several fragments
+                late[got[j][0]] = (have[0] + one.tobytes(), have[1] + two.tobytes())
+        if any(len(k) for k in a["pair"]):
+            key = np.concatenate(a["pair"])
+            mine = np.concatenate([t[o] for t, o in zip(a["train"], a["pair_own"])])
+            v, w = (key >> np.uint32(16)).astype(np.int64), (key & np.uint32(0xFFFF)).astype(np.int64)
+            score = mixed(m, m.bucket(v, m.total), counted(key, mine) / m.total[v], m.total[w])
+            none = np.zeros(len(key))
+            for j, s in spread([len(k) for k in a["pair"]]):
+                add(j, a["pair_own"][j], none[s], score[s], none[s])
+        out = [(chunk, b"".join(x.astype(np.float64).tobytes() for x in p), *late.get(chunk, (b"", b"")), b"") for chunk, p in part.items()]
+        out += [(r[0], b"", b"", b"", r[9]) for r in got if r[9]]
+        yield batch_of(out, [pa.int64(), *[pa.binary()] * 4], ["chunk", "part", "late_w", "late_v", "here"])
 
     def joined(batches):
-        """All rows of a chunk are in one partition: its documents' own sums and those of the fragments."""
-        parts, here = {}, {}
+        """All rows of a chunk are in one partition: its documents' own sums, those of the fragments, and the pairs without numbers."""
+        m = shared.value
+        parts, here, late = {}, {}, {}
         for b in batches:
-            for chunk, p, w in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if w:
-                    here[chunk] = np.frombuffer(w, np.int64).reshape(7, -1)
+            for chunk, p, one, two, x in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if x:
+                    here[chunk] = np.frombuffer(x, np.int64).reshape(7, -1)
                 else:
                     parts.setdefault(chunk, []).append(np.frombuffer(p).reshape(3, -1))
+                    late.setdefault(chunk, []).append((np.frombuffer(one, LATE_W), np.frombuffer(two, LATE_V)))
         for chunk, x in sorted(here.items()):
             got = sorted(parts.get(chunk, []), key=lambda a: a.tobytes())
             base, score, known = np.stack([x[0].view(np.float64), x[1].view(np.float64), x[2].astype(np.float64)]) + (sum(got) if got else 0)
+            if chunk in late:
+                one, two = (np.sort(np.concatenate(y), order="at") for y in zip(*late[chunk]))  # the same places
+                own = np.searchsorted(np.cumsum(x[3]), one["at"], "right")
+                score = score + np.bincount(own, mixed(m, bucket_of(two["v"]), two["vw"] / np.maximum(two["v"], 1), one["w"]), len(score))
             yield pa.RecordBatch.from_arrays([pa.array(x[4], mask=x[5].astype(bool)), pa.array(x[6].astype(bool)), pa.array(x[3]), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     # the first row's number names a chunk; it is used within this one job only
     ids = documents.select(F.monotonically_increasing_id().alias("row"), "text", held_out("doc_id", FOLDS).alias("held_out"), "doc_id")
-    sent = ids.mapInArrow(rows, "f int, chunk long, rare binary, rare_b binary, rare_own binary, pair binary, pair_own binary, train binary, here binary")
-    back = sent.repartition(pieces, "f").mapInArrow(sums, "chunk long, part binary, here binary").repartition(pieces, "chunk")
+    sent = ids.mapInArrow(rows, "f int, chunk long, " + ", ".join(f"{k} binary" for k in [*kinds, "here"]))
+    back = sent.repartition(pieces, "f").mapInArrow(sums, "chunk long, part binary, late_w binary, late_v binary, here binary").repartition(pieces, "chunk")
     out = back.mapInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(shared.value.n).cast("long").alias("train_tokens"), "base_score", "score")

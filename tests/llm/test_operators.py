@@ -1,6 +1,7 @@
 """The ten operators on small tables with nulls, empty texts, copies and clashing columns, against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -76,6 +77,25 @@ def test_language_model(docs):
         assert r["score"] <= 0 and r["base_score"] <= 0
 
 
+@pytest.mark.parametrize("numbered", [3, 20, 65535])
+def test_language_model_counts(docs, monkeypatch, numbered):
+    """Every pair counts, whatever words have numbers: scores against counts of all training pairs."""
+    monkeypatch.setattr(language_model, "FREQUENT", numbered)
+    weights = language_model.fit(docs).weights
+    tokens = {i: [*words(re.sub("[A-Z]", lambda m: m[0].lower(), t)), None] for i, t in plain(docs).items()}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([None, *t], t))
+    n = sum(one.values())
+    for r in language_model.scores(docs).collect():
+        t, score = tokens[r["doc_id"]], 0.0
+        for v, w in zip([None, *t], t):
+            lam = weights[min(one[v].bit_length(), language_model.BUCKETS - 1)]
+            score += math.log10(lam[0] * two[v, w] / max(one[v], 1) + lam[1] * one[w] / n + lam[2] / (len(one) + 1))
+        assert r["score"] == pytest.approx(score), r
+        assert r["n_known"] == sum(one[w] > 0 for w in t) and r["train_tokens"] == n
+        assert r["base_score"] == pytest.approx(sum(math.log10((one[w] + 0.5) / (n + 0.5 * (len(one) + 1))) for w in t))
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(text(1, 120).split()[10:40])), (2, "one two"), (3, None), (4, "")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench).collect()}
