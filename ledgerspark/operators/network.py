@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+from .robust import quantiles
+
 
 def shared_edges(df: DataFrame, key: str, relation: str, most: int, reach: int) -> DataFrame:
     """Edges between a card and the next reach cards of its group, for groups of 2 to most cards."""
@@ -45,3 +48,96 @@ def clustering(df: DataFrame) -> DataFrame:
     t = tri.select(F.explode(F.array("x", "y", "z")).alias("card1")).groupBy("card1").agg(F.count("*").alias("t"))
     d = both_ways(e).groupBy(F.col("src").alias("card1")).agg(F.count("*").alias("d"))
     return d.join(t, "card1", "left").select("card1", F.coalesce(F.try_divide(2 * F.coalesce("t", F.lit(0)), F.col("d") * (F.col("d") - 1)), F.lit(0.0)).alias("clustering"))
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """edges: a, b. node, label: each node's smallest reachable node, by large and small stars in turn, which takes about
+    log(longest chain) turns; each turn is a written table."""
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    for _ in range(most):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        now = written(small, "edges")
+        if not now.groupBy("u").count().where("count > 1").head(1) and not now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").head(1):
+            roots = now.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+    raise RuntimeError("components did not settle")
+
+
+def communities(df: DataFrame) -> DataFrame:
+    """card1, community: the smallest card of its component; cards without edges are their own."""
+    found = components(graph_edges(df).select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "card1")
+    return df.select("card1").distinct().join(found, "card1", "left").select("card1", F.coalesce("label", "card1").alias("community"))
+
+
+def community_stats(df: DataFrame) -> DataFrame:
+    """card1, community, its size and share of cards with fraud."""
+    bad = df.groupBy("card1").agg(F.max("isFraud").alias("bad"))
+    c = written(communities(df), "communities")
+    stats = c.join(bad, "card1").groupBy("community").agg(F.count("*").alias("size"), F.avg("bad").alias("fraud_rate"))
+    return c.join(stats, "community")
+
+
+def pagerank(df: DataFrame, alpha: float = 0.85, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
+    """card1, pagerank. Cards without edges spread their rank evenly. Stops when the sum of changes is under tolerance times the
+    number of cards; a tolerance of 0 takes all rounds."""
+    edges = written(both_ways(graph_edges(df)), "links")
+    degree = edges.groupBy(F.col("src").alias("card1")).agg(F.count("*").alias("d"))
+    n = df.select("card1").distinct().count()
+    rank = written(df.select("card1").distinct().join(degree, "card1", "left").withColumn("pr", F.lit(1 / max(n, 1))), "ranks")
+    for k in range(rounds):
+        got = rank.join(edges, F.col("card1") == F.col("src")).groupBy(F.col("dst").alias("card1")).agg(F.sum(F.col("pr") / F.col("d")).alias("got"))
+        loose = rank.where("d is null").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("loose"))
+        new = rank.withColumnRenamed("pr", "old").join(got, "card1", "left").crossJoin(F.broadcast(loose))
+        new = new.withColumn("pr", (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)) if n else new.withColumn("pr", F.col("old"))
+        if tolerance or k % 5 == 4:  # each written table ends the plan of the rounds before it
+            new = written(new, "ranks")
+        rank = new.select("card1", "d", "pr")
+        if tolerance and new.agg(F.sum(F.abs(F.col("pr") - F.col("old")))).first()[0] < tolerance * n:
+            break
+    return rank.select("card1", F.col("pr").alias("pagerank"))
+
+
+def betweenness(df: DataFrame, sources: int = 100, depth: int = 30) -> DataFrame:
+    """card1, betweenness from sources cards chosen by hash: counts of shortest paths spread outwards a level a round, and shares
+    of them are summed back. Paths longer than depth are left out."""
+    edges = written(both_ways(graph_edges(df)), "links")
+    cards = df.select("card1").distinct()
+    n = cards.count()
+    start = cards.orderBy(F.xxhash64("card1"), "card1").limit(sources)
+    levels = [written(start.select(F.col("card1").alias("s"), F.col("card1").alias("node"), F.lit(1.0).alias("paths")), "level")]
+    seen = levels[0].select("s", "node")
+    for _ in range(depth):
+        step = levels[-1].join(edges, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = written(step.join(seen, ["s", "node"], "left_anti"), "level")
+        if not level.head(1):
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("s", "node"))
+    share = levels[-1].withColumn("share", F.lit(0.0))
+    every = share
+    for level in levels[-2::-1]:
+        below = share.select("s", F.col("node").alias("dst"), F.col("paths").alias("paths2"), F.col("share").alias("share2"))
+        back = below.join(edges, "dst").join(level.withColumnRenamed("node", "src"), ["s", "src"]).groupBy("s", F.col("src").alias("node")).agg(F.sum(F.col("paths") / F.col("paths2") * (1 + F.col("share2"))).alias("share"))
+        share = written(level.join(back, ["s", "node"], "left").select("s", "node", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "shares")
+        every = every.unionByName(share)
+    total = every.where("s <> node").groupBy(F.col("node").alias("card1")).agg(F.sum("share").alias("share"))
+    scale = n / max(min(sources, n), 1) / max((n - 1) * (n - 2), 1)
+    return cards.join(total, "card1", "left").select("card1", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def bridges(df: DataFrame, sources: int = 100) -> DataFrame:
+    """card1, betweenness, is_bridge: above the 95th percentile."""
+    b = written(betweenness(df, sources), "betweenness")
+    cut = quantiles(b, "betweenness", 0.95).select(F.col("q").alias("cut"))
+    return b.crossJoin(F.broadcast(cut)).select("card1", "betweenness", (F.col("betweenness") > F.col("cut")).cast("int").alias("is_bridge"))
+
+
+def graph_join_back(df: DataFrame) -> DataFrame:
+    """The transactions with their card's graph features; cards without any get 0."""
+    out = df.join(degree_centrality(df).select("card1", F.col("degree").alias("graph_degree")), "card1", "left")
+    out = out.join(fraud_neighbors(df).select("card1", F.col("fraud_neighbors").alias("graph_fraud_neighbors"), F.col("fraud_neighbor_ratio").alias("graph_fraud_neighbor_ratio")), "card1", "left")
+    return out.fillna(0, ["graph_degree", "graph_fraud_neighbors", "graph_fraud_neighbor_ratio"])

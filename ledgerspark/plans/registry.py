@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import decide as d
 from ..operators import features as f
+from ..operators import models as m
 from ..operators import network as g
 from ..operators import robust as r
+from ..sources import store
 from ..sources.views import duckdb_views, ident_ev, txn_ev, txn_ord, v_feat
 from ..streaming import streams
 
@@ -131,7 +133,37 @@ VS = [f"V{j}" for j in range(1, 9)]
 VALS = "[" + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM v))" for c in VS) + "]"
 op("row_stats_v", [lambda t: r.row_stats(t, VS)], "v_mean:6 v_std:6 v_max:6 v_min:6 v_range:6 v_nulls:i v_null_pct:6", f"SELECT *, list_avg(a) AS v_mean, list_stddev_samp(a) AS v_std, list_max(a) AS v_max, list_min(a) AS v_min, list_max(a)-list_min(a) AS v_range, v_nulls/8 AS v_null_pct FROM (SELECT TransactionID, {VALS} AS a, {'+'.join(f'CAST({c} IS NULL AS INT)' for c in VS)} AS v_nulls FROM v)", view=v_feat)
 
+op("graph_join_back", [g.graph_join_back], "graph_degree:i graph_fraud_neighbors:i graph_fraud_neighbor_ratio:6", graph("SELECT TransactionID, coalesce(n,0) AS graph_degree, coalesce(y,0) AS graph_fraud_neighbors, coalesce(z,0.0) AS graph_fraud_neighbor_ratio FROM o LEFT JOIN (SELECT src AS card1, count(*) AS n, sum(bad) AS y, avg(bad) AS z FROM w JOIN (SELECT card1, max(isFraud) AS bad FROM o GROUP BY card1) b ON w.dst=b.card1 GROUP BY src) USING (card1)"), view=txn_ord)
+ROUNDS = 10
+RANKS = "k AS (SELECT DISTINCT card1 FROM o), dg AS (SELECT src, count(*) AS d FROM w GROUP BY src), r0 AS MATERIALIZED (SELECT card1, 1.0::DOUBLE/(SELECT count(*) FROM k) AS pr FROM k)" + "".join(f", r{j + 1} AS MATERIALIZED (SELECT k.card1, 0.15::DOUBLE/(SELECT count(*) FROM k)+0.85::DOUBLE*(coalesce(got,0)+(SELECT coalesce(sum(pr),0) FROM r{j} WHERE card1 NOT IN (SELECT src FROM dg))/(SELECT count(*) FROM k)) AS pr FROM k LEFT JOIN (SELECT w.dst, sum(pr/d) AS got FROM r{j} JOIN w ON r{j}.card1=w.src JOIN dg ON dg.src=w.src GROUP BY w.dst) x ON x.dst=k.card1)" for j in range(ROUNDS))
+op("pagerank", [lambda t: g.pagerank(t, rounds=ROUNDS, tolerance=0)], "card1:i pagerank:9", graph(f"SELECT * FROM (WITH {RANKS} SELECT card1, pr AS pagerank FROM r{ROUNDS})"), view=txn_ord, key="")
+op("communities", [g.communities], "card1:i community:i", None, view=txn_ord, key="")
+op("community_stats", [g.community_stats], "card1:i community:i size:i fraud_rate:6", None, view=txn_ord, key="")
+op("bridge_flag", [g.bridges], "card1:i betweenness:9 is_bridge:i", None, view=txn_ord, key="")
+
+RANK = "row_number() OVER (PARTITION BY isFraud ORDER BY md5(CAST(TransactionID AS VARCHAR)))"
+op("stratified_split", [m.stratified_split], "is_test:i", f"SELECT TransactionID, CAST({RANK}<=ceil(count(*) OVER (PARTITION BY isFraud)*0.2::DOUBLE) AS INT) AS is_test FROM t")
+op("stratified_kfold", [m.stratified_kfold], "fold:i", f"SELECT TransactionID, {RANK}%7 AS fold FROM t")
+PREPARED = [f.amount_features, f.time_features, f.behavioral_profile, f.velocity]
+for kind, name in (("gbt", "train_gbt"), ("gbt_shallow", "train_gbt_shallow"), ("gbt_sampled", "train_gbt_sampled"), ("forest", "train_random_forest"), ("perceptron", "train_mlp")):
+    op(name, [*PREPARED, lambda t, kind=kind: m.trained(t, kind)], "proba:6", None)
+op("isolation_forest", [*PREPARED, m.isolation_forest], "iso_score:6", None)
+op("oof_stacking", [*PREPARED, m.oof_stacking], "p_gbt:6 p_gbt_sampled:6 p_perceptron:6 proba:6", None)
+op("tune_params", [*PREPARED, m.tuned], "max_depth:i step_size:4 auc:6", None, key="")
+op("select_features", [*PREPARED, m.selected_features], "feature importance:6 kept:i", None, key="")
+op("avg_importance", [*PREPARED, m.importances], "feature importance:6", None, key="")
+op("adversarial_validation", [*PREPARED, lambda t: m.adversarial_validation(t, F.pmod(F.xxhash64(ID), F.lit(5)) == 0)], "auc:6 status feature importance:6", None, key="")
+op("linear_contributions", [*PREPARED, m.linear_contributions], "reasons largest:6", None)
+op("pca_v", [lambda t: m.pca_v(t, [f"V{j}" for j in range(1, 9)])], " ".join(f"pca_{j}:6" for j in range(1, 6)), None, view=v_feat)
+op("pca_anomaly", [*PREPARED, m.pca_anomaly], "error:6 threshold:6 score:6 is_anomaly:i", None)
+op("isotonic_calibration", [lambda t: m.isotonic_calibration(t, F.expr(CAL))], "proba:6 calibrated:6", None)
+op("brier", [lambda t: m.isotonic_calibration(t, F.expr(CAL)), m.brier], "brier_before:6 brier_after:6", None, key="")
+op("sink_scored", [f.all_features, d.scored, lambda t: store.sink_scored(t, store.new_path(t.sparkSession, "scored"))], "risk_score:4 risk_category", None)
+op("sink_json_report", [d.confusion, lambda t: store.sink_json_report(t, store.new_path(t.sparkSession, "report"))], "tp:i fp:i fn:i tn:i precision:6 recall:6 f1:6", CM, key="")
+
 REGISTERED["stream_running_totals"] = (lambda s, p: streams.drained(streams.running_totals(streams.event_stream(s, p)), "complete"), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+REGISTERED["stream_lag_state"] = (lambda s, p: streams.drained(streams.lag_state(streams.event_stream(s, p)), "append").select("user_id", "event_id", F.round("gap", 3).alias("gap"), F.col("is_rapid_fire").cast("long").alias("is_rapid_fire"), F.round("delta", 4).alias("delta")),
+    "SELECT user_id, event_id, round(gap, 3) AS gap, CAST(gap<300 AS BIGINT) AS is_rapid_fire, round(delta, 4) AS delta FROM (SELECT *, coalesce((epoch_us(ts)-lag(epoch_us(ts)) OVER w)/1e6, 999999.0) AS gap, coalesce(value-lag(value) OVER w, 0.0) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,25 @@ def enriched(stream: DataFrame, profile: DataFrame, key: str = "user_id") -> Dat
     return stream.join(profile, key, "left")
 
 
+def lag_state(stream: DataFrame) -> DataFrame:
+    """user_id, event_id, gap (seconds since the user's event before; 999999 for the first), is_rapid_fire (gap under 300), delta of the value.
+    The state is a user's last time and value; events of one batch are taken in order of time."""
+
+    def step(key, frames, state):
+        at, value = state.get if state.exists else (None, None)
+        e = pd.concat(frames).sort_values(["ts", "event_id"])
+        sec, v = e["ts"].astype("datetime64[us]").astype("int64") / 1e6, e["value"]
+        before, old = sec.shift(fill_value=np.nan), v.shift(fill_value=np.nan)
+        if at is not None:
+            before.iloc[0], old.iloc[0] = at, value
+        state.update((float(sec.iloc[-1]), float(v.iloc[-1])))
+        gap = (sec - before).fillna(999999.0)
+        yield pd.DataFrame({"user_id": key[0], "event_id": e["event_id"], "gap": gap, "is_rapid_fire": (gap < 300).astype("int32"), "delta": (v - old).fillna(0.0)})
+
+    rows = stream.select("user_id", "event_id", "ts", "value")
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, gap double, is_rapid_fire int, delta double", "at double, value double", "append", "NoTimeout")
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs what is available now to a memory table (small results, tests and reports)."""
     name = f"s{uuid.uuid4().hex}"
