@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -205,9 +207,9 @@ def isolation_forest(df: DataFrame, columns: list[str] = FEATURES, trees: int =
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(ID)
         tree = int(part["tree"].iloc[0])
-        return pd.DataFrame({"tree": [tree], "shape": [repr(grown(part[columns].to_numpy(float), np.random.default_rng(tree), 8))]})
+        return pd.DataFrame({"tree": [tree], "shape": [json.dumps(grown(part[columns].to_numpy(float), np.random.default_rng(tree), 8))]})
 
-    forest = [eval(r["shape"], {"__builtins__": {}}) for r in picks.groupBy("tree").applyInPandas(build, "tree int, shape string").orderBy("tree").collect()]  # trees of at most 256 rows
+    forest = [json.loads(r["shape"]) for r in picks.groupBy("tree").applyInPandas(build, "tree int, shape string").orderBy("tree").collect()]  # trees of at most 256 rows
     usual = usual_depth(rows)
 
     def score(batches):

@@ -96,7 +96,7 @@ def pagerank(df: DataFrame, alpha: float = 0.85, rounds: int = 50, tolerance: fl
         if tolerance or k % 5 == 4:  # each written table ends the plan of the rounds before it
             new = written(new, "ranks")
         rank = new.select("card1", "d", "pr")
-        if tolerance and new.agg(F.sum(F.abs(F.col("pr") - F.col("old")))).first()[0] < tolerance * n:
+        if tolerance and (new.agg(F.sum(F.abs(F.col("pr") - F.col("old")))).first()[0] or 0.0) <= tolerance * n:
             break
     return rank.select("card1", F.col("pr").alias("pagerank"))
 
