@@ -7,9 +7,11 @@ pseudonyms. Check digits (Luhn, IBAN) hold after the change if they held before.
 secrets, which aren't numbers, get keyed SHA-256 digits in their own shape.
 
 Rules by kind (a value that fails its kind's validation stays as it is):
-  card    13-19 digits, single spaces or hyphens between: all but the Luhn digit are permuted; if the digits fail the Luhn
+  card    13-19 digits, or groups of 4-4-4-n, 4-6-5 or 4-6-4 with single spaces or hyphens between: all but the Luhn digit are permuted; if the digits fail the Luhn
           test it counts as number and all digits are permuted
-  phone   + and country code, or 3-3-4 digits: the last ten digits (or as many as there are) are permuted
+  phone   + and country code, or 3-3-4 digits, with or without a 1 before: the last ten digits (or as many as there are) are
+          permuted. It has 7 to 15 digits, after a country code of NATIONAL as many as that country's numbers have, and
+          ends before a value of another kind. After another country code groups of digits that follow count as its own
   ssn     ddd-dd-dddd
   iban    valid modulo 97: its digits after the check digits are permuted, and the check digits computed again
   ip      four numbers up to 255, permuted as 32 bits
@@ -27,6 +29,24 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 CYCLE = (250, 292)  # days of a date cycle, as a product
+#: Country codes by the digits of their national numbers.
+NATIONAL = {8: "45 47 65 852", 9: "31 33 34 41 48 61 351 380 420 421 971 972", 10: "1 7 30 44 52 57 63 81 90 91", 11: "55 86"}
+DIGIT = "[ ().-]{0,2}[0-9]"  # written out where repeated: Java's lookbehind takes no repeated group
+OCTET = "(?:2(?:[0-4][0-9]|5[0-5])|[01]?[0-9]{1,2})"
+#: Where a number that follows a phone number is a value of its own.
+NEXT = "|".join((
+    rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
+    r"(?<![0-9./-])(?:[0-9]{4}-(?:0[1-9]|1[0-2])-[0-3][0-9]|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[./-][0-9])",
+    r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
+    r"(?:(?:[0-9]{4} ){3}|(?:[0-9]{4}-){3})[0-9]{4,7}(?![0-9]|[ -][0-9]{4}(?![0-9]))|[0-9]{4}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{4,5}(?![0-9])",
+    r"(?<!-)[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9]|-[0-9])",
+))
+CODE = r"[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?"
+KNOWN = "|".join(f"(?:{'|'.join(codes.split())}){DIGIT * n}" for n, codes in NATIONAL.items())
+ABROAD = (
+    rf"(?<![0-9+])\+(?:{CODE}[0-9]{{1,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}(?![0-9])(?<=\+(?:{KNOWN}))"
+    rf"|{CODE}[0-9]{{2,4}}(?:(?:[ .-](?!{NEXT}))?[0-9]{{2,4}}){{1,4}}(?![0-9])(?<=\+[0-9]{DIGIT * 6}{f'(?:{DIGIT}' * 8}{')?' * 8}))"
+)
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])",
@@ -34,8 +54,8 @@ KINDS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?<dot>[./])[0-9]{1,2}\k<dot>[0-9]{4})(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|(?<!-)[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,7})(?![0-9])",
+    "phone": ABROAD + r"|(?<![0-9])(?:\([0-9]{3}\) ?|(?<!-)1[-. ](?:\([0-9]{3}\) ?|[0-9]{3}[-. ])|(?<!-)[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9]|-[0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<gap>[ -])(?:[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,7}|[0-9]{6}\k<gap>[0-9]{4,5}))(?![0-9])",
 }
 ORDER = ("email", "secret", "iban", "date", "ip", "ssn", "card", "phone")
 COUNTED = ("email", "secret", "iban", "date", "ip", "ssn", "card", "number", "phone")
