@@ -13,7 +13,7 @@ Rules by kind (a value that fails its kind's validation stays as it is):
           permuted. It has 7 to 15 digits, after a country code of NATIONAL as many as that country's numbers have, and
           ends before a value of another kind. After another country code groups of digits that follow count as its own
   ssn     ddd-dd-dddd
-  iban    valid modulo 97: its digits after the check digits are permuted, and the check digits computed again
+  iban    as long as its country's IBANs, or of another length, and valid modulo 97: its digits after the check digits are permuted, and the check digits computed again
   ip      four numbers up to 255, permuted as 32 bits
   date    yyyy-mm-dd, d.m.yyyy, d/m/yyyy or m/d/yyyy: the day is permuted within its cycle of 73,000 days
   email, secret (32-64 hex digits)
@@ -47,10 +47,17 @@ ABROAD = (
     rf"(?<![0-9+])\+(?:{CODE}[0-9]{{1,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}(?![0-9])(?<=\+(?:{KNOWN}))"
     rf"|{CODE}[0-9]{{2,4}}(?:(?:[ .-](?!{NEXT}))?[0-9]{{2,4}}){{1,4}}(?![0-9])(?<=\+[0-9]{DIGIT * 6}{f'(?:{DIGIT}' * 8}{')?' * 8}))"
 )
+#: Countries by the length of their IBANs.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+NATIONAL_IBAN = "|".join(f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, codes in IBANS.items())
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{NATIONAL_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?<dot>[./])[0-9]{1,2}\k<dot>[0-9]{4})(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -88,10 +95,10 @@ def ten_to(n: Column) -> Column:
 
 
 def permuted_digits(d: Column, key: str, kind: str) -> Column:
-    """The digit string d, permuted among all strings of its length."""
+    """The digit string d (at most 31 digits: the halves fit a long), permuted among all strings of its length."""
     n = F.length(d)
     h = F.floor(n / 2).cast("int")
-    st = feistel(F.coalesce(F.try_to_number(F.concat(F.lit("0"), F.substring(d, F.lit(1), h)), F.lit("9" * 12)), F.lit(0)), F.substring(d, h + 1, n - h).cast("long"), ten_to(h), ten_to(n - h), F.concat(F.lit(kind), n.cast("string")), key)
+    st = feistel(F.coalesce(F.try_to_number(F.concat(F.lit("0"), F.substring(d, F.lit(1), h)), F.lit("9" * 16)), F.lit(0)), F.substring(d, h + 1, n - h).cast("long"), ten_to(h), ten_to(n - h), F.concat(F.lit(kind), n.cast("string")), key)
     return F.concat(F.when(h > 0, F.lpad(st["l"].cast("string"), h, "0")).otherwise(""), F.lpad(st["r"].cast("string"), n - h, "0"))
 
 
@@ -129,11 +136,10 @@ def iban(m: Column, key: str) -> Column:
     plain = F.regexp_replace(m, " ", "")
     tail = F.substring(plain, F.lit(5), F.length(plain))
     d = digits_of(tail)
-    new = in_shape(tail, permuted_digits(d, key, "iban"))
+    new = F.when(F.length(d) > 0, in_shape(tail, permuted_digits(d, key, "iban"))).otherwise(tail)
     check = 98 - mod97(F.concat(new, F.substring(plain, 1, 2), F.lit("00")))
     whole = F.concat(F.substring(plain, 1, 2), F.lpad(check.cast("string"), 2, "0"), new)
-    spaced = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(whole, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
-    return F.when(F.length(d) > 18, m).otherwise(spaced)
+    return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(whole, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
 
 
 def ip(m: Column, key: str) -> Column:

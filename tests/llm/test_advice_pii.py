@@ -36,3 +36,21 @@ def test_long_match_goes_to_the_other_kinds(spark):
 def test_cards_of_three_groups(spark, card):
     (got, kinds), (plain, _) = changed(spark, [f"{card} 12", card.replace(" ", "").replace("-", "") + " 12"])
     assert kinds == ["card"] and got.replace(" ", "").replace("-", "") == plain.replace(" ", "") and card not in got
+
+
+def iban_of(country, account):
+    rest = int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
+    return f"{country}{98 - rest:02d}{account}"
+
+
+ACCOUNTS = [("ES", "21000418450200051332"), ("FR", "20041010050500013026063"), ("PL", "109010140000071219812874"), ("PT", "000201231234567890154"), ("DE", "370400440532013000"), ("GB", "NWBK60161331926819"), ("RU", "04452560040702810412345678901"), ("MT", "MALT011000012345MTLCAST001S")]
+
+
+def test_ibans_of_every_length(spark):
+    plain = [iban_of(*a) for a in ACCOUNTS]
+    spaced = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in plain]
+    one, two = changed(spark, plain), changed(spark, [f"{s} 2024 PAID" for s in spaced])
+    for x, s, (a, ka), (b, kb) in zip(plain, spaced, one, two):
+        assert ka == kb == ["iban"] and len(a) == len(x) and a[4:] != x[4:] and a[:2] == x[:2], (x, a)
+        assert iban_of(a[:2], a[4:]) == a and b.removesuffix(" 2024 PAID").replace(" ", "") == a and [len(w) for w in b.split()[:-2]] == [len(w) for w in s.split()]
+    assert len({a for a, _ in one}) == len(plain)
