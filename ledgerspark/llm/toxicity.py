@@ -116,8 +116,9 @@ def votes_and_words(t: tk.Texts, lex) -> tuple[np.ndarray, np.ndarray, np.ndarra
                 kinds[d, pl] = True
     several = 1 << VOTERS.index("several")
     bits[kinds.sum(1) >= 2] |= several
-    for d in np.flatnonzero(bits & ANY).tolist():
-        low = t.bytes[t.at[d] : t.at[d + 1]].tobytes().lower()
+    raw = t.bytes.tobytes().lower()
+    for d, (a, b) in enumerate(zip(t.at[:-1].tolist(), t.at[1:].tolist())):
+        low = raw[a:b]
         if GATE.search(low):
             for k, p in ADDRESS.items():
                 if p.search(low):
