@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.decontaminate import contamination, sided
 from ledgerspark.llm.entries import PII_KEY
-from ledgerspark.llm.jaccard import near_duplicates
+from ledgerspark.llm.jaccard import near_duplicates, text_key
 from ledgerspark.llm.mixing import mix
 from ledgerspark.llm.pii import pseudonymise
 from ledgerspark.llm.shared import table, written
@@ -21,15 +21,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component; of rows that repeat an id one. Rows without an id stay."""
-    found = written(near_duplicates(docs), "stage-near").where("doc_id is not null")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(sided(gone), "doc_id", "left_anti")
+    """Keeps the document with the smallest id of each component; of rows that repeat an id and a text one. Unlike texts
+    under one id are documents of their own. Rows without an id stay."""
+    found = written(near_duplicates(docs, keyed=True), "stage-near").where("doc_id is not null")
+    gone = found.where("not first").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    again = found.where("first").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).count().where("count > 1").select("_id", "_key")
+    same = (F.col("doc_id") == F.col("_id")) & (text_key() == F.col("_key"))
+    kept = docs.join(sided(gone), same, "left_anti")
     if again.head(1):
         again = sided(again)
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+        once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
     return kept.select(docs.columns)
 
 

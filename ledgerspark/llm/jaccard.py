@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -87,15 +87,19 @@ def possible(pairs: DataFrame, size: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(rows, "a long, b long")
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def surveyed(documents: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, c (class; null for an empty set). kind 1: a shingle that one task saw in LOCAL documents or more, and in how many."""
+    """kind 0: doc_id, n, c (class; null for an empty set), key of the text. kind 1: a shingle that one task saw in LOCAL documents or more, and in how many."""
 
     def rows(batches):
         seen, lists = [], []
         for part, t in tk.pieces(batches, "text"):
             s = sets(t)
             n = np.array([len(x) for x in s])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column(0), pa.array(n), pa.array([class_of(x) if len(x) else None for x in s], pa.int64()), pa.array(list(map(bitmap, s)), pa.binary())], ["kind", "a", "n", "c", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column(0), pa.array(n), pa.array([class_of(x) if len(x) else None for x in s], pa.int64()), pa.array(list(map(bitmap, s)), pa.binary()), part.column("key")], ["kind", "a", "n", "c", "bits", "key"])
             lists.extend(s)
             if len(lists) > 4000:  # keeps the counts of shingles seen twice or more
                 seen.append(counted(lists))
@@ -106,9 +110,9 @@ def surveyed(documents: DataFrame) -> DataFrame:
             u, inv = np.unique(k, return_inverse=True)
             c = np.bincount(inv, c, len(u)).astype(np.int64)
             u, c = u[c >= LOCAL], c[c >= LOCAL]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u.view(np.int64)), pa.array(c), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.binary())], ["kind", "a", "n", "c", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u.view(np.int64)), pa.array(c), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.binary()), pa.nulls(len(u), pa.int64())], ["kind", "a", "n", "c", "bits", "key"])
 
-    return documents.select("doc_id", "text").mapInArrow(rows, "kind byte, a long, n long, c long, bits binary")
+    return documents.select("doc_id", text_key().alias("key"), "text").mapInArrow(rows, "kind byte, a long, n long, c long, bits binary, key long")
 
 
 def counted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +240,7 @@ def segments(documents: DataFrame, reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.array(s, pa.binary())], ["c", "f", "s"])
 
     reps = F.broadcast(reps) if reps.count() <= SMALL else reps
-    return documents.select("doc_id", "text").join(reps, "doc_id").dropDuplicates(["c"]).select("c", "text").mapInArrow(rows, "c long, f int, s binary")
+    return documents.select(text_key().alias("key"), "text").join(reps, "key").dropDuplicates(["c"]).select("c", "text").mapInArrow(rows, "c long, f int, s binary")
 
 
 def tokens(b: pa.Scalar) -> np.ndarray:
@@ -263,23 +267,24 @@ def linked(pairs: DataFrame, segs: DataFrame, size: DataFrame) -> DataFrame:
     return both.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document."""
+def near_duplicates(documents: DataFrame, rounds: int = 2, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per document. keyed adds the key of its text and whether it is the
+    first of its component by id and key (null without an id)."""
     spark = documents.sparkSession
     pieces = fragments(spark)
     survey = written(surveyed(documents), "shingle-survey")
-    docs = survey.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "c")
+    docs = survey.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "c", "key")
     hot = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HOT).select("a", "n").collect()  # at most HOT
     order = spark.sparkContext.broadcast(Order(hot))
     found = written(candidates(prefix_rows(documents, order, pieces), pieces), "near-candidates")
     tried = written(found.where("kind = 0").select("a", "b").distinct(), "near-pairs")
     groups = found.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("c"), "n")
-    size = written(survey.where("kind = 0 AND c IS NOT NULL").groupBy("c").agg(F.min("a").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits")), "near-classes")
+    size = written(survey.where("kind = 0 AND c IS NOT NULL").groupBy("c").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("bits").alias("bits")), "near-classes")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = written(possible(pairs, size), "near-possible")
         named = left.select(F.col("a").alias("c")).union(left.select("b")).distinct()
-        segs = written(segments(documents, size.join(named, "c", "left_semi").select("doc_id", "c")), "near-segments")
+        segs = written(segments(documents, size.join(named, "c", "left_semi").select("key", "c")), "near-segments")
         return written(linked(left, segs, size), "near-links")
 
     links = verified(tried)
@@ -301,5 +306,7 @@ def near_duplicates(documents: DataFrame, rounds: int = 2) -> DataFrame:
             tried = tried.unionByName(new)
             labels = components(links)
     named = docs.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("best"))
+    first = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.struct("doc_id", "key") == F.col("best"), F.lit(True)))
+    more = ["key", first.alias("first")] if keyed else []
+    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *more)
