@@ -3,17 +3,22 @@
 A document's set is its distinct SHINGLE-word shingles (64-bit hashes). Two documents link when
 100 * intersection >= PERCENT * union. Documents with equal sets form a class; classes are joined.
 
-The global order of shingles is by hash, with the most frequent shingles last, by frequency. The order is cut into
-fragments. In each fragment, classes that share a shingle of their prefixes (the first n - ceil(t n) + 1 shingles in
-the global order, of which linked sets share one) are candidates: all pairs of a small group; in a large group each
-class with the group's hub. Bitmaps of the sets give each pair's overlap an upper bound that rules most out. The overlap of a candidate pair is counted in each fragment separately and summed per
-pair. Then, while a large group still holds several components, its classes are tried with other hubs, and last with
-every class outside their component, so no link between components is lost, and groups of copies cost as many pairs
-as they have members.
+The global order of shingles is by hash, with the frequent shingles last, by frequency.
+
+1. Candidates. Linked sets share a shingle of their prefixes (the first n - ceil(t n) + 1 shingles in the global
+   order). At the first one that they share, neither has more than what is left of the shorter rest to share, so a
+   pair is possible only if both rests hold the overlap that a link needs (and the sizes allow one). Classes that
+   share a prefix shingle form a group. A small group gives all its possible pairs; a large one gives each class with
+   the group's hub, the class with the fewest shingles before the group's.
+2. Overlaps. The global order is cut into CUTS fragments; the overlap of a pair is counted in each of them apart and
+   summed per pair.
+3. The rest. Classes of a large group that are not in the hub's component are a query set against their group: every
+   possible pair between components is tried. So no link between components is lost, and a group of copies costs as
+   many pairs as it has members.
 
 Defined cases: null, empty or wordless text has an empty set and links with nothing, not even its like; fewer words
 than SHINGLE make one shingle; repeated rows are copies of each other; a row with a null doc_id is a component of its
-own, or takes the smallest id of its component. Set identity is a 64-bit hash.
+own, or takes the smallest id of its component. Set identity is a 64-bit hash. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +33,11 @@ from .graph import components
 from .shared import fragments, written
 
 SHINGLE, PERCENT = 5, 75
-HOT = 200_000  # most shingles in the broadcast table of frequent ones
+HOT = 200_000  # most shingles in the broadcast table of frequent ones (16 bytes each); it only orders, it drops nothing
 LOCAL = 4  # a task reports shingles that it sees in so many documents
 GROUP = 4  # groups up to this size give all pairs at once
-CUTS = 8  # fragments of the order in which overlaps are counted
-SMALL = 200_000
+CUTS = 4  # fragments of the order in which overlaps are counted
+SMALL = 200_000  # rows of two longs that may be broadcast
 
 
 def sets(t: tk.Texts) -> list[np.ndarray]:
@@ -58,35 +63,6 @@ def class_of(s: np.ndarray) -> int:
     return int(tk.mix(np.array([tk.mix(s).sum(dtype=np.uint64) + tk.U(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each shingle's residue, in 2,048 bits, or 16,384 for large sets."""
-    size = 2048 if len(s) <= 1500 else 16384
-    bits = np.zeros(size, bool)
-    bits[(tk.mix(s) & tk.U(size - 1)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
-
-
-def possible(pairs: DataFrame, size: DataFrame) -> DataFrame:
-    """The pairs whose bitmaps allow a link: each bit of one set that the other lacks is at least one shingle that it
-    lacks, so the overlap has an upper bound, and a pair below what a link needs is out."""
-
-    def rows(batches):
-        for b in batches:
-            na, nb = (b.column(i).to_numpy() for i in (2, 4))
-            keep = np.ones(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(3), b.column(5))):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if len(x) != len(y):
-                    m = min(len(x), len(y))
-                    x, y = (np.bitwise_or.reduce(z.reshape(-1, m), 0) for z in (x, y))
-                most = min(na[i] - int(np.bitwise_count(x & ~y).sum()), nb[i] - int(np.bitwise_count(y & ~x).sum()))
-                keep[i] = 100 * most >= PERCENT * (na[i] + nb[i] - most)
-            yield b.select([0, 1]).filter(pa.array(keep))
-
-    a, b = (size.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(rows, "a long, b long")
-
-
 def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -99,20 +75,19 @@ def surveyed(documents: DataFrame) -> DataFrame:
         for part, t in tk.pieces(batches, "text"):
             s = sets(t)
             n = np.array([len(x) for x in s])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column(0), pa.array(n), pa.array([class_of(x) if len(x) else None for x in s], pa.int64()), pa.array(list(map(bitmap, s)), pa.binary()), part.column("key")], ["kind", "a", "n", "c", "bits", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column(0), pa.array(n), pa.array([class_of(x) if len(x) else None for x in s], pa.int64()), part.column("key")], ["kind", "a", "n", "c", "key"])
             lists.extend(s)
             if len(lists) > 4000:  # keeps the counts of shingles seen twice or more
                 seen.append(counted(lists))
                 lists = []
         seen.append(counted(lists))
-        if seen:
-            k, c = np.concatenate([x for x, _ in seen]), np.concatenate([x for _, x in seen])
-            u, inv = np.unique(k, return_inverse=True)
-            c = np.bincount(inv, c, len(u)).astype(np.int64)
-            u, c = u[c >= LOCAL], c[c >= LOCAL]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u.view(np.int64)), pa.array(c), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.binary()), pa.nulls(len(u), pa.int64())], ["kind", "a", "n", "c", "bits", "key"])
+        k, c = np.concatenate([x for x, _ in seen]), np.concatenate([x for _, x in seen])
+        u, inv = np.unique(k, return_inverse=True)
+        c = np.bincount(inv, c, len(u)).astype(np.int64)
+        u, c = u[c >= LOCAL], c[c >= LOCAL]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u.view(np.int64)), pa.array(c), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.int64())], ["kind", "a", "n", "c", "key"])
 
-    return documents.select("doc_id", text_key().alias("key"), "text").mapInArrow(rows, "kind byte, a long, n long, c long, bits binary, key long")
+    return documents.select("doc_id", text_key().alias("key"), "text").mapInArrow(rows, "kind byte, a long, n long, c long, key long")
 
 
 def counted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,33 +96,35 @@ def counted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Order:
-    """The frequent shingles, sorted by hash, with their ranks by frequency."""
+    """The global order: frequent shingles (rows of shingle and count, most frequent first) come last."""
 
     def __init__(self, rows: list[tuple[int, int]]):
         keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
         by = np.argsort(keys)
-        self.keys, self.rank = keys[by], np.arange(len(keys))[::-1][by]  # rows come most frequent first
+        self.keys, self.rank = keys[by], np.arange(len(keys), dtype=np.uint64)[::-1][by]
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.keys >> tk.U(44)).astype(np.int64)] = True
 
-    def prefix(self, s: np.ndarray) -> np.ndarray:
-        p = len(s) - -(-PERCENT * len(s) // 100) + 1
+    def sorted(self, s: np.ndarray) -> np.ndarray:
+        """The places of sorted shingles in the global order, ascending: half the hash; behind 2**63, the rank."""
+        place = s >> tk.U(1)
         maybe = np.flatnonzero(self.gate[(s >> tk.U(44)).astype(np.int64)]) if len(self.keys) else np.zeros(0, np.int64)
         if not len(maybe):
-            return s[:p]
+            return place
         i = np.minimum(np.searchsorted(self.keys, s[maybe]), len(self.keys) - 1)
         on = self.keys[i] == s[maybe]
-        hot = maybe[on]
-        if not len(hot):
-            return s[:p]
-        cold = np.delete(s, hot)
-        if len(cold) >= p:
-            return cold[:p]
-        return np.concatenate((cold, s[hot[np.argsort(self.rank[i[on]])[: p - len(cold)]]]))
+        if not on.any():
+            return place
+        return np.concatenate((np.delete(place, maybe[on]), np.sort(self.rank[i[on]]) + tk.U(1 << 63)))
+
+
+def needed(n, m):
+    """The least overlap of linked sets of n and m."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
 def prefix_rows(documents: DataFrame, order, pieces: int) -> DataFrame:
-    """f (fragment), tokens, owner (place in c and n), c, n: packed, a row per fragment and about a megabyte of text."""
+    """f (fragment), tokens, c (class), n (its size), rest (its shingles from the token on): packed, a row per fragment and some megabytes of text."""
 
     def rows(batches):
         for _, t in tk.pieces(batches, "text", 4 << 20):
@@ -155,100 +132,84 @@ def prefix_rows(documents: DataFrame, order, pieces: int) -> DataFrame:
             for x in sets(t):
                 if len(x):
                     known.setdefault(class_of(x), x)  # copies at hand count once
-            c = np.array(list(known), np.int64)
-            n = np.array([len(x) for x in known.values()], np.int32)
-            pre = [order.value.prefix(x) for x in known.values()]
-            if not pre:
+            if not known:
                 continue
-            tok = np.concatenate(pre)
-            owner = np.repeat(np.arange(len(pre), dtype=np.int32), [len(x) for x in pre])
-            frag = (tk.mix(tok) % tk.U(pieces)).astype(np.int32)
-            by = np.argsort(frag, kind="stable")
-            cut = np.searchsorted(frag[by], np.arange(pieces + 1))
-            out = []
-            for k in range(pieces):
-                part = by[cut[k] : cut[k + 1]]
-                if len(part):
-                    who, place = np.unique(owner[part], return_inverse=True)
-                    out.append((k, tok[part].tobytes(), place.astype(np.int32).tobytes(), c[who].tobytes(), n[who].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["f", "tokens", "owner", "c", "n"])
+            size = np.array([len(x) for x in known.values()], np.uint32)
+            long = (size - (-(-PERCENT * size.astype(np.int64) // 100)) + 1).astype(np.int64)
+            tok = np.concatenate([order.value.sorted(x)[:p] for x, p in zip(known.values(), long)])
+            c, n = np.repeat(np.array(list(known), np.int64), long), np.repeat(size, long)
+            rest = n - (np.arange(len(tok)) - np.repeat(np.cumsum(long) - long, long)).astype(np.uint32)
+            out = tk.packed_by((tk.mix(tok) % tk.U(pieces)).astype(np.int32), pieces, tok, c, n, rest)
+            yield tk.batch_of(out, [pa.int32(), *[pa.binary()] * 4], ["f", "tokens", "c", "n", "rest"])
 
-    return documents.select("text").mapInArrow(rows, "f int, tokens binary, owner binary, c binary, n binary")
+    return documents.select("text").mapInArrow(rows, "f int, tokens binary, c binary, n binary, rest binary")
 
 
 def candidates(packed: DataFrame, pieces: int) -> DataFrame:
-    """kind 0: a pair of classes a < b of compatible sizes. kind 1: class a, of size n, is in the large group of token b."""
+    """kind 0: a possible pair of classes a < b. kind 1: class a, of size n, with rest, is in the large group of token, whose hub is b."""
+    names = ["kind", "a", "b", "token", "n", "rest"]
 
     def rows(batches):
-        tok, cls, size = [], [], []
+        cols = [[] for _ in range(4)]
         for b in batches:
-            for t, o, c, n in zip(*(b.column(i) for i in range(1, 5))):
-                o = np.frombuffer(o.as_buffer(), np.int32)
-                tok.append(np.frombuffer(t.as_buffer(), np.uint64))
-                cls.append(np.frombuffer(c.as_buffer(), np.int64)[o])
-                size.append(np.frombuffer(n.as_buffer(), np.int32)[o])
-        if not tok:
+            for r in zip(*(b.column(i) for i in range(1, 5))):
+                for col, x, d in zip(cols, r, (np.uint64, np.int64, np.uint32, np.uint32)):
+                    col.append(np.frombuffer(x.as_buffer(), d))
+        if not cols[0]:
             return
-        tok, cls, size = np.concatenate(tok), np.concatenate(cls), np.concatenate(size)
+        tok = np.concatenate(cols[0])
         by = np.argsort(tok)
-        tok, cls, size = tok[by], cls[by], size[by]
-        same = np.zeros(len(tok) + 1, bool)
-        same[1:-1] = tok[1:] == tok[:-1]
-        keep = same[:-1] | same[1:]
-        tok, cls, size = tok[keep], cls[keep], size[keep]
-        by = np.lexsort((cls, tok))
-        tok, cls, size = tok[by], cls[by], size[by]
-        if len(tok):  # one row a token and class
-            first = np.concatenate(([True], (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])))
-            tok, cls, size = tok[first], cls[first], size[first]
-        start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, np.int64)
+        same = tok[by][1:] == tok[by][:-1]
+        keep = np.zeros(len(tok), bool)  # shared by two rows or more
+        keep[by[1:][same]] = True
+        keep[by[:-1][same]] = True
+        tok = tok[keep]
+        c, n, rest = (np.concatenate(x)[keep] for x in cols[1:])
+        n, rest = n.astype(np.int64), rest.astype(np.int64)
+        by = np.lexsort((c, n - rest, tok))  # the hub comes first
+        tok, c, n, rest = (x[by] for x in (tok, c, n, rest))
+        new = np.ones(len(tok), bool)  # one row a token and class
+        new[1:] = (tok[1:] != tok[:-1]) | (c[1:] != c[:-1])
+        tok, c, n, rest = (x[new] for x in (tok, c, n, rest))
+        start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
         count = np.diff(np.append(start, len(tok)))
         pairs = []
         for m in range(2, GROUP + 1):
             s = start[count == m]
-            for i in range(m):
-                for j in range(i + 1, m):
-                    pairs.append((s + i, s + j))
-        large = np.repeat(count > GROUP, count)
+            pairs += [(s + i, s + j) for i in range(m) for j in range(i + 1, m)]
+        large = np.flatnonzero(np.repeat(count > GROUP, count))
         hub = np.repeat(start, count)
-        pairs.append((hub[large], np.flatnonzero(large)))
+        pairs.append((hub[large], large))
         a, b = (np.concatenate(x) for x in zip(*pairs))
-        fits = (a != b) & (100 * np.minimum(size[a], size[b]).astype(np.int64) >= PERCENT * np.maximum(size[a], size[b]).astype(np.int64))
-        two = np.unique(np.stack((cls[a[fits]], cls[b[fits]]), 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(two), np.int8)), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(np.zeros(len(two), np.int32))], ["kind", "a", "b", "n"])
-        for k in range(0, int(large.sum()), 100_000):
-            at = np.flatnonzero(large)[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(cls[at]), pa.array(tok[at].view(np.int64)), pa.array(size[at])], ["kind", "a", "b", "n"])
+        lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        fits = (a != b) & (100 * lo >= PERCENT * hi) & (np.minimum(rest[a], rest[b]) >= needed(lo, hi))
+        two = np.unique(np.sort(np.stack((c[a[fits]], c[b[fits]]), 1), 1), axis=0)
+        none = np.zeros(len(two), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(none.astype(np.int8)), *(pa.array(np.ascontiguousarray(x)) for x in (two[:, 0], two[:, 1], none, none, none))], names)
+        for k in range(0, len(large), 100_000):
+            at = large[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), *(pa.array(x) for x in (c[at], c[hub[at]], tok[at].view(np.int64), n[at], rest[at]))], names)
 
-    return packed.repartition(pieces, "f").mapInArrow(rows, "kind byte, a long, b long, n int")
+    return packed.repartition(pieces, "f").mapInArrow(rows, "kind byte, a long, b long, token long, n long, rest long")
 
 
-def segments(documents: DataFrame, reps: DataFrame) -> DataFrame:
-    """c, f, s: each wanted class's shingles in each of CUTS fragments (six bytes a shingle: low four, then high two)."""
+def segments(documents: DataFrame, reps: DataFrame, order) -> DataFrame:
+    """c, f, s: each wanted class's shingles in each of CUTS fragments of the order (the last holds the frequent ones)."""
+    pivots = np.array([(1 << 63) // (CUTS - 1) * i for i in range(1, CUTS - 1)] + [1 << 63], np.uint64)
 
     def rows(batches):
         for part, t in tk.pieces(batches, "text"):
-            c, f, s = [], [], []
+            out = []
             for k, x in zip(part.column(0).to_pylist(), sets(t)):
-                cut = np.searchsorted(x, np.arange(CUTS, dtype=np.uint64) << tk.U(61))
-                for i, (lo, hi) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(x)])):
-                    if hi > lo:
-                        y = x[lo:hi]
-                        c.append(k)
-                        f.append(i)
-                        s.append(y.astype(np.uint32).tobytes() + (y >> tk.U(32)).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.array(s, pa.binary())], ["c", "f", "s"])
+                x = order.value.sorted(x)
+                cut = [0, *np.searchsorted(x, pivots).tolist(), len(x)]
+                out += [(k, i, x[cut[i] : cut[i + 1]].tobytes()) for i in range(CUTS) if cut[i + 1] > cut[i]]
+            yield tk.batch_of(out, [pa.int64(), pa.int32(), pa.binary()], ["c", "f", "s"])
 
     reps = F.broadcast(reps) if reps.count() <= SMALL else reps
     return documents.select(text_key().alias("key"), "text").join(reps, "key").dropDuplicates(["c"]).select("c", "text").mapInArrow(rows, "c long, f int, s binary")
 
 
-def tokens(b: pa.Scalar) -> np.ndarray:
-    raw = b.as_buffer()
-    n = raw.size // 6
-    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << tk.U(32)
-
-
 def linked(pairs: DataFrame, segs: DataFrame, size: DataFrame) -> DataFrame:
     """The pairs that link: overlaps are counted in each fragment and summed per pair."""
 
@@ -256,8 +217,7 @@ def linked(pairs: DataFrame, segs: DataFrame, size: DataFrame) -> DataFrame:
         for b in batches:
             got = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = tokens(x), tokens(y)
-                m = np.sort(np.concatenate((x, y)))
+                m = np.sort(np.concatenate([np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y)]))
                 got.append(int((m[1:] == m[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.int64())], ["a", "b", "part"])
 
@@ -267,7 +227,20 @@ def linked(pairs: DataFrame, segs: DataFrame, size: DataFrame) -> DataFrame:
     return both.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, rounds: int = 2, keyed: bool = False) -> DataFrame:
+def between_components(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: the possible pairs of a large group whose classes are in different components. Those outside the hub's
+    component are the query set; a pair's sizes are in the same or neighbouring steps of 4 : 3."""
+    of = labels.withColumnRenamed("node", "a")
+    hubs = labels.select(F.col("node").alias("b"), F.col("label").alias("home"))
+    step = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))
+    left = groups.join(of, "a", "left").join(hubs, "b", "left").select("token", "a", "n", "rest", F.coalesce("label", "a").alias("label"), F.coalesce("home", "b").alias("home"), step.alias("step"))
+    left = written(left, "near-left")
+    asked = left.where("label <> home").select("token", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("label").alias("label2"), F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))).alias("step"))
+    possible = f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2) AND {100 + PERCENT} * least(rest, rest2) >= {PERCENT} * (n + n2)"
+    return left.join(asked, ["token", "step"]).where(f"label <> label2 AND {possible}").select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct()
+
+
+def near_duplicates(documents: DataFrame, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document. keyed adds the key of its text and whether it is the
     first of its component by id and key (null without an id)."""
     spark = documents.sparkSession
@@ -277,36 +250,21 @@ def near_duplicates(documents: DataFrame, rounds: int = 2, keyed: bool = False)
     hot = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HOT).select("a", "n").collect()  # at most HOT
     order = spark.sparkContext.broadcast(Order(hot))
     found = written(candidates(prefix_rows(documents, order, pieces), pieces), "near-candidates")
-    tried = written(found.where("kind = 0").select("a", "b").distinct(), "near-pairs")
-    groups = found.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("c"), "n")
-    size = written(survey.where("kind = 0 AND c IS NOT NULL").groupBy("c").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("bits").alias("bits")), "near-classes")
+    size = written(survey.where("kind = 0 AND c IS NOT NULL").groupBy("c").agg(F.min("key").alias("key"), F.max("n").alias("n")), "near-classes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = written(possible(pairs, size), "near-possible")
-        named = left.select(F.col("a").alias("c")).union(left.select("b")).distinct()
-        segs = written(segments(documents, size.join(named, "c", "left_semi").select("key", "c")), "near-segments")
-        return written(linked(left, segs, size), "near-links")
+        named = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        segs = written(segments(documents, size.join(named, "c", "left_semi").select("key", "c"), order), "near-segments")
+        return written(linked(pairs, segs, size), "near-links")
 
+    tried = written(found.where("kind = 0").select("a", "b").distinct(), "near-pairs")
     links = verified(tried)
     labels = components(links)
-    for k in range(rounds + 1):
-        left = groups.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-        several = left.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-        left = written(left.join(several, "token"), "near-left")
-        if not left.head(1):
-            break
-        if k < rounds:
-            hub = left.groupBy("token").agg(F.min_by(F.struct("c", "n", "label"), F.xxhash64("c", F.lit(k))).alias("h")).select("token", F.col("h.c").alias("c2"), F.col("h.n").alias("n2"), F.col("h.label").alias("label2"))
-        else:  # whatever is still apart is compared with all of its group outside its component
-            hub = left.select("token", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        new = left.join(hub, "token").where(f"label <> label2 AND 100 * least(n, n2) >= {PERCENT} * greatest(n, n2)").select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
-        new = written(new.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if new.head(1):
-            links = links.unionByName(verified(new))
-            tried = tried.unionByName(new)
-            labels = components(links)
+    more = written(between_components(found.where("kind = 1").select("token", "a", "b", "n", "rest"), labels).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    if more.head(1):
+        labels = components(links.unionByName(verified(more)))
     named = docs.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("best"))
     first = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.struct("doc_id", "key") == F.col("best"), F.lit(True)))
-    more = ["key", first.alias("first")] if keyed else []
-    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *more)
+    extra = ["key", first.alias("first")] if keyed else []
+    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *extra)

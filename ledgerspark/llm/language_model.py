@@ -50,18 +50,6 @@ def tokens(t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def packed_by(frag: np.ndarray, pieces: int, *arrays: np.ndarray):
-    """(fragment, bytes of each array's part) of the fragments that have any."""
-    by = np.argsort(frag, kind="stable")
-    cut = np.searchsorted(frag[by], np.arange(pieces + 1))
-    arrays = [a[by] for a in arrays]
-    return [(k, *(a[cut[k] : cut[k + 1]].tobytes() for a in arrays)) for k in range(pieces) if cut[k + 1] > cut[k]]
-
-
-def batch_of(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
-
-
 def training(documents: DataFrame) -> DataFrame:
     """text, tune of the training documents."""
     fold = F.crc32(F.coalesce(F.col("doc_id"), F.lit("")).cast("string")) % FOLDS
@@ -85,13 +73,13 @@ def type_counts(train: DataFrame, keys_of, width: type, pieces: int) -> DataFram
             if size > 3_000_000:
                 some = [merged(some)]
                 if len(some[0][0]) > 1_500_000:
-                    yield batch_of(packed_by(place(some[0][0], pieces), pieces, *some[0]), kinds, names)
+                    yield tk.batch_of(tk.packed_by(place(some[0][0], pieces), pieces, *some[0]), kinds, names)
                     some = []
                 size = sum(len(x[0]) for x in some)
         if some:
             got = merged(some)
             if len(got[0]):
-                yield batch_of(packed_by(place(got[0], pieces), pieces, *got), kinds, names)
+                yield tk.batch_of(tk.packed_by(place(got[0], pieces), pieces, *got), kinds, names)
 
     assert bits in (4, 8)
     return train.mapInArrow(rows, "f int, keys binary, rest binary, tune binary").repartition(pieces, "f")
@@ -227,7 +215,7 @@ def fit(documents: DataFrame) -> Model:
             i, x, before, after = m.unnumbered(h, w, v)
             tune = np.repeat(np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool), np.diff(at))[i]
             if len(i):
-                yield batch_of(packed_by(place(x, pieces), pieces, x, before, after, tune), [pa.int32(), *[pa.binary()] * 4], ["f", "x", "before", "after", "tune"])
+                yield tk.batch_of(tk.packed_by(place(x, pieces), pieces, x, before, after, tune), [pa.int32(), *[pa.binary()] * 4], ["f", "x", "before", "after", "tune"])
 
     def unnumbered_cells(batches):
         m = shared.value
@@ -313,11 +301,11 @@ def scores(documents: DataFrame) -> DataFrame:
             here = np.concatenate([x.astype(np.float64).view(np.int64) for x in (base, score)] + [seen.astype(np.int64), np.diff(at), part.column(3).fill_null(0).to_numpy().astype(np.int64), np.asarray(part.column(3).is_null().to_numpy(zero_copy_only=False), np.int64), (~train).astype(np.int64)]).tobytes()
             flags = train.tobytes()
             j, x, before, after = m.unnumbered(h, w, v)
-            r = {k: y for k, *y in packed_by(place(x, pieces), pieces, x, own[j], j.astype(np.int32), before, after)}
-            q = {k: y for k, *y in packed_by(place(key[far], pieces), pieces, key[far], own[far])}
+            r = {k: y for k, *y in tk.packed_by(place(x, pieces), pieces, x, own[j], j.astype(np.int32), before, after)}
+            q = {k: y for k, *y in tk.packed_by(place(key[far], pieces), pieces, key[far], own[far])}
             out = [(k, chunk, *(r.get(k) or (b"",) * 5), *(q.get(k) or (b"",) * 2), flags, b"") for k in sorted({*r, *q})]
             out.append((int(place(np.array([chunk]), pieces)[0]), chunk, *(b"",) * 7, flags, here))
-            yield batch_of(out, [pa.int32(), pa.int64(), *[pa.binary()] * 9], ["f", "chunk", *kinds, "here"])
+            yield tk.batch_of(out, [pa.int32(), pa.int64(), *[pa.binary()] * 9], ["f", "chunk", *kinds, "here"])
 
     def sums(batches):
         m = shared.value
@@ -366,7 +354,7 @@ def scores(documents: DataFrame) -> DataFrame:
                 add(j, a["pair_own"][j], none[s], score[s], none[s])
         out = [(chunk, b"".join(x.astype(np.float64).tobytes() for x in p), *late.get(chunk, (b"", b"")), b"") for chunk, p in part.items()]
         out += [(r[0], b"", b"", b"", r[9]) for r in got if r[9]]
-        yield batch_of(out, [pa.int64(), *[pa.binary()] * 4], ["chunk", "part", "late_w", "late_v", "here"])
+        yield tk.batch_of(out, [pa.int64(), *[pa.binary()] * 4], ["chunk", "part", "late_w", "late_v", "here"])
 
     def joined(batches):
         """All rows of a chunk are in one partition: its documents' own sums, those of the fragments, and the pairs without numbers."""

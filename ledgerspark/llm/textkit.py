@@ -164,3 +164,16 @@ def per_text_sum(values: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Sums of values over each text's range."""
     c = np.concatenate(([0], np.cumsum(values)))
     return c[own[1:]] - c[own[:-1]]
+
+
+def packed_by(frag: np.ndarray, pieces: int, *arrays: np.ndarray) -> list[tuple]:
+    """(fragment, bytes of each array's part) of the fragments that have any."""
+    by = np.argsort(frag, kind="stable")
+    cut = np.searchsorted(frag[by], np.arange(pieces + 1))
+    arrays = [a[by] for a in arrays]
+    return [(k, *(a[cut[k] : cut[k + 1]].tobytes() for a in arrays)) for k in range(pieces) if cut[k + 1] > cut[k]]
+
+
+def batch_of(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    """Rows as a batch; none make an empty one."""
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
