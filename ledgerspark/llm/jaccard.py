@@ -9,7 +9,8 @@ The global order of shingles is by hash, with the frequent shingles last, by fre
    order). At the first one that they share, neither has more than what is left of the shorter rest to share, so a
    pair is possible only if both rests hold the overlap that a link needs (and the sizes allow one). Classes that
    share a prefix shingle form a group. A small group gives all its possible pairs; a large one gives each class with
-   the group's hub, the class with the fewest shingles before the group's.
+   the group's hub, the class with the fewest shingles before the group's. Bitmaps of the sets bound each pair's
+   overlap from above and rule most of the unlike ones out.
 2. Overlaps. The global order is cut into CUTS fragments; the overlap of a pair is counted in each of them apart and
    summed per pair.
 3. The rest. Classes of a large group that are not in the hub's component are a query set against their group: every
@@ -63,6 +64,35 @@ def class_of(s: np.ndarray) -> int:
     return int(tk.mix(np.array([tk.mix(s).sum(dtype=np.uint64) + tk.U(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle's residue, in 2,048 bits, or 16,384 for large sets."""
+    size = 2048 if len(s) <= 1500 else 16384
+    bits = np.zeros(size, bool)
+    bits[(tk.mix(s) & tk.U(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def possible(pairs: DataFrame, size: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps allow a link: each bit of one set that the other lacks is at least one shingle that it
+    lacks, so the overlap has an upper bound, and a pair below what a link needs is out."""
+
+    def rows(batches):
+        for b in batches:
+            na, nb = (b.column(i).to_numpy() for i in (2, 4))
+            keep = np.ones(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column(3), b.column(5))):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                if len(x) != len(y):
+                    m = min(len(x), len(y))
+                    x, y = (np.bitwise_or.reduce(z.reshape(-1, m), 0) for z in (x, y))
+                most = min(na[i] - int(np.bitwise_count(x & ~y).sum()), nb[i] - int(np.bitwise_count(y & ~x).sum()))
+                keep[i] = most >= needed(na[i], nb[i])
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    a, b = (size.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(rows, "a long, b long")
+
+
 def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -75,7 +105,7 @@ def surveyed(documents: DataFrame) -> DataFrame:
         for part, t in tk.pieces(batches, "text"):
             s = sets(t)
             n = np.array([len(x) for x in s])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column(0), pa.array(n), pa.array([class_of(x) if len(x) else None for x in s], pa.int64()), part.column("key")], ["kind", "a", "n", "c", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column(0), pa.array(n), pa.array([class_of(x) if len(x) else None for x in s], pa.int64()), pa.array(list(map(bitmap, s)), pa.binary()), part.column("key")], ["kind", "a", "n", "c", "bits", "key"])
             lists.extend(s)
             if len(lists) > 4000:  # keeps the counts of shingles seen twice or more
                 seen.append(counted(lists))
@@ -85,9 +115,9 @@ def surveyed(documents: DataFrame) -> DataFrame:
         u, inv = np.unique(k, return_inverse=True)
         c = np.bincount(inv, c, len(u)).astype(np.int64)
         u, c = u[c >= LOCAL], c[c >= LOCAL]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u.view(np.int64)), pa.array(c), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.int64())], ["kind", "a", "n", "c", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u.view(np.int64)), pa.array(c), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.binary()), pa.nulls(len(u), pa.int64())], ["kind", "a", "n", "c", "bits", "key"])
 
-    return documents.select("doc_id", text_key().alias("key"), "text").mapInArrow(rows, "kind byte, a long, n long, c long, key long")
+    return documents.select("doc_id", text_key().alias("key"), "text").mapInArrow(rows, "kind byte, a long, n long, c long, bits binary, key long")
 
 
 def counted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -250,9 +280,10 @@ def near_duplicates(documents: DataFrame, keyed: bool = False) -> DataFrame:
     hot = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HOT).select("a", "n").collect()  # at most HOT
     order = spark.sparkContext.broadcast(Order(hot))
     found = written(candidates(prefix_rows(documents, order, pieces), pieces), "near-candidates")
-    size = written(survey.where("kind = 0 AND c IS NOT NULL").groupBy("c").agg(F.min("key").alias("key"), F.max("n").alias("n")), "near-classes")
+    size = written(survey.where("kind = 0 AND c IS NOT NULL").groupBy("c").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("bits").alias("bits")), "near-classes")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(possible(pairs, size), "near-possible")
         named = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
         segs = written(segments(documents, size.join(named, "c", "left_semi").select("key", "c"), order), "near-segments")
         return written(linked(pairs, segs, size), "near-links")
