@@ -32,7 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def held_out(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds, equals 1. A null id counts as the text ''."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % folds == 1
+    return fold_of(doc_id, folds) == 1
+
+
+def fold_of(doc_id: Column | str, folds: int) -> Column:
+    """crc32 of the id as text, modulo folds."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
 def fragments(spark: SparkSession) -> int:
