@@ -14,21 +14,24 @@ Where both words of a pair lack numbers, one fragment returns c(v) and c(v, w),
 them together. Numbers thus save work and change no count; what is gathered grows with the input.
 
 The cells of expectation-maximisation hold p2 and p1 in quarter powers of two; of a pair without numbers p1 is the mean of
-such words. Under one word without a number, neighbours without numbers are told apart by 31 bits of their hashes.
+such words. Fragments grow in number with the tokens, FRAGMENT training tokens to one, so a task's memory stays bounded.
 
 Defined cases: null or empty text is one end; repeated rows each count and are each scored; a null id has the text
-'' in the fold rule; without training tokens every probability is 1 and N is 0.
+'' in the fold rule; without training tokens every probability is 1 and N is 0. Extra columns are ignored. A chunk is named
+by its first row's place in the input, so an input that comes out of a shuffle is to be written first.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import fragments, held_out, written
+from .shared import fold_of, fragments, held_out, written
 
 NONE = 0xFFFF  # stands for a word without a number
 FREQUENT = NONE
@@ -36,7 +39,8 @@ HEAVY = 1 << 17
 FOLDS, TUNE = 5, 2  # of the training folds, documents with remainder TUNE are held out for the weights
 END = np.uint64(0x5DEECE66D1234567)
 BUCKETS = 40
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+FRAGMENT = 1_000_000
 
 
 def tokens(t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +56,7 @@ def tokens(t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def training(documents: DataFrame) -> DataFrame:
     """text, tune of the training documents."""
-    fold = F.crc32(F.coalesce(F.col("doc_id"), F.lit("")).cast("string")) % FOLDS
+    fold = fold_of("doc_id", FOLDS)
     return documents.where(fold != 1).select("text", (fold == TUNE).alias("tune"))
 
 
@@ -96,8 +100,14 @@ def merged(some: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def unpacked(batches, width: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    some = [tuple(np.frombuffer(x.as_buffer(), d) for x, d in zip(r, (width, np.uint32, np.uint32))) for b in batches for r in zip(*(b.column(i) for i in (1, 2, 3)))]
-    return merged(some) if some else (np.zeros(0, width), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+    some, size = [(np.zeros(0, width), np.zeros(0, np.uint32), np.zeros(0, np.uint32))], 0
+    for b in batches:
+        for r in zip(*(b.column(i) for i in (1, 2, 3))):
+            some.append(tuple(np.frombuffer(x.as_buffer(), d) for x, d in zip(r, (width, np.uint32, np.uint32))))
+            size += len(some[-1][0])
+        if size > max(1_000_000, len(some[0][0])):  # merged as they come, so that only distinct keys stay
+            some, size = [merged(some)], 0
+    return merged(some)
 
 
 def bucket_of(c: np.ndarray) -> np.ndarray:
@@ -116,6 +126,11 @@ def counted(keys: np.ndarray, on: np.ndarray) -> np.ndarray:
     return np.bincount(inv, on, len(u)).astype(np.int64)[inv]
 
 
+def sized(pieces: int, n: int) -> int:
+    """Fragments for n training tokens."""
+    return max(pieces, math.ceil(n / FRAGMENT))
+
+
 class Model:
     """words (sorted hashes), their counts outside the tuning fold (rest) and in all (total); N, V; heavy pairs; weights."""
 
@@ -155,9 +170,9 @@ class Model:
 
     def unnumbered(self, h: np.ndarray, w: np.ndarray, v: np.ndarray):
         """Places of words without numbers, their hashes, the numbers before them and marks of the words after them
-        (an end has a number, so each has a word after it): numbers, or 31 bits of the hash behind a set bit."""
+        (an end has a number, so each has a word after it): numbers, or the hash behind a set bit."""
         i = np.flatnonzero(w < 0)
-        after = np.where(w[i + 1] >= 0, w[i + 1].astype(np.int64), (h[i + 1] >> tk.U(33)).astype(np.int64) | 1 << 31).astype(np.uint32)
+        after = np.where(w[i + 1] >= 0, w[i + 1].astype(np.uint64), h[i + 1] | tk.U(1 << 63))
         return i, h[i], np.where(v[i] >= 0, v[i], NONE).astype(np.uint16), after
 
 
@@ -185,6 +200,7 @@ def fit(documents: DataFrame) -> Model:
     if not len(model.words):
         model.weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
         return model
+    pieces = sized(pieces, model.n)
     shared = spark.sparkContext.broadcast(model)
     rare = max(model.n_rest - int(model.rest.sum()), 1) / max(model.n_rest, 1) / max(model.v - len(model.words), 1)
 
@@ -219,18 +235,18 @@ def fit(documents: DataFrame) -> Model:
 
     def unnumbered_cells(batches):
         m = shared.value
-        got = [[np.frombuffer(x.as_buffer(), d) for x, d in zip(r, (np.uint64, np.uint16, np.uint32, bool))] for b in batches for r in zip(*(b.column(i) for i in range(1, 5)))]
+        got = [[np.frombuffer(x.as_buffer(), d) for x, d in zip(r, (np.uint64, np.uint16, np.uint64, bool))] for b in batches for r in zip(*(b.column(i) for i in range(1, 5)))]
         if not got:
             return
         x, before, after, tune = (np.concatenate(a) for a in zip(*got))
         c, n = counted(x, ~tune), max(m.n_rest, 1)
         with_before = counted(tk.mix(x + tk.mix(before.astype(np.uint64))), ~tune)
-        with_after = counted(tk.mix(x + tk.mix(after.astype(np.uint64) + tk.U(1 << 32))), ~tune)
+        with_after = counted(tk.mix(x + tk.mix(after + tk.U(1 << 32))), ~tune)
         on = tune & (before != NONE)
         v = before[on].astype(np.int64)
         yield cell_rows(m.bucket(v, m.rest), with_before[on] / np.maximum(m.rest[v], 1), c[on] / n)
-        w = after[tune].astype(np.int64)
-        p1 = np.where(w < NONE, m.rest[np.minimum(w, len(m.rest) - 1)] / n, rare)
+        w = after[tune]
+        p1 = np.where(w < NONE, m.rest[np.minimum(w, tk.U(len(m.rest) - 1)).astype(np.int64)] / n, rare)
         yield cell_rows(bucket_of(c[tune]), with_after[tune] / np.maximum(c[tune], 1), p1)
 
     rest = train.mapInArrow(sent, "f int, x binary, before binary, after binary, tune binary").repartition(pieces, "f").mapInArrow(unnumbered_cells, schema)
@@ -272,8 +288,10 @@ def scores(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
     spark = documents.sparkSession
     pieces = fragments(spark)
-    shared = spark.sparkContext.broadcast(fit(documents))
-    kinds = {"x": np.uint64, "x_own": np.int32, "x_at": np.int32, "before": np.uint16, "after": np.uint32, "pair": np.uint32, "pair_own": np.int32, "train": bool}
+    model = fit(documents)
+    pieces = sized(pieces, model.n)
+    shared = spark.sparkContext.broadcast(model)
+    kinds = {"x": np.uint64, "x_own": np.int32, "x_at": np.int32, "before": np.uint16, "after": np.uint64, "pair": np.uint32, "pair_own": np.int32, "train": bool}
 
     def mixed(m, b, p2, c):
         lam = m.weights[b]
@@ -310,10 +328,10 @@ def scores(documents: DataFrame) -> DataFrame:
     def sums(batches):
         m = shared.value
         unit = m.n + 0.5 * (m.v + 1)
-        got = [[x.as_py() for x in r] for b in batches for r in zip(*(b.column(i) for i in range(1, 11)))]
+        got = [(r[0].as_py(), *(x.as_buffer() for x in r[1:])) for b in batches for r in zip(*(b.column(i) for i in range(1, 11)))]
         if not got:
             return
-        a = {k: [np.frombuffer(r[i], d) for r in got] for i, (k, d) in enumerate(kinds.items(), 1)}
+        a = {k: [np.frombuffer(r[i], d) for r in got] for i, (k, d) in enumerate(kinds.items(), 1)}  # views of the batches
         part: dict[int, list[np.ndarray]] = {}
         late: dict[int, tuple[bytes, bytes]] = {}
 
@@ -330,8 +348,8 @@ def scores(documents: DataFrame) -> DataFrame:
             mine = np.concatenate([t[o] for t, o in zip(a["train"], a["x_own"])])
             c = counted(x, mine)
             with_before = counted(tk.mix(x + tk.mix(before.astype(np.uint64))), mine)
-            with_after = counted(tk.mix(x + tk.mix(after.astype(np.uint64) + tk.U(1 << 32))), mine)
-            v, w = np.minimum(before, len(m.total) - 1).astype(np.int64), np.minimum(after, len(m.total) - 1).astype(np.int64)
+            with_after = counted(tk.mix(x + tk.mix(after + tk.U(1 << 32))), mine)
+            v, w = np.minimum(before, len(m.total) - 1).astype(np.int64), np.minimum(after, tk.U(len(m.total) - 1)).astype(np.int64)
             lone, open_ = before == NONE, after >= NONE
             score = np.where(lone, 0.0, mixed(m, m.bucket(v, m.total), with_before / m.total[v], c))
             score += np.where(open_, 0.0, mixed(m, bucket_of(c), with_after / np.maximum(c, 1), m.total[w]))
@@ -353,7 +371,7 @@ def scores(documents: DataFrame) -> DataFrame:
             for j, s in spread([len(k) for k in a["pair"]]):
                 add(j, a["pair_own"][j], none[s], score[s], none[s])
         out = [(chunk, b"".join(x.astype(np.float64).tobytes() for x in p), *late.get(chunk, (b"", b"")), b"") for chunk, p in part.items()]
-        out += [(r[0], b"", b"", b"", r[9]) for r in got if r[9]]
+        out += [(r[0], b"", b"", b"", r[9].to_pybytes()) for r in got if r[9].size]
         yield tk.batch_of(out, [pa.int64(), *[pa.binary()] * 4], ["chunk", "part", "late_w", "late_v", "here"])
 
     def joined(batches):
