@@ -38,6 +38,7 @@ def auth_text(category: str = "risk_category") -> Column:
     return out
 
 
+#: The texts of the reasons are fixed.
 def explanations(df: DataFrame) -> Column:
     c = lambda n, d=0: F.coalesce(F.col(n), F.lit(d)) if n in df.columns else F.lit(d)
     pct = lambda n, f: F.format_string(f, c(n).cast("double") * 100)
@@ -90,11 +91,22 @@ def confusion(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return t.withColumn("precision", zero(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", zero(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("f1", zero(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
+def running(df: DataFrame, by: str, sums: dict[str, str], down: bool = False, scale: int = 4096) -> DataFrame:
+    """Running sums in the order of by, inside bins of 1 / scale plus the totals of the bins before: no task orders all
+    rows. For scores from 0 to 1 there are at most scale + 1 bins; equal values get the sum of all of them."""
+    df = df.withColumn("_bin", F.floor(F.col(by) * scale))
+    totals = df.groupBy("_bin").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    before = Window.orderBy(F.desc("_bin") if down else F.asc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_bin", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))
+    inside = Window.partitionBy("_bin").orderBy(F.desc(by) if down else F.asc(by))
+    out = df.join(F.broadcast(totals), "_bin").withColumns({new: F.sum(c).over(inside) + F.col(f"_b_{c}") for c, new in sums.items()})
+    return out.drop("_bin", *(f"_b_{c}" for c in sums))
+
+
 def by_score(df: DataFrame) -> DataFrame:
-    """Positives and negatives a distinct score, and their sums from the top; what is ordered is the distinct scores."""
-    g = df.groupBy("proba").agg(F.sum("isFraud").cast("long").alias("pos"), F.sum(1 - F.col("isFraud")).cast("long").alias("neg"))
-    w = Window.orderBy(F.desc("proba"))
-    return g.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    """Positives and negatives a distinct score, and their sums from the top."""
+    g = df.where("proba IS NOT NULL").groupBy("proba").agg(F.sum("isFraud").cast("long").alias("pos"), F.sum(1 - F.col("isFraud")).cast("long").alias("neg"))
+    return running(g, "proba", {"pos": "tp", "neg": "fp"}, down=True)
 
 
 def roc_curve(df: DataFrame) -> DataFrame:
@@ -109,7 +121,7 @@ def auc(df: DataFrame) -> DataFrame:
 
 def rank_normalised(df: DataFrame) -> DataFrame:
     g = df.groupBy("proba").agg(F.count("*").alias("ties"))
-    g = g.withColumn("rank", F.sum("ties").over(Window.orderBy("proba")) - (F.col("ties") - 1) / 2)
+    g = running(g, "proba", {"ties": "_upto"}).select("proba", (F.col("_upto") - (F.col("ties") - 1) / 2).alias("rank"))
     n = df.agg(F.count("*").alias("n"))
     return df.join(g, "proba").crossJoin(F.broadcast(n)).select("TransactionID", (F.col("rank") / F.col("n")).alias("rank_norm"))
 
@@ -142,12 +154,6 @@ def report_rollup(df: DataFrame) -> DataFrame:
     return df.rollup("ProductCD", "hour").agg(F.avg("isFraud").alias("fraud_rate"), F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
 
 
-def histogram(df: DataFrame, column: str = "proba", bins: int = 50) -> DataFrame:
-    df = df.crossJoin(F.broadcast(df.agg(F.min(column).alias("_mn"), F.max(column).alias("_mx"))))
-    b = F.least(F.floor((F.col(column) - F.col("_mn")) / ((F.col("_mx") - F.col("_mn")) / bins)), F.lit(bins - 1))
-    return df.groupBy(b.cast("int").alias("bin"), "isFraud").agg(F.count("*").alias("n"))
-
-
 def roi(df: DataFrame, n: float = 50e6, rate: float = 0.035) -> DataFrame:
     m = confusion(df)
     f, legit = n * rate, n * (1 - rate)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, flag, smoothed
 
+#: Free mail providers.
 FREE_MAIL = ("gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com mail.com ymail.com live.com msn.com protonmail.com gmx.com yahoo.co.jp "
              "yahoo.co.uk comcast.net cox.net sbcglobal.net verizon.net att.net bellsouth.net charter.net earthlink.net").split()
 AMT, ID, DT, Y = "TransactionAmt", "TransactionID", "TransactionDT", "isFraud"
@@ -129,7 +130,8 @@ def uid_time_bins(df: DataFrame) -> DataFrame:
     return df.withColumns({"uid_spike_1h": flag(F.col("uid_count_1h") >= 3), "uid_spike_24h": flag(F.col("uid_count_24h") >= 10), "uid_amount_spike": flag(F.col("uid_sum_24h") > 3 * F.avg(AMT).over(uid)), "uid_peak_hourly": F.max("uid_count_1h").over(uid)})
 
 
-def frequency_encoding(df: DataFrame, columns: tuple[str, ...] = ("card1", "card2", "addr1", "P_emaildomain", "DeviceInfo", "ProductCD"), rare: float = 1e-4) -> DataFrame:
+def frequency_encoding(df: DataFrame, columns: tuple[str, ...] = ("card1", "card2", "addr1", "addr2", "P_emaildomain", "R_emaildomain", "DeviceInfo", "ProductCD"), rare: float = 1e-4) -> DataFrame:
+    columns = [c for c in columns if c in df.columns]
     df = df.crossJoin(F.broadcast(df.agg(*(F.count(c).alias(f"_n_{c}") for c in columns))))
     for c in columns:
         df = look_up(df, [c], **{f"{c}_freq": F.count("*")}).withColumn(f"{c}_freq", F.coalesce(F.col(f"{c}_freq") / F.col(f"_n_{c}"), F.lit(0.0))).withColumn(f"{c}_is_rare", flag(F.col(f"{c}_freq") < rare))
@@ -144,9 +146,10 @@ def peer_deviation(df: DataFrame, peers: tuple[str, ...] = ("ProductCD", "card4"
     return df.withColumn("peer_deviation", F.coalesce(F.try_divide(total, F.size(there)), F.lit(0.0))).withColumn("is_peer_outlier", flag(F.col("peer_deviation") > 2))
 
 
-def target_encoding(df: DataFrame, columns: tuple[str, ...] = ("card1", "card2", "addr1", "P_emaildomain"), weight: float = 50.0, fit: DataFrame | None = None) -> DataFrame:
+def target_encoding(df: DataFrame, columns: tuple[str, ...] = ("card1", "card2", "addr1", "addr2", "P_emaildomain"), weight: float = 50.0, fit: DataFrame | None = None) -> DataFrame:
     """Smoothed label means; fit: the rows the statistics come from (default the same rows)."""
     fit = df if fit is None else fit
+    columns = [c for c in columns if c in df.columns]
     prior = fit.agg(F.avg(Y).alias("_g"))
     df = df.crossJoin(F.broadcast(prior))
     for c in columns:
@@ -211,7 +214,9 @@ def interactions(df: DataFrame, high: float = 500.0) -> DataFrame:
     big = flag(F.col(AMT) > high)
     return df.withColumns({"amount_x_night": c("log_amount") * c("is_night"), "amount_x_weekend": c("log_amount") * c("is_weekend"), "round_x_night": c("is_suspicious_round") * c("is_night"), "round_x_new_device": c("is_suspicious_round") * c("is_unusual_device"),
                            "night_x_unusual_device": c("is_night") * c("is_unusual_device"), "dormant_x_night": c("is_low_activity_user") * c("is_night"), "new_acct_x_round": c("first_txn_high_value") * c("is_suspicious_round"), "rapid_fire_x_night": c("is_rapid_fire") * c("is_night"),
-                           "rapid_fire_x_high_amt": c("is_rapid_fire") * big, "velocity_x_new_device": c("is_rapid_fire") * c("is_unusual_device"), "free_email_x_high_amt": c("is_free_email") * big, "fraud_neighbor_x_night": c("has_fraud_neighbor") * c("is_night")})
+                           "rapid_fire_x_high_amt": c("is_rapid_fire") * big, "velocity_x_new_device": c("is_rapid_fire") * c("is_unusual_device"), "free_email_x_high_amt": c("is_free_email") * big, "fraud_neighbor_x_night": c("has_fraud_neighbor") * c("is_night"),
+                           "shared_device_x_network": c("is_shared_device") * flag((F.col("users_per_address") if "users_per_address" in df.columns else F.lit(1)) > 5), "graph_fraud_comm_x_night": c("graph_community_fraud_rate") * c("is_night"),
+                           "graph_fraud_comm_x_high_amt": c("graph_community_fraud_rate") * big, "graph_bridge_x_unusual_device": c("graph_is_bridge") * c("is_unusual_device"), "graph_fraud_neighbor_x_round": c("graph_fraud_neighbor_ratio") * c("is_suspicious_round")})
 
 
 def all_features(df: DataFrame) -> DataFrame:
@@ -224,3 +229,46 @@ def all_features(df: DataFrame) -> DataFrame:
             side = step(side)
         out = out.join(side.select(ID, *(c for c in side.columns if c not in base.columns)), ID)
     return interactions(out)
+
+
+CATEGORIES = ("card1", "card2", "card4", "card5", "card6", "ProductCD", "addr1", "addr2", "P_emaildomain", "R_emaildomain", "DeviceInfo", "DeviceType")
+
+
+def initial_clean(df: DataFrame, columns: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """Categories as strings; the text 'nan' is null."""
+    return df.withColumns({c: F.nullif(F.col(c).cast("string"), F.lit("nan")) for c in columns if c in df.columns})
+
+
+def without_high_missing(df: DataFrame, keep: tuple[str, ...], most: float = 0.7) -> DataFrame:
+    """df without the columns whose null share is over most, but for those to keep; the shares are one row."""
+    others = [c for c in df.columns if c not in keep]
+    shares = df.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in others)).first()
+    return df.drop(*(c for c in others if (shares[c] or 0.0) > most))
+
+
+def in_fraud_address(df: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose address has any fraud, or those whose address has none (or is null)."""
+    bad = df.where((F.col(Y) == 1) & F.col("addr1").isNotNull()).select("addr1").distinct()
+    return df.join(bad, "addr1", "left_semi" if inside else "left_anti")
+
+
+def draw(key: str, salt: str) -> Column:
+    """A number below 2**32 from the md5 of a key, the same on every run."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long")
+
+
+def device_imputation(df: DataFrame, own_share: float = 0.92, top: int = 100) -> DataFrame:
+    """Fills null devices (imputed = 1): with own_share, one of the card's own rows' devices; else, or where the card has
+    none, one of the top devices by their counts. Draws come from the md5 of the id. A card's rows are numbered and the
+    draw joins by number, so no list of a card's devices is gathered."""
+    known, empty = df.where("DeviceInfo IS NOT NULL"), df.where("DeviceInfo IS NULL").select(ID, "card1")
+    numbered = known.select("card1", F.col("DeviceInfo").alias("own"), (F.row_number().over(Window.partitionBy("card1").orderBy("DeviceInfo", ID)) - 1).cast("long").alias("at"))
+    size = known.groupBy("card1").agg(F.count("*").alias("n"))
+    best = known.groupBy("DeviceInfo").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "DeviceInfo").limit(top)  # at most top rows are ordered and broadcast
+    w = Window.orderBy(F.desc("c"), "DeviceInfo")
+    best = best.select(F.col("DeviceInfo").alias("other"), (F.sum("c").over(w) - F.col("c")).alias("lo"), F.sum("c").over(w).alias("hi"))
+    total = best.agg(F.max("hi").alias("total"))
+    drawn = empty.join(size, "card1", "left").withColumn("mine", F.col("n").isNotNull() & (draw(ID, "share") < int(own_share * 2**32)))
+    drawn = drawn.withColumn("at", F.when(F.col("mine"), F.pmod(draw(ID, "own"), F.col("n")))).crossJoin(F.broadcast(total)).withColumn("u", F.pmod(draw(ID, "other"), F.col("total")))
+    filled = drawn.join(numbered, ["card1", "at"], "left").join(F.broadcast(best), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")), "left").select(ID, F.when(F.col("mine"), F.col("own")).otherwise(F.col("other")).alias("_device"))
+    return df.join(filled, ID, "left").withColumn("imputed", F.col("DeviceInfo").isNull().cast("int")).withColumn("DeviceInfo", F.coalesce("DeviceInfo", "_device")).drop("_device")

@@ -9,8 +9,10 @@ from ..sources.store import written
 from .robust import quantiles
 
 
-def shared_edges(df: DataFrame, key: str, relation: str, most: int, reach: int) -> DataFrame:
-    """Edges between a card and the next reach cards of its group, for groups of 2 to most cards."""
+def shared_edges(df: DataFrame, key: str, relation: str, most: int, reach: int, most_rows: int | None = None) -> DataFrame:
+    """Edges between a card and the next reach cards of its group, for groups of 2 to most cards (and 2 to most_rows rows)."""
+    if most_rows:
+        df = df.join(df.where(F.col(key).isNotNull()).groupBy(key).count().where(f"count BETWEEN 2 AND {most_rows}").select(key), key, "left_semi")
     members = df.where(F.col(key).isNotNull()).select(key, "card1").distinct()
     size = members.groupBy(key).count().where(f"count BETWEEN 2 AND {most}").select(key)
     ranked = members.join(size, key, "left_semi").withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("card1")))
@@ -19,8 +21,9 @@ def shared_edges(df: DataFrame, key: str, relation: str, most: int, reach: int)
 
 
 def graph_edges(df: DataFrame) -> DataFrame:
-    """src < dst, relation: a pair keeps its first relation (device, then address)."""
+    """src < dst, relation: a pair keeps its first relation (device, then address, then a rare e-mail domain)."""
     every = shared_edges(df, "DeviceInfo", "shared_device", 20, 4).withColumn("p", F.lit(1)).unionByName(shared_edges(df, "addr1", "shared_address", 15, 4).withColumn("p", F.lit(2)))
+    every = every.unionByName(shared_edges(df, "P_emaildomain", "shared_email", 10, 2, 100).withColumn("p", F.lit(3)))
     return every.groupBy("src", "dst").agg(F.min_by("relation", "p").alias("relation"))
 
 
@@ -101,16 +104,16 @@ def pagerank(df: DataFrame, alpha: float = 0.85, rounds: int = 50, tolerance: fl
     return rank.select("card1", F.col("pr").alias("pagerank"))
 
 
-def betweenness(df: DataFrame, sources: int = 100, depth: int = 30) -> DataFrame:
+def betweenness(df: DataFrame, sources: int = 100) -> DataFrame:
     """card1, betweenness from sources cards chosen by hash: counts of shortest paths spread outwards a level a round, and shares
-    of them are summed back. Paths longer than depth are left out."""
+    of them are summed back, until no card is further away."""
     edges = written(both_ways(graph_edges(df)), "links")
     cards = df.select("card1").distinct()
     n = cards.count()
     start = cards.orderBy(F.xxhash64("card1"), "card1").limit(sources)
     levels = [written(start.select(F.col("card1").alias("s"), F.col("card1").alias("node"), F.lit(1.0).alias("paths")), "level")]
     seen = levels[0].select("s", "node")
-    for _ in range(depth):
+    while True:
         step = levels[-1].join(edges, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         level = written(step.join(seen, ["s", "node"], "left_anti"), "level")
         if not level.head(1):
@@ -141,3 +144,24 @@ def graph_join_back(df: DataFrame) -> DataFrame:
     out = df.join(degree_centrality(df).select("card1", F.col("degree").alias("graph_degree")), "card1", "left")
     out = out.join(fraud_neighbors(df).select("card1", F.col("fraud_neighbors").alias("graph_fraud_neighbors"), F.col("fraud_neighbor_ratio").alias("graph_fraud_neighbor_ratio")), "card1", "left")
     return out.fillna(0, ["graph_degree", "graph_fraud_neighbors", "graph_fraud_neighbor_ratio"])
+
+
+def community_rates(df: DataFrame) -> DataFrame:
+    """The rate of each card's community, where it is over 0."""
+    return community_stats(df).where("fraud_rate > 0").select("card1", F.col("fraud_rate").alias("community_rate"))
+
+
+def chosen_cards(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """All cards where they are at most so many; else those with fraud, and of the rest those with the smallest md5 up to most."""
+    cards = df.groupBy("card1").agg(F.max("isFraud").alias("bad"))
+    bad = cards.where("bad = 1").select("card1")
+    room = max(most - bad.count(), 0)
+    clean = cards.select("card1").subtract(bad)
+    return bad.unionByName(clean.orderBy(F.md5(F.col("card1").cast("string")), "card1").limit(room))
+
+
+def with_graph(df: DataFrame) -> DataFrame:
+    """The transactions with every graph column that scores and reasons use; cards without any get 0."""
+    own = community_stats(df).select("card1", F.col("fraud_rate").alias("graph_community_fraud_rate"))
+    own = own.join(bridges(df).select("card1", F.col("betweenness").alias("graph_betweenness"), F.col("is_bridge").alias("graph_is_bridge")), "card1", "left")
+    return graph_join_back(df).join(own, "card1", "left").fillna(0, ["graph_community_fraud_rate", "graph_betweenness", "graph_is_bridge"])

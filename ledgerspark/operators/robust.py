@@ -11,11 +11,15 @@ from ..functions.columns import flag
 def quantiles(df: DataFrame, column: str, level: Column | float, keys: tuple[str, ...] = (), scale: int = 1 << 14) -> DataFrame:
     """keys and q, the linear quantile of column in each group; level may use n, the group's count of values.
 
-    Values are counted in bins of 1 / scale, which locates the two ranks that matter; only the distinct values of
-    their bins are then ordered, so nothing is sorted whole. Nulls are left out; a group without values has no row.
+    Values are counted in scale bins between the group's ends (on asinh, so that long tails spread), which locates the
+    two ranks that matter; only the distinct values of their bins are then ordered, so nothing is sorted whole. Nulls are left out; a group without values has no row.
     """
     key = [F.col(k) for k in keys]
-    rows = df.where(F.col(column).isNotNull()).select(*key, F.col(column).alias("_x"), F.floor(F.col(column) * scale).alias("_b"))
+    rows = df.where(F.col(column).isNotNull()).select(*key, F.col(column).alias("_x"), F.asinh(column).alias("_y"))
+    ends = rows.groupBy(*keys).agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi"))
+    rows = rows.join(ends, list(keys)) if keys else rows.crossJoin(F.broadcast(ends))
+    part = F.when(F.col("_hi") > F.col("_lo"), (F.col("_y") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    rows = rows.select(*key, "_x", F.floor(part * scale).alias("_b"))
     bins = rows.groupBy(*keys, "_b").agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
     bins = bins.withColumn("n", F.sum("c").over(w)).withColumn("before", F.sum("c").over(w.orderBy("_b")) - F.col("c"))

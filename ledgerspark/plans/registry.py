@@ -52,7 +52,7 @@ lk = lambda keys, aggs: f"(SELECT {keys}, {aggs} FROM t GROUP BY {keys})"  # noq
 
 op("scan_limited", [lambda t: t.orderBy(ID).limit(10_000)], f"{A}:4", f"SELECT * FROM t ORDER BY {ID} LIMIT 10000")
 op("left_join_identity", [], "DeviceInfo DeviceType", "SELECT t.TransactionID, i.DeviceInfo, i.DeviceType FROM t LEFT JOIN i USING (TransactionID)", view=lambda s, p: f.left_join_identity(txn_ev(s, p).drop("DeviceInfo"), ident_ev(s, p)))
-op("drop_high_missing", [f.null_shares], "name null_share:6", "SELECT name, null_share FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END) AS null_share FROM t" for c in "TransactionID TransactionDT TransactionAmt isFraud card1 card2 card4 card5 card6 ProductCD addr1 P_emaildomain DeviceInfo D1 dist1 proba".split()) + ")", key="")
+op("drop_high_missing", [f.null_shares], "name null_share:6", "SELECT name, null_share FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END) AS null_share FROM t" for c in "TransactionID TransactionDT TransactionAmt isFraud card1 card2 card4 card5 card6 ProductCD addr1 addr2 R_emaildomain P_emaildomain DeviceInfo D1 dist1 proba".split()) + ")", key="")
 op("amount_features", [f.amount_features], "log_amount:6 sqrt_amount:6 amount_decimal:6 is_round_amount:i", f"SELECT *, ln(1+{A}) AS log_amount, sqrt({A}) AS sqrt_amount, {A}-floor({A}) AS amount_decimal, CASE WHEN {A}=floor({A}) THEN 1 ELSE 0 END AS is_round_amount FROM t")
 op("time_features", [f.time_features], "hour:i is_night:i day_of_week:i is_weekend:i month_approx:i", f"SELECT *, {HOUR} AS hour, CASE WHEN {HOUR} BETWEEN 0 AND 6 THEN 1 ELSE 0 END AS is_night, CAST(floor({DT}/86400) AS BIGINT)%7 AS day_of_week, CASE WHEN CAST(floor({DT}/86400) AS BIGINT)%7>=5 THEN 1 ELSE 0 END AS is_weekend, floor({DT}/2592000) AS month_approx FROM t")
 PROFILE = f"SELECT t.*, m AS user_avg_amt, coalesce(s,1.0) AS user_std_amt, n AS user_txn_count, k AS user_product_diversity, ({A}-m)/greatest(coalesce(s,1.0),1.0) AS amount_zscore, {A}/greatest(m,0.01) AS amount_to_mean_ratio FROM {{v}} t LEFT JOIN (SELECT card1, avg({A}) AS m, stddev_samp({A}) AS s, count(*) AS n, count(DISTINCT ProductCD) AS k FROM {{v}} GROUP BY card1) USING (card1)"
@@ -75,10 +75,8 @@ op("uid_diversity", [f.uid_diversity], "uid_device_count:i uid_email_count:i uid
 op("uid2_profile", [f.uid2_profile], "uid2_count:i uid2_mean:6", f"SELECT *, count(*) OVER w AS uid2_count, avg({A}) OVER w AS uid2_mean FROM t WINDOW w AS (PARTITION BY card1, addr1, coalesce(D1,-1))")
 op("uid_time_bins", [f.uid_time_bins], "uid_count_1h:i uid_sum_6h:4 uid_count_24h:i uid_spike_1h:i uid_spike_24h:i uid_amount_spike:i uid_peak_hourly:i",
    f"SELECT *, CAST(uid_count_1h>=3 AS INT) AS uid_spike_1h, CAST(uid_count_24h>=10 AS INT) AS uid_spike_24h, CAST(s24>3*avg({A}) OVER ({UID}) AS INT) AS uid_amount_spike, max(uid_count_1h) OVER ({UID}) AS uid_peak_hourly FROM (SELECT *, count(*) OVER ({UID}, {DT}//3600) AS uid_count_1h, sum({A}) OVER ({UID}, {DT}//21600) AS uid_sum_6h, count(*) OVER ({UID}, {DT}//86400) AS uid_count_24h, sum({A}) OVER ({UID}, {DT}//86400) AS s24 FROM t)")
-op("frequency_encoding", [lambda t: f.frequency_encoding(t, ("card1", "addr1", "DeviceInfo"))], "card1_freq:6 addr1_freq:6 DeviceInfo_freq:6 DeviceInfo_is_rare:i", "SELECT *, card1_freq AS c, CASE WHEN DeviceInfo_freq<0.0001 THEN 1 ELSE 0 END AS DeviceInfo_is_rare FROM (SELECT *, " + ", ".join(f"CASE WHEN {c} IS NULL THEN 0.0 ELSE CAST(count(*) OVER (PARTITION BY {c}) AS DOUBLE)/(SELECT count({c}) FROM t) END AS {c}_freq" for c in ("card1", "addr1", "DeviceInfo")) + " FROM t)")
 PEER = lambda c: f"CASE WHEN {c} IS NOT NULL THEN ({A}-avg({A}) OVER (PARTITION BY {c}))/(coalesce(stddev_samp({A}) OVER (PARTITION BY {c}),1.0)+1) END"
 op("peer_deviation", [f.peer_deviation], "peer_deviation:6 is_peer_outlier:i", f"SELECT *, CASE WHEN peer_deviation>2 THEN 1 ELSE 0 END AS is_peer_outlier FROM (SELECT *, coalesce(list_avg(list_filter([abs(a),abs(b),abs(c)], lambda x: x IS NOT NULL)),0.0) AS peer_deviation FROM (SELECT TransactionID, {PEER('ProductCD')} AS a, {PEER('card4')} AS b, {PEER('addr1')} AS c FROM t))")
-op("target_encoding", [lambda t: f.target_encoding(t, ("addr1", "card1"))], "addr1_te:6 card1_te:6", "SELECT *, " + ", ".join(f"CASE WHEN {c} IS NULL THEN (SELECT avg(isFraud) FROM t) ELSE (sum(isFraud) OVER (PARTITION BY {c})+50*(SELECT avg(isFraud) FROM t))/(count(*) OVER (PARTITION BY {c})+50) END AS {c}_te" for c in ("addr1", "card1")) + " FROM t")
 op("cross_fraud_rates", [f.cross_fraud_rates], "card1_ProductCD_rate:6 card1_addr1_rate:6 addr1_P_emaildomain_rate:6", "SELECT *, " + ", ".join(f"(sum(isFraud) OVER (PARTITION BY {a}, {b})+30*(SELECT avg(isFraud) FROM t))/(count(*) OVER (PARTITION BY {a}, {b})+30) AS {a}_{b}_rate" for a, b in (("card1", "ProductCD"), ("card1", "addr1"), ("addr1", "P_emaildomain"))) + " FROM t")
 op("entropy_diversity", [f.time_features, f.entropy_diversity], "product_diversity:i hour_diversity:i", f"SELECT t.TransactionID, p AS product_diversity, h AS hour_diversity FROM t JOIN (SELECT card1, addr1, count(DISTINCT ProductCD) AS p, count(DISTINCT {HOUR}) AS h FROM t GROUP BY card1, addr1) u ON t.card1=u.card1 AND t.addr1 IS NOT DISTINCT FROM u.addr1")
 op("velocity", [f.velocity], "time_since_last:i is_rapid_fire:i txn_count_30min:i rolling_sum_3:4 amount_acceleration:6",
@@ -87,9 +85,6 @@ op("uid_time_gap", [f.uid_time_gap], "uid_gap:i uid_repeat_60:i uid_burst_300:i"
 op("lag_features", [f.lag_features], "prev_amount:6 amount_delta:6 amount_ratio_prev:6 time_since_prev:i uid_rank:i", f"SELECT *, {A}-prev_amount AS amount_delta, {A}/(prev_amount+1) AS amount_ratio_prev FROM (SELECT *, coalesce(lag({A}) OVER w,{A}) AS prev_amount, coalesce({DT}-lag({DT}) OVER w,0) AS time_since_prev, row_number() OVER w-1 AS uid_rank FROM t WINDOW w AS ({UID} {SEQ}))")
 op("true_range_velocity", [f.trailing_velocity], "trailing_1h:i trailing_6h:i trailing_24h:i", "SELECT *, " + ", ".join(f"count(*) OVER (PARTITION BY card1 ORDER BY {DT} RANGE BETWEEN {s - 1} PRECEDING AND CURRENT ROW) AS trailing_{n}" for n, s in (("1h", 3600), ("6h", 21600), ("24h", 86400))) + " FROM t")
 op("missing_indicators", [f.missing_indicators], "card2_missing:i addr1_missing:i dist1_missing:i P_emaildomain_missing:i", "SELECT *, " + ", ".join(f"CAST({c} IS NULL AS INT) AS {c}_missing" for c in ("card2", "addr1", "dist1", "P_emaildomain")) + " FROM t")
-op("interaction_features", [f.all_features], "amount_x_night:6 round_x_new_device:i rapid_fire_x_night:i free_email_x_high_amt:i fraud_neighbor_x_night:i", None)
-op("risk_score", [f.all_features, d.scored], "risk_score:4 risk_category auth_recommendation explanation", None)
-op("tier_distribution", [f.all_features, d.scored, d.tier_distribution], "risk_category n:i pct:6", None, key="")
 op("point_score", [f.time_features, d.point_score], "risk_score:1 risk_category", f"SELECT TransactionID, round(CAST(s AS DECIMAL(18,6)),1) AS risk_score, CASE WHEN s>=71 THEN 'RED' WHEN s>=51 THEN 'ORANGE' WHEN s>=31 THEN 'YELLOW' ELSE 'GREEN' END AS risk_category FROM (SELECT *, least(100.0, 70*proba+CASE WHEN {HOUR}<=6 OR {HOUR}>=23 THEN 10 ELSE 0 END+CASE WHEN {A}=floor({A}) AND {A}>=500 AND {HOUR}<=6 THEN 10 ELSE 0 END+CASE WHEN {A}>1000 THEN 10 ELSE 0 END) AS s FROM t)")
 op("feed_rule_score", [f.time_features, d.feed_score], "feed_score:i feed_tier", f"SELECT *, CASE WHEN feed_score>75 THEN 'RED' WHEN feed_score>55 THEN 'ORANGE' WHEN feed_score>35 THEN 'YELLOW' ELSE 'GREEN' END AS feed_tier FROM (SELECT *, least(greatest(10+CASE WHEN {A}>5000 THEN 25 WHEN {A}>1000 THEN 12 ELSE 0 END+CASE WHEN {HOUR}<=5 OR {HOUR}>=23 THEN 18 ELSE 0 END+CASE WHEN ({DT}//86400)%7>=5 AND {HOUR}<=5 THEN 10 ELSE 0 END+CASE WHEN ProductCD='W' AND {A}>3000 THEN 15 ELSE 0 END+CASE WHEN P_emaildomain='protonmail.com' THEN 12 ELSE 0 END,0),100) AS feed_score FROM t)")
 CM = "SELECT *, coalesce(tp/nullif(tp+fp,0),0.0) AS precision, coalesce(tp/nullif(tp+fn,0),0.0) AS recall, coalesce(2.0*tp/nullif(2*tp+fp+fn,0),0.0) AS f1 FROM (SELECT count(*) FILTER (isFraud=1 AND proba>0.5) AS tp, count(*) FILTER (isFraud=0 AND proba>0.5) AS fp, count(*) FILTER (isFraud=1 AND proba<=0.5) AS fn, count(*) FILTER (isFraud=0 AND proba<=0.5) AS tn FROM t)"
@@ -107,7 +102,7 @@ op("fraud_by_hour", [f.time_features, lambda t: d.rate_by(t, "hour")], "hour:i f
 op("fraud_by_product", [lambda t: d.rate_by(t, "ProductCD")], "ProductCD fraud_pct:6 n:i", "SELECT ProductCD, 100*avg(isFraud) AS fraud_pct, count(*) AS n FROM t GROUP BY 1", key="")
 op("group_fairness", [lambda t: d.rate_by(t, "card4", "ProductCD")], "card4 ProductCD fraud_pct:6 n:i", "SELECT card4, ProductCD, 100*avg(isFraud) AS fraud_pct, count(*) AS n FROM t GROUP BY 1, 2", key="")
 op("report_rollup", [f.time_features, d.report_rollup], "ProductCD hour:i fraud_rate:6 n:i level:i", f"SELECT ProductCD, hour, avg(isFraud) AS fraud_rate, count(*) AS n, grouping(ProductCD, hour) AS level FROM (SELECT *, {HOUR} AS hour FROM t) GROUP BY ROLLUP (ProductCD, hour)", key="")
-EDGES = "e AS (SELECT src, dst, arg_min(rel, p) AS relation FROM (" + " UNION ALL ".join(f"SELECT a.card1 AS src, b.card1 AS dst, '{r}' AS rel, {p} AS p FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY card1) AS r, count(*) OVER (PARTITION BY k) AS n FROM (SELECT DISTINCT {k} AS k, card1 FROM o WHERE {k} IS NOT NULL)) a JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY card1) AS r FROM (SELECT DISTINCT {k} AS k, card1 FROM o WHERE {k} IS NOT NULL)) b ON a.k=b.k AND b.r-a.r BETWEEN 1 AND 4 AND a.n BETWEEN 2 AND {m}" for k, r, p, m in (("DeviceInfo", "shared_device", 1, 20), ("addr1", "shared_address", 2, 15))) + ") GROUP BY src, dst), w AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
+EDGES = "e AS (SELECT src, dst, arg_min(rel, p) AS relation FROM (" + " UNION ALL ".join(f"SELECT a.card1 AS src, b.card1 AS dst, '{r}' AS rel, {p} AS p FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY card1) AS r, count(*) OVER (PARTITION BY k) AS n FROM (SELECT DISTINCT {k} AS k, card1 FROM o WHERE {k} IS NOT NULL)) a JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY card1) AS r FROM (SELECT DISTINCT {k} AS k, card1 FROM o WHERE {k} IS NOT NULL)) b ON a.k=b.k AND b.r-a.r BETWEEN 1 AND {reach} AND a.n BETWEEN 2 AND {m}{more}" for k, r, p, m, reach, more in (("DeviceInfo", "shared_device", 1, 20, 4, ""), ("addr1", "shared_address", 2, 15, 4, ""), ("P_emaildomain", "shared_email", 3, 10, 2, " AND a.k IN (SELECT P_emaildomain FROM o GROUP BY P_emaildomain HAVING count(*) BETWEEN 2 AND 100)"))) + ") GROUP BY src, dst), w AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
 graph = lambda q: f"WITH {EDGES} {q}"
 op("graph_edges", [g.graph_edges], "src:i dst:i relation", graph("SELECT * FROM e"), view=txn_ord, key="")
 op("degree_centrality", [g.degree_centrality], "card1:i degree:i centrality:9", graph("SELECT c.card1, coalesce(n,0) AS degree, coalesce(n,0)/((SELECT count(DISTINCT card1) FROM o)-1) AS centrality FROM (SELECT DISTINCT card1 FROM o) c LEFT JOIN (SELECT src, count(*) AS n FROM w GROUP BY src) d ON c.card1=d.src"), view=txn_ord, key="")
@@ -137,8 +132,6 @@ op("graph_join_back", [g.graph_join_back], "graph_degree:i graph_fraud_neighbors
 ROUNDS = 10
 RANKS = "k AS (SELECT DISTINCT card1 FROM o), dg AS (SELECT src, count(*) AS d FROM w GROUP BY src), r0 AS MATERIALIZED (SELECT card1, 1.0::DOUBLE/(SELECT count(*) FROM k) AS pr FROM k)" + "".join(f", r{j + 1} AS MATERIALIZED (SELECT k.card1, 0.15::DOUBLE/(SELECT count(*) FROM k)+0.85::DOUBLE*(coalesce(got,0)+(SELECT coalesce(sum(pr),0) FROM r{j} WHERE card1 NOT IN (SELECT src FROM dg))/(SELECT count(*) FROM k)) AS pr FROM k LEFT JOIN (SELECT w.dst, sum(pr/d) AS got FROM r{j} JOIN w ON r{j}.card1=w.src JOIN dg ON dg.src=w.src GROUP BY w.dst) x ON x.dst=k.card1)" for j in range(ROUNDS))
 op("pagerank", [lambda t: g.pagerank(t, rounds=ROUNDS, tolerance=0)], "card1:i pagerank:9", graph(f"SELECT * FROM (WITH {RANKS} SELECT card1, pr AS pagerank FROM r{ROUNDS})"), view=txn_ord, key="")
-op("communities", [g.communities], "card1:i community:i", None, view=txn_ord, key="")
-op("community_stats", [g.community_stats], "card1:i community:i size:i fraud_rate:6", None, view=txn_ord, key="")
 op("bridge_flag", [g.bridges], "card1:i betweenness:9 is_bridge:i", None, view=txn_ord, key="")
 
 RANK = "row_number() OVER (PARTITION BY isFraud ORDER BY md5(CAST(TransactionID AS VARCHAR)))"
@@ -166,6 +159,9 @@ REGISTERED["stream_lag_state"] = (lambda s, p: streams.drained(streams.lag_state
     "SELECT user_id, event_id, round(gap, 3) AS gap, CAST(gap<300 AS BIGINT) AS is_rapid_fire, round(delta, 4) AS delta FROM (SELECT *, coalesce((epoch_us(ts)-lag(epoch_us(ts)) OVER w)/1e6, 999999.0) AS gap, coalesce(value-lag(value) OVER w, 0.0) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
 
 
+from . import more  # noqa: E402, F401  adds its queries to REGISTERED
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q for k, (q, _) in REGISTERED.items()}
 

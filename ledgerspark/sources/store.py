@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one where that is unset (tests on one machine)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -48,5 +50,16 @@ def persisted(model: PipelineModel, path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def as_json(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns)).alias("document"))
+def scan_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A CSV table with a header, read by its stated schema."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def as_documents(df: DataFrame, key: str = "TransactionID", rows: int = 1000) -> DataFrame:
+    """Result documents: part, and up to rows rows as arrays, a column each."""
+    return df.groupBy(F.floor(F.col(key) / rows).alias("part")).agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("rows")).select("part", *(F.col(f"rows.{c}").alias(c) for c in df.columns))
+
+
+def scan_results_json(spark: SparkSession, path: str, schema, columns: list[str]) -> DataFrame:
+    """Result documents of parallel arrays, a row an entry."""
+    return spark.read.schema(schema).json(path).select(F.explode(F.arrays_zip(*columns)).alias("r")).select("r.*")

@@ -11,6 +11,7 @@ _EV = """SELECT event_id AS TransactionID, dt AS TransactionDT, CAST(round(value
  CAST(user_id%6 AS INT) AS card5, CASE WHEN user_id%2=0 THEN 'debit' ELSE 'credit' END AS card6,
  CASE k%5 WHEN 0 THEN 'W' WHEN 1 THEN 'C' WHEN 2 THEN 'H' WHEN 3 THEN 'S' ELSE 'R' END AS ProductCD,
  CASE WHEN k%10=0 THEN NULL ELSE 100+k%23 END AS addr1,
+ CASE WHEN k%13=0 THEN NULL ELSE 60+k%3 END AS addr2, CASE WHEN k%5<3 THEN NULL WHEN k%2=0 THEN 'gmail.com' ELSE 'corp.example' END AS R_emaildomain,
  CASE WHEN k%11=0 THEN NULL WHEN k%7=0 THEN 'gmail.com' WHEN k%7=1 THEN 'yahoo.com' WHEN k%7=2 THEN 'hotmail.com' WHEN k%7=3 THEN 'protonmail.com' WHEN k%7=4 THEN 'corp.example' WHEN k%7=5 THEN 'outlook.com' ELSE 'anonymous.com' END AS P_emaildomain,
  CASE WHEN k%4=0 THEN NULL ELSE concat('dev_', CAST((user_id*3+k%5)%61 AS STRING)) END AS DeviceInfo,
  CASE WHEN k%9=0 THEN NULL ELSE k%30 END AS D1, CASE WHEN k%3=0 THEN NULL ELSE k END AS dist1,
@@ -32,8 +33,8 @@ _SLOTS = {
 }
 
 
-def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    return spark.sql(sql.format(**_SLOTS["spark"], **{}).replace("FROM events", "FROM {events}").replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}").replace("FROM embeddings", "FROM {embeddings}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str, **given: DataFrame) -> DataFrame:
+    return spark.sql(sql.format(**_SLOTS["spark"], **{}).replace("FROM events", "FROM {events}").replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}").replace("FROM embeddings", "FROM {embeddings}"), **given, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
 def txn_ev(spark: SparkSession, sf_dir: str) -> DataFrame:

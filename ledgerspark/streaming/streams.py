@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import new_path
+
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, instant: bool = True) -> DataFrame:
+    """The events as a file stream; instant: their time as a timestamp, as watermarks need."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")) if instant else raw
 
 
 def running_totals(stream: DataFrame) -> DataFrame:
@@ -21,7 +22,8 @@ def running_totals(stream: DataFrame) -> DataFrame:
 
 
 def velocity_bins(stream: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", size), "user_id").agg(F.count("*").alias("n"))
+    """Counts and sums a user and tumbling window; rows later than late are dropped."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def burst_sessions(stream: DataFrame, gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
@@ -33,7 +35,8 @@ def deduplicated(stream: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def enriched(stream: DataFrame, profile: DataFrame, key: str = "user_id") -> DataFrame:
-    return stream.join(profile, key, "left")
+    """The profile's columns by key; 0 where it has none."""
+    return stream.join(profile, key, "left").fillna(0, [c for c in profile.columns if c != key])
 
 
 def lag_state(stream: DataFrame) -> DataFrame:
@@ -56,7 +59,13 @@ def lag_state(stream: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs what is available now to a memory table (small results, tests and reports)."""
-    name = f"s{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs what is available now. Appended rows go to Parquet in the shared folder, with their checkpoint; complete
+    results (a row a group, kept small by their query) are written by batch, the last one stays."""
+    spark = stream.sparkSession
+    path = new_path(spark, "stream")
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", path).start().awaitTermination()
+    else:
+        out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
