@@ -23,8 +23,8 @@ from .shared import written
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of a side that may be broadcast (a row is under 200 bytes).
-SMALL = 200_000
+#: Rows of a side that may be broadcast, and bytes of their texts.
+SMALL, BYTES = 200_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -65,8 +65,10 @@ def windows(df: DataFrame, keep: list[str], short: list[int]) -> DataFrame:
 
 
 def sided(df: DataFrame) -> DataFrame:
-    """Broadcast where the counted rows are few; else Spark shuffles and splits skewed keys."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    """Broadcast where the counted rows are few and their texts short; else Spark shuffles and splits skewed keys."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n <= SMALL and size <= BYTES else df
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,7 +82,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     hashed = F.transform("w", lambda x: F.xxhash64(x))
     long_items = items.where(F.size("w") >= SPAN).select(hashed.alias("h"))
-    long_items = fingerprints(long_items, [], []).select(F.explode("fps").alias("fp"))
+    # explode_outer: the optimizer would filter explode's input by size(fps) > 0, pushed below the columns of h and g,
+    # which each lambda would then compute anew
+    long_items = fingerprints(long_items, [], []).select(F.explode_outer("fps").alias("fp")).where("fp IS NOT NULL")
     marks = long_items
     for n in short:
         marks = marks.unionByName(items.where(F.size("w") == n).select(hashed.alias("h")).select(gram(F.col("h"), F.get("h", F.lit(0)), F.lit(0), n).alias("fp")))
