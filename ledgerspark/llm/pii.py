@@ -7,6 +7,7 @@ pseudonyms. Check digits (Luhn, IBAN) hold after the change if they held before.
 secrets, which aren't numbers, get keyed SHA-256 digits in their own shape.
 
 Rules by kind (a value that fails its kind's validation stays as it is):
+  number  more digits than a card has: all are permuted, 18 at a time
   card    13-19 digits, or groups of 4-4-4-n, 4-6-5 or 4-6-4 with single spaces or hyphens between: all but the Luhn digit are permuted; if the digits fail the Luhn
           test it counts as number and all digits are permuted
   phone   + and country code, or 3-3-4 digits, with or without a 1 before: the last ten digits (or as many as there are) are
@@ -15,8 +16,9 @@ Rules by kind (a value that fails its kind's validation stays as it is):
   ssn     ddd-dd-dddd
   iban    as long as its country's IBANs, or of another length, and valid modulo 97: its digits after the check digits are permuted, and the check digits computed again
   ip      four numbers up to 255, permuted as 32 bits
-  date    yyyy-mm-dd, d.m.yyyy, d/m/yyyy or m/d/yyyy: the day is permuted within its cycle of 73,000 days
-  email, secret (32-64 hex digits)
+  date    yyyy-mm-dd, d.m.yyyy, d/m/yyyy or m/d/yyyy: the day is permuted within its cycle of 73,000 days; order and
+          signs are kept, day and month get two digits
+  email, secret (32-64 hex digits; AKIA and 16 letters or digits)
 
 Defined cases: null text stays null with no finds; empty text stays; repeated rows are each changed alike; all other
 columns of the input are kept. The key is a parameter; keep it secret.
@@ -55,14 +57,14 @@ IBANS = {
 }
 NATIONAL_IBAN = "|".join(f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, codes in IBANS.items())
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{32,64}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
     "iban": rf"(?<![A-Za-z0-9])(?:{NATIONAL_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?<dot>[./])[0-9]{1,2}\k<dot>[0-9]{4})(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": ABROAD + r"|(?<![0-9])(?:\([0-9]{3}\) ?|(?<!-)1[-. ](?:\([0-9]{3}\) ?|[0-9]{3}[-. ])|(?<!-)[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<gap>[ -])(?:[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,7}|[0-9]{6}\k<gap>[0-9]{4,5}))(?![0-9])",
+    "phone": ABROAD + r"|(?<![0-9])(?:\([0-9]{3}\) ?|(?<!-)1[-. ](?:\([0-9]{3}\) ?|[0-9]{3}[-. ])|(?<!-)[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9]|-[0-9])|(?<![0-9./-])0[1-9][0-9]{1,3}[ /-][0-9]{6,8}(?![0-9]|[./-][0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,}|[0-9]{4}(?<gap>[ -])(?:[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,7}|[0-9]{6}\k<gap>[0-9]{4,5}))(?![0-9])",
 }
 ORDER = ("email", "secret", "iban", "date", "ip", "ssn", "card", "phone")
 COUNTED = ("email", "secret", "iban", "date", "ip", "ssn", "card", "number", "phone")
@@ -94,14 +96,20 @@ def ten_to(n: Column) -> Column:
     return F.pow(F.lit(10.0), n).cast("long")
 
 
-def permuted_digits(d: Column, key: str, kind: str) -> Column:
+def permuted_digits(d: Column, key: str, kind: str | Column) -> Column:
     """The digit string d (at most 31 digits: the halves fit a long), permuted among all strings of its length."""
     n = F.length(d)
     h = F.floor(n / 2).cast("int")
-    st = feistel(F.coalesce(F.try_to_number(F.concat(F.lit("0"), F.substring(d, F.lit(1), h)), F.lit("9" * 16)), F.lit(0)), F.substring(d, h + 1, n - h).cast("long"), ten_to(h), ten_to(n - h), F.concat(F.lit(kind), n.cast("string")), key)
+    st = feistel(F.coalesce(F.try_to_number(F.concat(F.lit("0"), F.substring(d, F.lit(1), h)), F.lit("9" * 16)), F.lit(0)), F.substring(d, h + 1, n - h).cast("long"), ten_to(h), ten_to(n - h), F.concat(F.lit(kind) if isinstance(kind, str) else kind, n.cast("string")), key)
     return F.concat(F.when(h > 0, F.lpad(st["l"].cast("string"), h, "0")).otherwise(""), F.lpad(st["r"].cast("string"), n - h, "0"))
 
 
+def number(d: Column, key: str) -> Column:
+    """A digit string of any length: up to 31 digits at once, longer ones in parts of 18, each by its place."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(d) - 1) / 18).cast("int")), lambda i: permuted_digits(F.substring(d, i * 18 + 1, F.lit(18)), key, F.concat(F.lit("number"), i.cast("string"))))
+    return F.when(F.length(d) <= 31, permuted_digits(d, key, "number")).otherwise(F.array_join(parts, ""))
+
+
 def in_shape(m: Column, d: Column) -> Column:
     """m with its digits replaced, in order, by those of d."""
     return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(d, F.length(digits_of(F.substring(m, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
@@ -173,7 +181,7 @@ def email(m: Column, key: str) -> Column:
 def secret(m: Column, key: str) -> Column:
     h = F.sha2(F.concat(F.lit(key + "|secret|"), F.lower(m)), 256)
     h = F.when(m.rlike("[A-F]"), F.upper(h)).otherwise(h)
-    return F.substring(h, F.lit(1), F.length(m))
+    return F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16)))).otherwise(F.substring(h, F.lit(1), F.length(m)))
 
 
 def kind_of(m: Column) -> Column:
@@ -183,11 +191,12 @@ def kind_of(m: Column) -> Column:
     plain = F.regexp_replace(m, " ", "")
     return (F.when(F.contains(m, F.lit("@")), "email")
             .when(only("secret") & m.rlike("[A-Fa-f]"), "secret")
+            .when(only("secret"), "number")
             .when(m.rlike("^[A-Z]{2}"), F.when(mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1, F.lit("iban")))
             .when(only("date"), F.when(F.coalesce(*(F.try_to_date(m, f) for mark, f, _ in DATE_FORMS)).isNotNull(), F.lit("date")))
             .when(only("ip"), F.when(~m.rlike("(?:^|\\.)(?:25[6-9]|2[6-9][0-9]|[3-9][0-9][0-9])(?:\\.|$)"), F.lit("ip")))
             .when(only("ssn"), "ssn")
-            .when(only("card"), F.when(luhn_sum(d) % 10 == 0, "card").otherwise("number"))
+            .when(only("card"), F.when((F.length(d) <= 19) & (luhn_sum(d) % 10 == 0), "card").otherwise("number"))
             .when((F.length(d) >= 7) & (F.length(d) <= 15), "phone"))
 
 
@@ -195,7 +204,7 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
     d = digits_of(m)
     return (F.when(kind == "email", email(m, key)).when(kind == "secret", secret(m, key)).when(kind == "iban", iban(m, key)).when(kind == "date", F.coalesce(date(m, key), m))
             .when(kind == "ip", ip(m, key)).when(kind == "ssn", in_shape(m, permuted_digits(d, key, "ssn"))).when(kind == "card", card(m, key))
-            .when(kind == "number", in_shape(m, permuted_digits(d, key, "number"))).when(kind == "phone", phone(m, key)).otherwise(m))
+            .when(kind == "number", in_shape(m, number(d, key))).when(kind == "phone", phone(m, key)).otherwise(m))
 
 
 def pseudonymise(documents: DataFrame, key: str, column: str = "text") -> DataFrame:
