@@ -14,16 +14,16 @@ and an earlier start).
 3. An anchor with over LIMIT contexts (a passage that very many documents quote) is not sorted in one task: its windows
    go one by one, by a 128-bit hash, through a map-side combined minimum and a join that Spark splits when skewed.
 
-Defined cases: null text counts as empty; texts under LENGTH bytes are kept whole; rows that repeat an id are one
-document to this rule (equal rows get equal results, and neither counts as earlier than the other); a null id sorts
-first.
+Defined cases: null text counts as empty; texts under LENGTH bytes are kept whole; rows that repeat an id and a
+text are one document to this rule (equal rows get equal results, and neither counts as earlier than the other); unlike
+texts under one id are documents of their own, in the order of their hashes; a null id sorts first. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -32,7 +32,6 @@ from .shared import fragments, written
 LENGTH, GRAM = 100, 36
 SPAN = LENGTH - GRAM + 1  # grams of a window
 LIMIT = 2000
-FIRST = -(1 << 63)  # stands for a null id
 
 
 def contexts(t: tk.Texts) -> tuple[np.ndarray, ...]:
@@ -81,7 +80,7 @@ def dealt(documents: DataFrame, pieces: int) -> DataFrame:
             a, c, text, start, count, place = contexts(t)
             if not len(a):
                 continue
-            doc = np.asarray(part.column(0).fill_null(FIRST).to_numpy(zero_copy_only=False), np.int64)[text]
+            doc = part.column(0).to_numpy()[text]
             frag = (a % tk.U(pieces)).astype(np.int32)
             by = np.argsort(frag, kind="stable")
             cut = np.searchsorted(frag[by], np.arange(pieces + 1))
@@ -89,7 +88,7 @@ def dealt(documents: DataFrame, pieces: int) -> DataFrame:
             out = [(k, *(x[cut[k] : cut[k + 1]].tobytes() for x in cols)) for k in range(pieces) if cut[k + 1] > cut[k]]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 6))], names)
 
-    return documents.select("doc_id", "text").mapInArrow(rows, "f int, anchor binary, context binary, doc binary, start binary, windows binary, place binary")
+    return documents.select("doc", "text").mapInArrow(rows, "f int, anchor binary, context binary, doc binary, start binary, windows binary, place binary")
 
 
 ROW = ("kind byte, doc long, start long, stop long, anchor long, place int, many int", ["kind", "doc", "start", "stop", "anchor", "place", "many"])
@@ -232,8 +231,11 @@ def repeats_at(raw: np.ndarray, at: np.ndarray, place: np.ndarray, length: np.nd
         # bytes verify: each window against the first of its class
         a, b = (at[el] + place[el] - r).tolist(), (at[head] + place[head] - r).tolist()
         same = np.array([text[x : x + LENGTH] == text[y : y + LENGTH] for x, y in zip(a, b)], bool)
-        if not same.all():
-            raise RuntimeError("two different strings share all hashes; change the base")
+        if not same.all():  # two strings share all hashes: the bytes decide
+            first: dict[bytes, int] = {}
+            heads = np.array([first.setdefault(text[x : x + LENGTH], i) for i, x in zip(on.tolist(), (at[on] + place[on] - r).tolist())])
+            el = on[(doc[on] != doc[heads]) | (pos[on] != pos[heads])]
+            fresh = (least[el] == 1 << 30) | (r > most[el])
         least[el[fresh]] = np.minimum(least[el[fresh]], r)
         most[el] = r
     hit = np.flatnonzero(most >= 0)
@@ -267,12 +269,27 @@ def sorted_out(fetched: DataFrame, pieces: int) -> DataFrame:
     return fetched.repartition(pieces, "anchor").mapInArrow(rows, "doc long, start long, stop long")
 
 
+def numbered(documents: DataFrame) -> DataFrame:
+    """doc_id, doc, text: doc is a number in the order of the ids that no two unlike documents share. That is the id
+    itself unless ids repeat or are null; then ids and text hashes are numbered by sorted ranges."""
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select("doc_id", F.xxhash64("text").alias("key"))
+    if not ids.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").head(1):
+        return docs.select("doc_id", F.col("doc_id").alias("doc"), "text")
+    ranged = ids.distinct().repartitionByRange("doc_id", "key").withColumn("part", F.spark_partition_id())
+    ranged = written(ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "key"))), "repeat-ids")
+    before = ranged.groupBy("part").agg(F.count("*").alias("c"))
+    before = before.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))  # a row a partition
+    named = ranged.join(F.broadcast(before), "part").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), (F.col("before") + F.col("r")).alias("doc"))
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("k"))).select("doc_id", "doc", "text")
+
+
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, stop: the maximal removed runs), kept (binary): one row per document."""
     spark = documents.sparkSession
     pieces = fragments(spark)
-    docs = documents.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = written(matched(dealt(documents, pieces), pieces), "repeat-contexts")
+    docs = numbered(documents)
+    found = written(matched(dealt(docs, pieces), pieces), "repeat-contexts")
     covers = found.where("kind = 0").select("doc", "start", "stop")
     reps = found.where("kind = 1")
     wanted = reps.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "stop", "place", F.col("many").alias("many"))).alias("c"))
