@@ -109,14 +109,15 @@ def landing(size: list[int], p: list[float], draw: random.Random) -> list[float]
     return p
 
 
-def level(units: DataFrame, last: bool) -> DataFrame:
-    """One level: units (doc_id, source, size, target, source_size, sure, p, block) to the same with p decided but for two a block."""
+def level(units: DataFrame) -> DataFrame:
+    """One level: units (doc_id, source, size, target, source_size, sure, p, block, blocks) to the same with p decided but
+    for two a block. A source with one block lands."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key = pd.util.hash_array(pdf["doc_id"].fillna(-1).to_numpy(np.int64))
         pdf = pdf.iloc[np.lexsort((pdf["size"].to_numpy(), pdf["doc_id"].fillna(-1).to_numpy(), key))]
         draw = random.Random(int(key.sum(dtype=np.uint64)))
-        return pdf.assign(p=(landing if last else flight)(pdf["size"].tolist(), pdf["p"].tolist(), draw))
+        return pdf.assign(p=(landing if pdf["blocks"].iloc[0] == 1 else flight)(pdf["size"].tolist(), pdf["p"].tolist(), draw))
 
     return units.groupBy("source", "block").applyInPandas(run, units.schema)
 
@@ -133,17 +134,17 @@ def mix(documents: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float
     units = size.join(side, F.col("source").eqNullSafe(F.col("src"))).withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
     salt = F.xxhash64("doc_id", "size")
     units = units.select("doc_id", "source", "size", "source_size", "target", F.floor("rate").alias("sure"), (F.col("rate") - F.floor("rate")).alias("p"),
-                         F.pmod(salt, F.ceil(F.col("docs") / block)).alias("block"))
+                         F.pmod(salt, F.ceil(F.col("docs") / block)).alias("block"), F.ceil(F.col("docs") / block).alias("blocks"))
     blocks = math.ceil((most or 1) / block)
     parts = []
     while True:
-        got = written(level(units, last=blocks == 1), "mix-level")
+        got = written(level(units), "mix-level")
         parts.append(got.where("p IN (0, 1)"))
         if blocks == 1:
             break
         step = max(block // 2, 2)  # a block leaves two units at most
         blocks = math.ceil(blocks / step)
-        units = got.where("p NOT IN (0, 1)").withColumn("block", F.floor(F.col("block") / step))
+        units = got.where("p NOT IN (0, 1)").withColumn("block", F.floor(F.col("block") / step)).withColumn("blocks", F.ceil(F.col("blocks") / step))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
