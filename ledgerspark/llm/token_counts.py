@@ -1,11 +1,12 @@
-"""Token counts by a map-side two-tier lookup; pre-tokens are never shuffled.
+"""Token counts by a map-side two-tier lookup; the texts' pre-tokens are never shuffled (to build the table, each task
+passes on the counts of at most PER_TASK frequent chunks).
 
 A chunk is a run of bytes outside ASCII white space. The normaliser and the pre-tokeniser of the vocabulary
 never join across white space, so a text's tokens are the sum over its chunks. Tier one is a broadcast table of
 frequent chunks and their token counts, at most TABLE entries. Tier two encodes misses and keeps their counts in
-a cache of the worker, at most CACHE entries. Every count is exact; the tables only save time.
+a cache of the worker, at most CACHE entries of at most LONG bytes; longer chunks are encoded where they occur. Every count is exact; the tables only save time.
 
-Defined cases: null or empty text has 0 bytes and 0 tokens; repeated rows are each counted.
+Defined cases: null or empty text has 0 bytes and 0 tokens; repeated rows and null ids are each counted; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 TABLE = 100_000
 CACHE = 1_000_000
 PER_TASK = 20_000
+LONG = 64
 OUT = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -35,7 +37,7 @@ def frequent_chunks(texts: DataFrame, table: int = TABLE, per_task: int = PER_TA
                     seen.update(x.as_buffer().to_pybytes().split())
             if len(seen) > 20 * per_task:
                 seen = Counter(dict(seen.most_common(10 * per_task)))
-        top = seen.most_common(per_task)
+        top = [(c, n) for c, n in seen.most_common(per_task) if len(c) <= LONG]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["chunk", "n"])
 
     rows = texts.select("text").mapInArrow(count, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(table)
@@ -85,8 +87,11 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, table:
                         if len(cache) + len(new) > CACHE:
                             cache.clear()
                             new = list(dict.fromkeys(miss))
-                        cache.update((c, len(e.ids)) for c, e in zip(new, tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)))
-                    counts.append(sum(n for n in got if n is not None) + sum(map(cache.__getitem__, miss)))
+                        fresh = {c: len(e.ids) for c, e in zip(new, tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False))}
+                        cache.update((c, n) for c, n in fresh.items() if len(c) <= LONG)
+                    else:
+                        fresh = cache
+                    counts.append(sum(n for n in got if n is not None) + sum(fresh[c] if c in fresh else cache[c] for c in miss))
                 else:
                     counts.append(sum(got))
                 n_bytes.append(len(raw))
