@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import new_path, persisted, written
+from .prepare import median_imputed
 from .robust import quantiles
 
 FEATURES = "TransactionAmt log_amount amount_decimal is_round_amount hour is_night day_of_week user_avg_amt user_std_amt user_txn_count amount_zscore amount_to_mean_ratio time_since_last txn_count_30min".split()
@@ -153,9 +154,7 @@ def pca_v(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 
 
 def components_of(df: DataFrame, columns: list[str], k: int, fit_on: Column | None = None):
-    medians = df.agg(*(F.median(c).alias(f"_{c}") for c in columns))
-    data = df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}"), F.lit(0.0)) for c in columns}).drop(*(f"_{c}" for c in columns))
-    data = written(data, "components")
+    data = written(median_imputed(df, tuple(columns)), "components")
     base = data if fit_on is None else data.where(fit_on)
     scale = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x"), StandardScaler(inputCol="x", outputCol="z", withMean=True)]).fit(base)
     return scale.transform(data), PCA(k=k, inputCol="z", outputCol="p").fit(scale.transform(base))

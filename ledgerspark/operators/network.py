@@ -1,7 +1,9 @@
-"""Graph of cards that share devices or addresses."""
+"""Graph of cards that share devices, addresses or rare e-mail domains."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,15 @@ def shared_edges(df: DataFrame, key: str, relation: str, most: int, reach: int,
     return ranked.join(other, key).where(f"r2 - r BETWEEN 1 AND {reach}").select(F.col("card1").alias("src"), "dst", F.lit(relation).alias("relation")).distinct()
 
 
+#: Relations in the order of their precedence: column, name, most cards and reach of a group, most rows of it.
+RELATIONS = (("DeviceInfo", "shared_device", 20, 4, None), ("addr1", "shared_address", 15, 4, None), ("P_emaildomain", "shared_email", 10, 2, 100))
+
+
 def graph_edges(df: DataFrame) -> DataFrame:
-    """src < dst, relation: a pair keeps its first relation (device, then address, then a rare e-mail domain)."""
-    every = shared_edges(df, "DeviceInfo", "shared_device", 20, 4).withColumn("p", F.lit(1)).unionByName(shared_edges(df, "addr1", "shared_address", 15, 4).withColumn("p", F.lit(2)))
-    every = every.unionByName(shared_edges(df, "P_emaildomain", "shared_email", 10, 2, 100).withColumn("p", F.lit(3)))
+    """src < dst, relation: a pair keeps its first relation (device, then address, then a rare e-mail domain). A column that
+    df lacks gives none."""
+    found = [shared_edges(df, *r).withColumn("p", F.lit(i)) for i, r in enumerate(RELATIONS) if r[0] in df.columns]
+    every = reduce(DataFrame.unionByName, found)
     return every.groupBy("src", "dst").agg(F.min_by("relation", "p").alias("relation"))
 
 

@@ -21,11 +21,10 @@ def label_encoded(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def median_imputed(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Nulls take the column's exact median (0 where it has no values)."""
-    for c in columns:
-        one = quantiles(df, c, 0.5).agg(F.max("q").alias("_q"))
-        df = df.crossJoin(F.broadcast(one)).withColumn(c, F.coalesce(F.col(c).cast("double"), "_q", F.lit(0.0))).drop("_q")
-    return df
+    """Nulls take the column's exact median (0 where it has no values); one pass finds the medians of all columns."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns))).alias("r")).select("r.*")
+    one = quantiles(long, "x", 0.5, ("name",)).agg(*(F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"_{c}") for c in columns))
+    return df.crossJoin(F.broadcast(one)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}"), F.lit(0.0)) for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
 def standard_scaled(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -145,7 +145,7 @@ op("oof_stacking", [*PREPARED, m.oof_stacking], "p_gbt:6 p_gbt_sampled:6 p_perce
 op("tune_params", [*PREPARED, m.tuned], "max_depth:i step_size:4 auc:6", None, key="")
 op("select_features", [*PREPARED, m.selected_features], "feature importance:6 kept:i", None, key="")
 op("avg_importance", [*PREPARED, m.importances], "feature importance:6", None, key="")
-op("adversarial_validation", [*PREPARED, lambda t: m.adversarial_validation(t, F.pmod(F.xxhash64(ID), F.lit(5)) == 0)], "auc:6 status feature importance:6", None, key="")
+op("adversarial_validation", [*PREPARED, lambda t: m.adversarial_validation(t, F.col("TransactionDT") > r.quantiles(t, "TransactionDT", 0.8).first()["q"])], "auc:6 status feature importance:6", None, key="")
 op("linear_contributions", [*PREPARED, m.linear_contributions], "reasons largest:6", None)
 op("pca_v", [lambda t: m.pca_v(t, [f"V{j}" for j in range(1, 9)])], " ".join(f"pca_{j}:6" for j in range(1, 6)), None, view=v_feat)
 op("pca_anomaly", [*PREPARED, m.pca_anomaly], "error:6 threshold:6 score:6 is_anomaly:i", None)
