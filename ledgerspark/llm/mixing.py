@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BLOCK = 2048
-LANDING = 10
+LANDING = 14
 WEIGHTS = (5.0, 2.0, 1.0)
 RATIO = 1.5
 CAP = 2.0
