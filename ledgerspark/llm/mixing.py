@@ -10,8 +10,12 @@ or 1. It runs in blocks of about BLOCK documents; what a block leaves undecided
 meets that of other blocks in the next level, until one block a source is left; there the landing picks the
 roundings that miss the words by least.
 
-Defined cases: null text has size 0 and takes 0; a null source is a source of its own; repeated rows are units
-of their own; draws depend on the rows alone, so reruns agree; an empty table gives no rows.
+Rows equal in id, source and size are alike to the constraints, so moving along the null space between two of them ends
+with floor(n p) taken, one open at most and the others not. They are counted before any block is made: one unit stands
+for the open one, and the others come back by their count, REPEATS at a time.
+
+Defined cases: null text has size 0 and takes 0; a null source is a source of its own; repeated rows are taken
+or not each on their own; draws depend on the rows alone, so reruns agree; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 RATIO = 1.5
 CAP = 2.0
 SMALL = 100_000
+REPEATS = 100_000  # rows that one row is expanded into at a time
 
 
 def sizes(documents: DataFrame) -> DataFrame:
@@ -124,17 +129,21 @@ def level(units: DataFrame) -> DataFrame:
 
 def mix(documents: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float = CAP, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: one row per input row."""
-    size = written(sizes(documents), "mix-sizes")
-    by_source = size.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    size = written(sizes(documents).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "mix-sizes")
+    by_source = size.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("docs"))
     by_source = written(targets(by_source, weights, ratio, cap), "mix-sources")
     n, most = by_source.agg(F.count("*"), F.max("docs")).first()
     side = F.broadcast(by_source) if n <= SMALL else by_source
     side = side.withColumnRenamed("source", "src")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = size.join(side, F.col("source").eqNullSafe(F.col("src"))).withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
+    units = units.withColumn("sure", F.floor("rate")).withColumn("open", F.col("rows") * (F.col("rate") - F.col("sure"))).withColumn("whole", F.floor("open"))
+    names = ["doc_id", "source", "size", "source_size", "target"]
+    few = units.where("rows > 1").select(*names, "sure", "whole", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 2) / REPEATS))).alias("k")).repartition("doc_id", "size", "k")
+    few = few.withColumn("i", F.explode(F.sequence(F.col("k") * REPEATS + 1, F.least((F.col("k") + 1) * REPEATS, F.col("rows") - 1))))
+    others = few.select(*names, ((F.col("sure") + (F.col("i") <= F.col("whole")).cast("long")) * F.col("size")).alias("taken"))
     salt = F.xxhash64("doc_id", "size")
-    units = units.select("doc_id", "source", "size", "source_size", "target", F.floor("rate").alias("sure"), (F.col("rate") - F.floor("rate")).alias("p"),
-                         F.pmod(salt, F.ceil(F.col("docs") / block)).alias("block"), F.ceil(F.col("docs") / block).alias("blocks"))
+    units = units.select(*names, "sure", (F.col("open") - F.col("whole")).alias("p"), F.pmod(salt, F.ceil(F.col("docs") / block)).alias("block"), F.ceil(F.col("docs") / block).alias("blocks"))
     blocks = math.ceil((most or 1) / block)
     parts = []
     while True:
@@ -148,4 +157,5 @@ def mix(documents: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: float
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("doc_id", "source", "size", "source_size", "target", ((F.col("sure") + F.col("p").cast("long")) * F.col("size")).alias("taken"))
+    taken = (F.col("sure") + F.col("p").cast("long")) * F.col("size")
+    return out.select(*names, taken.alias("taken")).unionByName(others)

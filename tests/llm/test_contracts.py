@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from ledgerspark.llm import entries, html_text
+from ledgerspark.llm import entries, html_text, mixing
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -145,6 +145,17 @@ def test_op7(spark):
     assert got == result(spark, "op7_mixing", SF, "size", "source_size", "target", "taken")
 
 
+def test_op7_repeated_rows(spark, monkeypatch):
+    """Rows that repeat are counted, not gathered: none is lost, and the words come near their target."""
+    monkeypatch.setattr(mixing, "REPEATS", 100)
+    rows = [(1, "a b c", "x")] * 3000 + [(None, "a b c d", "x")] * 2 + [(None, None, "x")] * 3 + [(i, "w " * (i % 60), "y") for i in range(500)] + [(i, "w " * (i % 90), None) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=64).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((i, s, len(words(t or ""))) for i, t, s in rows)
+    for s in ("x", "y", None):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5 and all(r["taken"] <= 2 * r["size"] for r in own), s
+
+
 def test_op8(spark):
     tokens = {i: [*words(t.translate(LOW)), None] for i, t in texts(SF).items()}
     out = {i for i in tokens if zlib.crc32(str(i).encode()) % 5 == 1}
