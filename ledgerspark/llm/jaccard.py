@@ -9,8 +9,9 @@ The global order of shingles is by hash, with the frequent shingles last, by fre
    order). At the first one that they share, neither has more than what is left of the shorter rest to share, so a
    pair is possible only if both rests hold the overlap that a link needs (and the sizes allow one). Classes that
    share a prefix shingle form a group. A small group gives all its possible pairs; a large one gives each class with
-   the group's hub, the class with the fewest shingles before the group's. Bitmaps of the sets bound each pair's
-   overlap from above and rule most of the unlike ones out.
+   the group's hub, the class with the fewest shingles before the group's. Groups of shingles in HUGE documents or more
+   are never gathered: their rows are dealt by class and their hubs found by a combined minimum. Bitmaps of the sets
+   bound each pair's overlap from above and rule most of the unlike ones out.
 2. Overlaps. The global order is cut into CUTS fragments; the overlap of a pair is counted in each of them apart and
    summed per pair.
 3. The rest. Classes of a large group that are not in the hub's component are a query set against their group: every
@@ -37,6 +38,7 @@ SHINGLE, PERCENT = 5, 75
 HOT = 200_000  # most shingles in the broadcast table of frequent ones (16 bytes each); it only orders, it drops nothing
 LOCAL = 4  # a task reports shingles that it sees in so many documents
 GROUP = 4  # groups up to this size give all pairs at once
+HUGE = 5_000  # frequent shingles counted in so many documents have their groups dealt by class
 CUTS = 4  # fragments of the order in which overlaps are counted
 SMALL = 200_000  # rows of two longs that may be broadcast
 
@@ -132,6 +134,7 @@ class Order:
         keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
         by = np.argsort(keys)
         self.keys, self.rank = keys[by], np.arange(len(keys), dtype=np.uint64)[::-1][by]
+        self.huge = tk.U((1 << 63) + sum(r[1] < HUGE for r in rows))  # places from here on are those of huge groups
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.keys >> tk.U(44)).astype(np.int64)] = True
 
@@ -154,7 +157,8 @@ def needed(n, m):
 
 
 def prefix_rows(documents: DataFrame, order, pieces: int) -> DataFrame:
-    """f (fragment), tokens, c (class), n (its size), rest (its shingles from the token on): packed, a row per fragment and some megabytes of text."""
+    """f (fragment), tokens, c (class), n (its size), rest (its shingles from the token on): packed, a row per fragment and some
+    megabytes of text. Fragments hold whole groups; those from pieces on hold huge groups' rows by class."""
 
     def rows(batches):
         for _, t in tk.pieces(batches, "text", 4 << 20):
@@ -169,16 +173,24 @@ def prefix_rows(documents: DataFrame, order, pieces: int) -> DataFrame:
             tok = np.concatenate([order.value.sorted(x)[:p] for x, p in zip(known.values(), long)])
             c, n = np.repeat(np.array(list(known), np.int64), long), np.repeat(size, long)
             rest = n - (np.arange(len(tok)) - np.repeat(np.cumsum(long) - long, long)).astype(np.uint32)
-            out = tk.packed_by((tk.mix(tok) % tk.U(pieces)).astype(np.int32), pieces, tok, c, n, rest)
+            huge = tok >= order.value.huge
+            frag = (tk.mix(np.where(huge, c.view(np.uint64), tok)) % tk.U(pieces)).astype(np.int32) + np.int32(pieces) * huge
+            out = tk.packed_by(frag, 2 * pieces, tok, c, n, rest)
             yield tk.batch_of(out, [pa.int32(), *[pa.binary()] * 4], ["f", "tokens", "c", "n", "rest"])
 
     return documents.select("text").mapInArrow(rows, "f int, tokens binary, c binary, n binary, rest binary")
 
 
-def candidates(packed: DataFrame, pieces: int) -> DataFrame:
-    """kind 0: a possible pair of classes a < b. kind 1: class a, of size n, with rest, is in the large group of token, whose hub is b."""
+def candidates(packed: DataFrame, order, pieces: int) -> DataFrame:
+    """kind 0: a possible pair of classes a < b. kind 1: class a, of size n, with rest, is in the large group of token, whose
+    hub is b. kind 2: the like of kind 1 for a huge group; its hub is not yet known."""
     names = ["kind", "a", "b", "token", "n", "rest"]
 
+    def members(kind, a, b, token, n, rest):
+        for k in range(0, len(a), 100_000):
+            part = [x[k : k + 100_000] for x in (a, b, token.view(np.int64), n, rest)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int8)), *map(pa.array, part)], names)
+
     def rows(batches):
         cols = [[] for _ in range(4)]
         for b in batches:
@@ -190,7 +202,7 @@ def candidates(packed: DataFrame, pieces: int) -> DataFrame:
         tok = np.concatenate(cols[0])
         by = np.argsort(tok)
         same = tok[by][1:] == tok[by][:-1]
-        keep = np.zeros(len(tok), bool)  # shared by two rows or more
+        keep = tok >= order.value.huge  # else shared by two rows or more
         keep[by[1:][same]] = True
         keep[by[:-1][same]] = True
         tok = tok[keep]
@@ -201,7 +213,10 @@ def candidates(packed: DataFrame, pieces: int) -> DataFrame:
         new = np.ones(len(tok), bool)  # one row a token and class
         new[1:] = (tok[1:] != tok[:-1]) | (c[1:] != c[:-1])
         tok, c, n, rest = (x[new] for x in (tok, c, n, rest))
-        start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        huge = int(np.searchsorted(tok, order.value.huge))
+        yield from members(2, c[huge:], np.zeros(len(c) - huge, np.int64), tok[huge:], n[huge:], rest[huge:])
+        tok, c, n, rest = (x[:huge] for x in (tok, c, n, rest))
+        start = np.flatnonzero(np.diff(tok, prepend=~tok[:1]))
         count = np.diff(np.append(start, len(tok)))
         pairs = []
         for m in range(2, GROUP + 1):
@@ -216,13 +231,17 @@ def candidates(packed: DataFrame, pieces: int) -> DataFrame:
         two = np.unique(np.sort(np.stack((c[a[fits]], c[b[fits]]), 1), 1), axis=0)
         none = np.zeros(len(two), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(none.astype(np.int8)), *(pa.array(np.ascontiguousarray(x)) for x in (two[:, 0], two[:, 1], none, none, none))], names)
-        for k in range(0, len(large), 100_000):
-            at = large[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), *(pa.array(x) for x in (c[at], c[hub[at]], tok[at].view(np.int64), n[at], rest[at]))], names)
+        yield from members(1, c[large], c[hub[large]], tok[large], n[large], rest[large])
 
     return packed.repartition(pieces, "f").mapInArrow(rows, "kind byte, a long, b long, token long, n long, rest long")
 
 
+def with_hubs(huge: DataFrame) -> DataFrame:
+    """The rows of huge groups with their hub b, its size nb and its rest restb."""
+    hub = huge.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("before"), F.col("a").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("restb"))).alias("hub"))
+    return huge.join(F.broadcast(hub), "token").select("token", "a", "n", "rest", "hub.b", "hub.nb", "hub.restb")  # at most HOT hubs
+
+
 def segments(documents: DataFrame, reps: DataFrame, order) -> DataFrame:
     """c, f, s: each wanted class's shingles in each of CUTS fragments of the order (the last holds the frequent ones)."""
     pivots = np.array([(1 << 63) // (CUTS - 1) * i for i in range(1, CUTS - 1)] + [1 << 63], np.uint64)
@@ -279,7 +298,9 @@ def near_duplicates(documents: DataFrame, keyed: bool = False) -> DataFrame:
     docs = survey.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "c", "key")
     hot = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HOT).select("a", "n").collect()  # at most HOT
     order = spark.sparkContext.broadcast(Order(hot))
-    found = written(candidates(prefix_rows(documents, order, pieces), pieces), "near-candidates")
+    found = written(candidates(prefix_rows(documents, order, pieces), order, pieces), "near-candidates")
+    huge = with_hubs(found.where("kind = 2").select("token", "a", "n", "rest"))
+    fits = f"a <> b AND 100 * least(n, nb) >= {PERCENT} * greatest(n, nb) AND {100 + PERCENT} * least(rest, restb) >= {PERCENT} * (n + nb)"
     size = written(survey.where("kind = 0 AND c IS NOT NULL").groupBy("c").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("bits").alias("bits")), "near-classes")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -288,10 +309,12 @@ def near_duplicates(documents: DataFrame, keyed: bool = False) -> DataFrame:
         segs = written(segments(documents, size.join(named, "c", "left_semi").select("key", "c"), order), "near-segments")
         return written(linked(pairs, segs, size), "near-links")
 
-    tried = written(found.where("kind = 0").select("a", "b").distinct(), "near-pairs")
+    pairs = found.where("kind = 0").select("a", "b").unionByName(huge.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    tried = written(pairs.distinct(), "near-pairs")
     links = verified(tried)
     labels = components(links)
-    more = written(between_components(found.where("kind = 1").select("token", "a", "b", "n", "rest"), labels).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    groups = found.where("kind = 1").select("token", "a", "b", "n", "rest").unionByName(huge.select("token", "a", "b", "n", "rest"))
+    more = written(between_components(groups, labels).join(tried, ["a", "b"], "left_anti"), "near-pairs")
     if more.head(1):
         labels = components(links.unionByName(verified(more)))
     named = docs.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))

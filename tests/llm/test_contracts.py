@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from ledgerspark.llm import entries, html_text, mixing
+from ledgerspark.llm import entries, html_text, jaccard, mixing
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -95,6 +95,12 @@ def test_op2(spark):
     assert result(spark, "op2_jaccard", SF, "n_shingles", "component_id") == components(texts(SF))
 
 
+def test_op2_with_huge_groups(spark, monkeypatch):
+    """The same links when groups of few documents already count as huge."""
+    monkeypatch.setattr(jaccard, "HUGE", 6)
+    assert result(spark, "op2_jaccard", SF, "n_shingles", "component_id") == components(texts(SF))
+
+
 def test_op4(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
