@@ -6,7 +6,8 @@ and an earlier start).
 1. Each window of LENGTH bytes has an anchor: its leftmost GRAM-byte gram of least hash. Equal windows have equal
    anchors, at equal places. Consecutive windows with one anchor make a context. Contexts are dealt by the anchor's
    hash, packed; anchors that occur once are dropped there. Of equal contexts only the earliest goes on: the others
-   are removed whole.
+   are removed whole. That is done first among the texts at hand, by bytes, before any row is dealt, so copies send
+   their spans only.
 2. Where an anchor has several different contexts left, their bytes are fetched, and the suffixes from the anchor are
    sorted by mergesort: prefix polynomial hashes and binary search give the common extension of two suffixes, so a
    comparison takes logarithmic time. In this order, windows that start r bytes before the anchor are equal if their
@@ -71,9 +72,37 @@ def contexts(t: tk.Texts) -> tuple[np.ndarray, ...]:
     return g[a], t.runs(h, first, first + count + LENGTH - 1), text, first - t.at[text], count, a - first
 
 
+def shaped(c: np.ndarray, count: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Context hashes that tell shapes apart: contexts of other shape at an anchor differ even if their bytes are equal."""
+    return tk.mix(c + count.astype(np.uint64) * tk.U(131) + place.astype(np.uint64) * tk.U(tk.BASE))
+
+
+def again(t: tk.Texts, a, c, doc, text, start, count) -> np.ndarray:
+    """Which contexts are equal, byte for byte, to an earlier one of the texts at hand."""
+    key = tk.mix(a ^ tk.mix(c))
+    by = np.argsort(key)
+    same = key[by][1:] == key[by][:-1]
+    on = np.zeros(len(key), bool)
+    on[by[1:][same]] = True
+    on[by[:-1][same]] = True
+    at = np.flatnonzero(on)
+    at = at[np.lexsort((start[at], doc[at], c[at], a[at]))]
+    out = np.zeros(len(key), bool)
+    if not len(at):
+        return out
+    first = np.concatenate(([True], (a[at][1:] != a[at][:-1]) | (c[at][1:] != c[at][:-1])))
+    head = at[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    later = (doc[at] != doc[head]) | (start[at] != start[head])
+    at, head = at[later], head[later]
+    raw, size = t.bytes.tobytes(), (count[at] + LENGTH - 1).tolist()
+    here, there = (t.at[text[x]] + start[x] for x in (at, head))
+    out[at] = [raw[x : x + n] == raw[y : y + n] for x, y, n in zip(here.tolist(), there.tolist(), size)]
+    return out
+
+
 def dealt(documents: DataFrame, pieces: int) -> DataFrame:
-    """Contexts packed by fragments of the anchors' hashes."""
-    names = ["f", "anchor", "context", "doc", "start", "windows", "place"]
+    """Contexts packed by fragments of the anchors' hashes; gone holds packed spans (doc, start, stop) that go already."""
+    names = ["f", "anchor", "context", "doc", "start", "windows", "place", "gone"]
 
     def rows(batches):
         for part, t in tk.pieces(batches, "text"):
@@ -81,14 +110,28 @@ def dealt(documents: DataFrame, pieces: int) -> DataFrame:
             if not len(a):
                 continue
             doc = part.column(0).to_numpy()[text]
+            c = shaped(c, count, place)
+            out = again(t, a, c, doc, text, start, count)
+            spans = runs_of(doc[out], text[out], start[out], (start + count)[out] + LENGTH - 1)
+            a, c, doc, start, count, place = (x[~out] for x in (a, c, doc, start, count, place))
             frag = (a % tk.U(pieces)).astype(np.int32)
             by = np.argsort(frag, kind="stable")
             cut = np.searchsorted(frag[by], np.arange(pieces + 1))
             cols = [x[by] for x in (a, c, doc, start.astype(np.uint32), count.astype(np.uint8), place.astype(np.uint8))]
-            out = [(k, *(x[cut[k] : cut[k + 1]].tobytes() for x in cols)) for k in range(pieces) if cut[k + 1] > cut[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 6))], names)
+            out = [(k, *(x[cut[k] : cut[k + 1]].tobytes() for x in cols), b"") for k in range(pieces) if cut[k + 1] > cut[k]]
+            if spans.size:
+                out.append((int(spans[0, 0] % pieces), *(b"",) * 6, spans.tobytes()))
+            yield tk.batch_of(out, [pa.int32(), *[pa.binary()] * 7], names)
+
+    return documents.select("doc", "text").mapInArrow(rows, "f int, anchor binary, context binary, doc binary, start binary, windows binary, place binary, gone binary")
+
 
-    return documents.select("doc", "text").mapInArrow(rows, "f int, anchor binary, context binary, doc binary, start binary, windows binary, place binary")
+def runs_of(doc, text, start, stop) -> np.ndarray:
+    """Spans in the order of their texts and starts, as rows of doc, start, stop; those that touch become one."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (text[1:] != text[:-1]) | (start[1:] > stop[:-1])
+    at = np.flatnonzero(new)
+    return np.stack((doc[at], start[at], stop[np.append(at[1:], len(doc)) - 1] if len(at) else stop), 1)
 
 
 ROW = ("kind byte, doc long, start long, stop long, anchor long, place int, many int", ["kind", "doc", "start", "stop", "anchor", "place", "many"])
@@ -107,6 +150,10 @@ def matched(packed: DataFrame, pieces: int) -> DataFrame:
     def rows(batches):
         cols = [[] for _ in range(6)]
         for b in batches:
+            for x in b.column(7):
+                doc, start, stop = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3).T
+                if len(doc):
+                    yield row_batch(0, np.ascontiguousarray(doc), start, stop)
             for r in zip(*(b.column(i) for i in range(1, 7))):
                 for c, x, d in zip(cols, r, (np.uint64, np.uint64, np.int64, np.uint32, np.uint8, np.uint8)):
                     c.append(np.frombuffer(x.as_buffer(), d))
@@ -120,8 +167,6 @@ def matched(packed: DataFrame, pieces: int) -> DataFrame:
         on[by[:-1][same]] = True
         a = a[on]
         c, doc, start, count, place = (np.concatenate(x)[on] for x in cols[1:])
-        # contexts of other shape at the anchor differ even if their bytes were equal
-        c = tk.mix(c + count.astype(np.uint64) * tk.U(131) + place.astype(np.uint64) * tk.U(tk.BASE))
         by = np.lexsort((start, doc, c, a))
         a, c, doc, start, count, place = (x[by] for x in (a, c, doc, start, count, place))
         start = start.astype(np.int64)
