@@ -1,6 +1,7 @@
 """The registered queries over whole given tables, every column of their results against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -101,6 +102,21 @@ def test_op2_with_huge_groups(spark, monkeypatch):
     assert result(spark, "op2_jaccard", SF, "n_shingles", "component_id") == components(texts(SF))
 
 
+def test_huge_groups_of_near_copies(spark, monkeypatch):
+    """160 texts of one hundred words with one to four of eight changes: some link to the hub, some only to each other, some to none."""
+    monkeypatch.setattr(jaccard, "HUGE", 6)
+    rng, made = random.Random(7), {}
+    for i in range(160):
+        w = [f"w{k}" for k in range(100)]
+        for k in rng.sample(range(8), rng.randint(1, 4)):
+            w[6 + 12 * k] = f"x{rng.randint(0, 3)}"
+        made[i] = " ".join(w)
+    found = jaccard.near_duplicates(spark.createDataFrame(list(made.items()), "doc_id long, text string").coalesce(2)).collect()
+    want = components(made)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+    assert len({c for _, c in want.values()}) > 1
+
+
 def test_op4(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
