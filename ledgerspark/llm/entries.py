@@ -88,6 +88,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pu_quality import CUT, quality_scores
+
+    got = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .negatives import hard_negatives
 
@@ -106,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_decontaminate": op10_decontaminate,
     "op11_whitening": op11_whitening,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_hard_negatives": op13_hard_negatives,
 }
 SQL: dict[str, str] = {"op10_decontaminate": decontaminate.SQL}
