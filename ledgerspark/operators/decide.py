@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, flag
+from .ordered import running
 
 #: Fixed weights of the risk score, by column.
 WEIGHTS = {"proba": 30, "iso_score": 15, "is_unusual_device": 8, "is_shared_device": 6, "is_low_activity_user": 4, "first_txn_high_value": 7, "is_suspicious_round": 4, "product_fraud_rate": 3, "round_x_new_device": 3, "category_mismatch_risk": 2,
@@ -91,18 +92,6 @@ def confusion(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return t.withColumn("precision", zero(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", zero(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("f1", zero(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
-def running(df: DataFrame, by: str, sums: dict[str, str], down: bool = False, scale: int = 4096) -> DataFrame:
-    """Running sums in the order of by, inside bins of 1 / scale plus the totals of the bins before: no task orders all
-    rows. For scores from 0 to 1 there are at most scale + 1 bins; equal values get the sum of all of them."""
-    df = df.withColumn("_bin", F.floor(F.col(by) * scale))
-    totals = df.groupBy("_bin").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
-    before = Window.orderBy(F.desc("_bin") if down else F.asc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_bin", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))
-    inside = Window.partitionBy("_bin").orderBy(F.desc(by) if down else F.asc(by))
-    out = df.join(F.broadcast(totals), "_bin").withColumns({new: F.sum(c).over(inside) + F.col(f"_b_{c}") for c, new in sums.items()})
-    return out.drop("_bin", *(f"_b_{c}" for c in sums))
-
-
 def by_score(df: DataFrame) -> DataFrame:
     """Positives and negatives a distinct score, and their sums from the top."""
     g = df.where("proba IS NOT NULL").groupBy("proba").agg(F.sum("isFraud").cast("long").alias("pos"), F.sum(1 - F.col("isFraud")).cast("long").alias("neg"))
@@ -119,11 +108,17 @@ def auc(df: DataFrame) -> DataFrame:
     return g.agg(F.try_divide(F.sum(F.col("pos") * (F.col("fp") - F.col("neg")) + F.col("pos") * F.col("neg") / 2), F.sum("pos") * F.sum("neg")).alias("below")).select((1 - F.col("below")).alias("auc"))
 
 
+def with_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the average rank of column among its equals, over the number of its values; null where it is null."""
+    g = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_ties"))
+    g = running(g, column, {"_ties": "_upto"}).select(column, (F.col("_upto") - (F.col("_ties") - 1) / 2).alias("_rank"))
+    n = df.agg(F.count(column).alias("_n"))
+    return df.join(g, column, "left").crossJoin(F.broadcast(n)).withColumn(name, F.try_divide("_rank", "_n")).drop("_rank", "_n")
+
+
 def rank_normalised(df: DataFrame) -> DataFrame:
-    g = df.groupBy("proba").agg(F.count("*").alias("ties"))
-    g = running(g, "proba", {"ties": "_upto"}).select("proba", (F.col("_upto") - (F.col("ties") - 1) / 2).alias("rank"))
-    n = df.agg(F.count("*").alias("n"))
-    return df.join(g, "proba").crossJoin(F.broadcast(n)).select("TransactionID", (F.col("rank") / F.col("n")).alias("rank_norm"))
+    """TransactionID, rank_norm. A row without a score stays, with a null rank, and isn't counted."""
+    return with_rank(df, "proba", "rank_norm").select("TransactionID", "rank_norm")
 
 
 def cost_threshold(df: DataFrame, fn_cost: float = 850.0, fp_cost: float = 25.0, review: float = 15.0, steps: int = 1000) -> DataFrame:

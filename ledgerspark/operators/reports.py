@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, flag
-from .decide import auc, explanations, rank_normalised
+from .decide import auc, explanations, with_rank
+from .ordered import running
 from .robust import quantiles
 
 #: Fixed risk of a product, by its first letter.
@@ -51,11 +52,11 @@ def context_score(df: DataFrame) -> DataFrame:
 
 
 def rank_weighted_blend(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """blend: the columns' average-tie ranks over n, weighted by the cubes of their AUCs."""
+    """blend: the columns' average-tie ranks over n, weighted by the cubes of their AUCs; null where a score is."""
     weights = reduce(lambda x, y: x.crossJoin(y), (auc(df.select("isFraud", F.col(c).alias("proba"))).select((F.col("auc") ** 3).alias(f"_w_{c}")) for c in columns))
     out = df.select("TransactionID", "isFraud", *columns)
     for c in columns:
-        out = out.join(rank_normalised(df.select("TransactionID", F.col(c).alias("proba"))).withColumnRenamed("rank_norm", f"_r_{c}"), "TransactionID")
+        out = with_rank(out, c, f"_r_{c}")
     total = sum(F.col(f"_w_{c}") for c in columns)
     blend = sum(F.col(f"_w_{c}") * F.col(f"_r_{c}") for c in columns) / total
     return out.crossJoin(F.broadcast(weights)).select("TransactionID", "isFraud", *columns, blend.alias("blend"))
@@ -127,8 +128,9 @@ def model_leaderboard(df: DataFrame, columns: tuple[str, ...], threshold: float
 
 
 def drift_monitor(df: DataFrame, days: int = 7, column: str = "TransactionAmt", bins: int = 10) -> DataFrame:
-    """period, auc of the score, status (under 0.95 critical, under 0.97 a warning), psi: the shift of column against the
-    first period, over bins of equal width between the first period's ends, shares floored at 0.0001."""
+    """period, auc of the score, status (under 0.95 critical, under 0.97 a warning; unknown where a period lacks fraud, clean rows or
+    scores), psi: the shift of column against the first period, over bins of equal width between the first period's
+    ends, shares floored at 0.0001."""
     df = df.withColumn("period", F.floor(F.col("TransactionDT") / (86400 * days)))
     first = df.crossJoin(F.broadcast(df.agg(F.min("period").alias("_first"))))
     ends = first.where("period = _first").agg(F.min(column).alias("_mn"), F.max(column).alias("_mx"))
@@ -140,7 +142,7 @@ def drift_monitor(df: DataFrame, days: int = 7, column: str = "TransactionAmt",
     base = share.join(F.broadcast(df.agg(F.min("period").alias("period"))), "period").select("bin", F.col("share").alias("base"))
     psi = share.join(F.broadcast(base), "bin").groupBy("period").agg(F.sum((F.col("share") - F.col("base")) * F.log(F.col("share") / F.col("base"))).alias("psi"))
     scores = df.groupBy("period", "proba").agg(F.sum("isFraud").alias("pos"), F.sum(1 - F.col("isFraud")).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy("period").orderBy("proba")) - F.col("neg")
-    a = scores.withColumn("below", below).groupBy("period").agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
-    status = F.when(F.col("auc") < 0.95, "critical").when(F.col("auc") < 0.97, "warning").otherwise("ok")
-    return a.join(psi, "period").select("period", "auc", status.alias("status"), "psi")
+    scores = running(scores.where("proba IS NOT NULL"), "proba", {"neg": "upto"}, keys=("period",)).withColumn("below", F.col("upto") - F.col("neg"))
+    a = scores.groupBy("period").agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
+    status = F.when(F.col("auc").isNull(), "unknown").when(F.col("auc") < 0.95, "critical").when(F.col("auc") < 0.97, "warning").otherwise("ok")
+    return psi.join(a, "period", "left").select("period", "auc", status.alias("status"), "psi")
