@@ -31,6 +31,32 @@ def with_rate(df: DataFrame, label: str = Y) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(F.avg(label).alias("global_rate"))))
 
 
+def fit_rate(df: DataFrame, fit: DataFrame | None = None, fold: str | None = None, name: str = "global_rate") -> DataFrame:
+    """df with the label rate of the rows it is fitted on: fit, or (fold) the rows of other folds, or df itself."""
+    if fold is None:
+        return df.crossJoin(F.broadcast((df if fit is None else fit).agg(F.avg(Y).alias(name))))
+    one = (df if fit is None else fit).groupBy(fold).agg(F.sum(Y).alias("_y"), F.count(Y).alias("_c"))
+    total = one.agg(F.sum("_y").alias("_ty"), F.sum("_c").alias("_tc"))
+    rest = one.crossJoin(F.broadcast(total)).select(F.col(fold).alias("_fold"), F.try_divide(F.col("_ty") - F.coalesce("_y", F.lit(0)), F.col("_tc") - F.col("_c")).alias(name))
+    return df.join(F.broadcast(rest), F.col(fold).eqNullSafe(F.col("_fold")), "left").drop("_fold")  # a row a fold
+
+
+def label_sums(df: DataFrame, keys: list[str], null_is_value: bool = False, fit: DataFrame | None = None, fold: str | None = None) -> DataFrame:
+    """df with _t and _n: the label's sum and the number of rows with the same keys, among the rows of fit (default df), or with
+    fold those of df in other folds, so that no row sees its own label. Keys that no such row has get 0 and 0; null
+    keys too, unless null_is_value. One aggregate by key and fold, then a total a key less the own fold's."""
+    by = [*keys, fold] if fold else keys
+    stats = (df if fit is None else fit).groupBy(*by).agg(F.sum(Y).alias("_t"), F.count(Y).alias("_n"))
+    if fold:
+        every = Window.partitionBy(*keys)
+        stats = stats.withColumns({c: F.sum(c).over(every) - F.coalesce(c, F.lit(0)) for c in ("_t", "_n")})
+    stats = stats.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), "_t", "_n")
+    if not null_is_value:
+        stats = stats.where(" AND ".join(f"_k{i} IS NOT NULL" for i in range(len(keys))))
+    on = [(F.col(k).eqNullSafe(F.col(f"_k{i}")) if null_is_value or k == fold else F.col(k) == F.col(f"_k{i}")) for i, k in enumerate(by)]
+    return df.join(stats, on, "left").drop(*(f"_k{i}" for i in range(len(by)))).fillna(0, ["_t", "_n"])
+
+
 def left_join_identity(txn: DataFrame, identity: DataFrame) -> DataFrame:
     return txn.join(identity, ID, "left")
 
@@ -78,10 +104,13 @@ def seasonal_baseline(df: DataFrame) -> DataFrame:
     return df.withColumn("seasonal_avg", F.avg(AMT).over(w)).withColumn("amt_vs_seasonal", F.col(AMT) / F.greatest("seasonal_avg", F.lit(0.01)))
 
 
-def merchant_risk(df: DataFrame) -> DataFrame:
-    df = with_rate(df)
-    df = look_up(look_up(df, ["ProductCD"], product_fraud_rate=F.avg(Y)), ["addr1"], addr_fraud_rate=F.avg(Y))
-    return df.withColumn("product_fraud_rate", F.coalesce("product_fraud_rate", "global_rate")).withColumn("addr_fraud_rate", F.coalesce("addr_fraud_rate", "global_rate")).drop("global_rate")
+def merchant_risk(df: DataFrame, fit: DataFrame | None = None, fold: str | None = None) -> DataFrame:
+    """Label rates of product and address, fitted on fit, on other folds, or on df."""
+    fit = df if fit is None else fit
+    df = fit_rate(df, fit, fold)
+    for key, name in (("ProductCD", "product_fraud_rate"), ("addr1", "addr_fraud_rate")):
+        df = label_sums(df, [key], fit=fit, fold=fold).withColumn(name, F.coalesce(F.try_divide("_t", "_n"), "global_rate")).drop("_t", "_n")
+    return df.drop("global_rate")
 
 
 def category_mismatch(df: DataFrame, diversity: int = 2, rate: float = 0.05) -> DataFrame:
@@ -93,9 +122,15 @@ def shared_device(df: DataFrame, most: int = 2) -> DataFrame:
     return df.fillna(0, ["device_user_count", "device_email_count"]).withColumn("is_shared_device", flag(F.col("device_user_count") > most))
 
 
-def email_features(df: DataFrame) -> DataFrame:
+def email_features(df: DataFrame, fit: DataFrame | None = None, fold: str | None = None) -> DataFrame:
+    """Provider kinds, cards a domain, and the domain's label rate, fitted on fit, on other folds, or on df."""
     free = F.col("P_emaildomain").isin(FREE_MAIL)
-    df = look_up(with_rate(df), ["P_emaildomain"], email_fraud_rate=F.avg(Y), email_user_count=F.countDistinct("card1")).withColumns({"is_free_email": flag(free), "is_corporate_email": flag(~free)})
+    if fit is None and fold is None:
+        df = look_up(with_rate(df), ["P_emaildomain"], email_fraud_rate=F.avg(Y), email_user_count=F.countDistinct("card1"))
+    else:
+        df = look_up(df, ["P_emaildomain"], email_user_count=F.countDistinct("card1"))
+        df = label_sums(fit_rate(df, fit, fold), ["P_emaildomain"], fit=df if fit is None else fit, fold=fold).withColumn("email_fraud_rate", F.try_divide("_t", "_n")).drop("_t", "_n")
+    df = df.withColumns({"is_free_email": flag(free), "is_corporate_email": flag(~free)})
     return df.withColumn("email_fraud_rate", F.coalesce("email_fraud_rate", "global_rate")).fillna(0, ["email_user_count"]).drop("global_rate")
 
 
@@ -105,7 +140,14 @@ def network_lite(df: DataFrame) -> DataFrame:
     return look_up(df, ["addr1", "hour"], True, txns_per_addr_hour=F.count("*"))
 
 
+def uid_fraud_history(df: DataFrame, weight: float = 50.0, fit: DataFrame | None = None, fold: str | None = None) -> DataFrame:
+    """uid_fraud_count and the smoothed uid_fraud_rate of card and address, fitted on fit, on other folds, or on df."""
+    df = label_sums(fit_rate(df, fit, fold), ["card1", "addr1"], True, df if fit is None else fit, fold)
+    return df.withColumn("uid_fraud_rate", smoothed(F.col("_t"), F.col("_n"), F.col("global_rate"), weight)).withColumnRenamed("_t", "uid_fraud_count").drop("_n", "global_rate")
+
+
 def uid_profile(df: DataFrame, weight: float = 50.0) -> DataFrame:
+    """Amount statistics and label history of card and address over df itself; uid_fraud_history has fitted histories."""
     w = Window.partitionBy("card1", "addr1")
     df = df.withColumns({"uid_mean": F.avg(AMT).over(w), "uid_std": F.coalesce(F.stddev_samp(AMT).over(w), F.lit(0.0)), "uid_max": F.max(AMT).over(w), "uid_min": F.min(AMT).over(w), "uid_count": F.count("*").over(w), "uid_fraud_count": F.sum(Y).over(w)})
     df = with_rate(df).withColumn("uid_fraud_rate", smoothed(F.col("uid_fraud_count"), F.col("uid_count"), F.col("global_rate"), weight)).drop("global_rate")
@@ -146,22 +188,21 @@ def peer_deviation(df: DataFrame, peers: tuple[str, ...] = ("ProductCD", "card4"
     return df.withColumn("peer_deviation", F.coalesce(F.try_divide(total, F.size(there)), F.lit(0.0))).withColumn("is_peer_outlier", flag(F.col("peer_deviation") > 2))
 
 
-def target_encoding(df: DataFrame, columns: tuple[str, ...] = ("card1", "card2", "addr1", "addr2", "P_emaildomain"), weight: float = 50.0, fit: DataFrame | None = None) -> DataFrame:
-    """Smoothed label means; fit: the rows the statistics come from (default the same rows)."""
+def target_encoding(df: DataFrame, columns: tuple[str, ...] = ("card1", "card2", "addr1", "addr2", "P_emaildomain"), weight: float = 50.0, fit: DataFrame | None = None, fold: str | None = None) -> DataFrame:
+    """Smoothed label means of each column, fitted on fit, on other folds, or on df. Null and unseen values take the prior."""
     fit = df if fit is None else fit
-    columns = [c for c in columns if c in df.columns]
-    prior = fit.agg(F.avg(Y).alias("_g"))
-    df = df.crossJoin(F.broadcast(prior))
-    for c in columns:
-        stats = fit.groupBy(c).agg(F.sum(Y).alias("_t"), F.count("*").alias("_n"))
-        df = df.join(stats, c, "left").withColumn(f"{c}_te", F.coalesce(smoothed(F.col("_t"), F.col("_n"), F.col("_g"), weight), "_g")).drop("_t", "_n")
-    return df.drop("_g")
+    df = fit_rate(df, fit, fold)
+    for c in [c for c in columns if c in df.columns]:
+        df = label_sums(df, [c], fit=fit, fold=fold).withColumn(f"{c}_te", smoothed(F.col("_t"), F.col("_n"), F.col("global_rate"), weight)).drop("_t", "_n")
+    return df.drop("global_rate")
 
 
-def cross_fraud_rates(df: DataFrame, pairs=(("card1", "ProductCD"), ("card1", "addr1"), ("addr1", "P_emaildomain"), ("ProductCD", "P_emaildomain")), weight: float = 30.0) -> DataFrame:
-    df = with_rate(df)
+def cross_fraud_rates(df: DataFrame, pairs=(("card1", "ProductCD"), ("card1", "addr1"), ("addr1", "P_emaildomain"), ("ProductCD", "P_emaildomain")), weight: float = 30.0, fit: DataFrame | None = None, fold: str | None = None) -> DataFrame:
+    """Smoothed label means of pairs of columns, in which null is a value, fitted on fit, on other folds, or on df."""
+    fit = df if fit is None else fit
+    df = fit_rate(df, fit, fold)
     for a, b in pairs:
-        df = look_up(df, [a, b], True, _t=F.sum(Y), _n=F.count("*")).withColumn(f"{a}_{b}_rate", smoothed(F.col("_t"), F.col("_n"), F.col("global_rate"), weight)).drop("_t", "_n")
+        df = label_sums(df, [a, b], True, fit, fold).withColumn(f"{a}_{b}_rate", smoothed(F.col("_t"), F.col("_n"), F.col("global_rate"), weight)).drop("_t", "_n")
     return df.drop("global_rate")
 
 

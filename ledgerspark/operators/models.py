@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import new_path, persisted, written
-from .prepare import median_imputed
+from .prepare import median_imputed, oversampled
 from .robust import quantiles
 
 FEATURES = "TransactionAmt log_amount amount_decimal is_round_amount hour is_night day_of_week user_avg_amt user_std_amt user_txn_count amount_zscore amount_to_mean_ratio time_since_last txn_count_30min".split()
@@ -81,14 +81,25 @@ def auc_of(df: DataFrame, score: str) -> float:
     return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol="label", numBins=0).evaluate(df)
 
 
-def oof_stacking(df: DataFrame, kinds=("gbt", "gbt_sampled", "perceptron"), folds: int = 3) -> DataFrame:
-    """Test rows with each model's mean probability over the folds and that of the boosted model on out-of-fold probabilities."""
+def resampled(train: DataFrame, ratio: float | None, columns: list[str] = FEATURES) -> DataFrame:
+    """The rows to fit on: with a ratio, those and made minority rows from them alone, so a fold's held-out rows lend nothing."""
+    if ratio is None:
+        return train
+    made = oversampled(train.withColumn(Y, F.col("label").cast("int")), tuple(columns), ratio)
+    return made.withColumns({"label": F.col(Y).cast("double"), "weight": F.lit(1.0)})
+
+
+def oof_stacking(df: DataFrame, kinds=("gbt", "gbt_sampled", "perceptron"), folds: int = 3, ratio: float | None = None) -> DataFrame:
+    """Test rows with each model's mean probability over the folds and that of the boosted model on out-of-fold probabilities.
+    ratio: in each fold the rows that are fitted on are oversampled to it, after the fold's rows are held out."""
     data = written(stratified_kfold(stratified_split(prepared(df)), folds), "folds")
     train, test, parts = data.where("is_test = 0"), data.where("is_test = 1"), []
     for k in range(folds):
         part, seen = train.where(F.col("fold") == k), test
+        others = train.where(F.col("fold") != k)
+        others = written(resampled(others, ratio), "resampled") if ratio else others
         for kind in kinds:
-            model = pipeline(kind).fit(train.where(F.col("fold") != k))
+            model = pipeline(kind).fit(others)
             part, seen = with_proba(model, part, f"p_{kind}"), with_proba(model, seen, f"p_{kind}")
         parts.append(written(part.unionByName(seen), "oof"))
     names = [f"p_{k}" for k in kinds]

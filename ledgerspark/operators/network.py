@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import written
+from .modularity import better_split, louvain, modularity
 from .robust import quantiles
 
 
@@ -83,10 +84,25 @@ def communities(df: DataFrame) -> DataFrame:
     return df.select("card1").distinct().join(found, "card1", "left").select("card1", F.coalesce("label", "card1").alias("community"))
 
 
-def community_stats(df: DataFrame) -> DataFrame:
-    """card1, community, its size and share of cards with fraud."""
+def modular_communities(df: DataFrame) -> DataFrame:
+    """card1, community: by modularity (Louvain), never worse than whole components; named by the smallest card; cards without
+    edges are their own."""
+    edges = written(graph_edges(df).select("src", "dst"), "card-edges")
+    whole = written(components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "components")
+    found = written(better_split(edges, whole, louvain(edges)), "louvain")
+    return df.select("card1").distinct().join(found.withColumnRenamed("node", "card1"), "card1", "left").select("card1", F.coalesce("label", "card1").alias("community"))
+
+
+def community_modularity(df: DataFrame, grouping=communities) -> DataFrame:
+    """One row: how many communities grouping makes, and their modularity on the card graph."""
+    c = written(grouping(df), "communities")
+    return c.agg(F.countDistinct("community").alias("communities")).crossJoin(modularity(graph_edges(df).select("src", "dst"), c.select(F.col("card1").alias("node"), F.col("community").alias("label"))))
+
+
+def community_stats(df: DataFrame, grouping=communities) -> DataFrame:
+    """card1, community, its size and share of cards with fraud; grouping: communities or modular_communities."""
     bad = df.groupBy("card1").agg(F.max("isFraud").alias("bad"))
-    c = written(communities(df), "communities")
+    c = written(grouping(df), "communities")
     stats = c.join(bad, "card1").groupBy("community").agg(F.count("*").alias("size"), F.avg("bad").alias("fraud_rate"))
     return c.join(stats, "community")
 
@@ -153,6 +169,24 @@ def graph_join_back(df: DataFrame) -> DataFrame:
     return out.fillna(0, ["graph_degree", "graph_fraud_neighbors", "graph_fraud_neighbor_ratio"])
 
 
+def fitted_community_rates(df: DataFrame, fit: DataFrame | None = None, fold: str | None = None) -> DataFrame:
+    """df with community and community_rate: the share of its cards with fraud among the rows of fit, or with fold among the rows
+    of df in other folds, so that no row's own label is in its rate. A card's fraud counts unless all of it lies in the
+    left-out fold; members are all of df's cards. Communities, which no label enters, come from df."""
+    c = written(communities(df), "communities")
+    size = c.groupBy("community").agg(F.count("*").alias("_size"))
+    own = (df if fit is None else fit).where("isFraud = 1").select("card1", *([fold] if fold else [])).distinct().join(c, "card1")
+    bad = own.select("community", "card1").distinct().groupBy("community").agg(F.count("*").alias("_bad"))
+    out = df.join(c.join(size.join(bad, "community", "left"), "community"), "card1", "left")
+    if not fold:
+        return out.withColumn("community_rate", F.coalesce("_bad", F.lit(0)) / F.col("_size")).drop("_bad", "_size")
+    alone = own.groupBy("community", "card1").agg(F.count("*").alias("_folds"), F.first(fold).alias("_fold")).where("_folds = 1")
+    alone = alone.groupBy(F.col("community").alias("_c"), "_fold").agg(F.count("*").alias("_only"))
+    out = out.join(alone, (F.col("community") == F.col("_c")) & F.col(fold).eqNullSafe(F.col("_fold")), "left")
+    rate = (F.coalesce("_bad", F.lit(0)) - F.coalesce("_only", F.lit(0))) / F.col("_size")
+    return out.withColumn("community_rate", rate).drop("_c", "_fold", "_only", "_bad", "_size")
+
+
 def community_rates(df: DataFrame) -> DataFrame:
     """The rate of each card's community, where it is over 0."""
     return community_stats(df).where("fraud_rate > 0").select("card1", F.col("fraud_rate").alias("community_rate"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_zero
+from ..sources.store import written
 from .features import draw
+from .neighbours import nearest
 from .robust import quantiles
 
 
@@ -41,33 +41,33 @@ def made_finite(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def oversampled(df: DataFrame, columns: tuple[str, ...], ratio: float = 0.15, neighbours: int = 5, key: str = "TransactionID") -> DataFrame:
     """synthetic, isFraud and columns: df's rows, and as many made minority rows as bring the minority to ratio of all.
 
-    A made row lies between a minority row and one of its neighbours: the rows next to it, up to neighbours away, in
-    the order of a random projection of the scaled columns within one of its ranges of 1/64, which stand for nearest
-    ones. Row r of the minority (by md5) is used once more than the next while rows are still wanted, so the count is
-    exact. Draws come from md5."""
-    own = df.where("isFraud = 1").select(key, *columns)
+    A made row lies between a minority row and one of its nearest neighbours among the minority, by distance of the
+    scaled columns (a null counts as the mean and stays null where both rows have none). Rows with equal columns are
+    one place: their neighbours are the nearest other places, so a made row repeats an original only where the minority
+    has one place. Row r of the minority (by md5) is used once more than the next while rows are still wanted, so the
+    count is exact. Draws come from md5."""
+    own = df.where("isFraud = 1").select(key, *(F.col(c).cast("double").alias(c) for c in columns))
     sizes = df.agg(F.sum(F.when(F.col("isFraud") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("isFraud") == 0, 1).otherwise(0)).alias("neg"))
     want = sizes.select("pos", F.greatest(F.floor(F.col("neg") * (ratio / (1 - ratio))) - F.col("pos"), F.lit(0)).alias("want"))
-    scaled = standard_scaled(own, columns)
-    weights = [((i * 2654435761) % 1000) / 500 - 1 for i in range(1, len(columns) + 1)]
-    along = reduce(lambda a, b: a + b, (F.coalesce(F.col(f"{c}_scaled"), F.lit(0.0)) * w for c, w in zip(columns, weights)))
-    lined = scaled.withColumn("_at", along).withColumn("_cell", F.floor(F.col("_at") * 64))
-    w = Window.partitionBy("_cell").orderBy("_at", key)
-    near = F.array_compact(F.array(*(F.when(F.lag(key, k).over(w).isNotNull(), F.struct(*(F.lag(c, k).over(w).alias(c) for c in columns))) for k in range(1, neighbours // 2 + 1)), *(F.when(F.lead(key, k).over(w).isNotNull(), F.struct(*(F.lead(c, k).over(w).alias(c) for c in columns))) for k in range(1, neighbours - neighbours // 2 + 1))))
-    lined = lined.withColumn("_near", near)
+    scaled = standard_scaled(own, columns).withColumn("_x", F.array(*(F.coalesce(f"{c}_scaled", F.lit(0.0)) for c in columns)))
+    scaled = written(scaled.withColumn("_md5", F.md5(F.col(key).cast("string"))).select(key, "_x", "_md5", *columns), "minority")
+    places = written(scaled.groupBy("_x").agg(F.min_by(F.struct(*columns), F.col("_md5")).alias("_at"), F.min("_md5").alias("_low")).select(F.col("_x").alias("x"), F.xxhash64("_x", "_low").alias("key"), "_at"), "places")
+    near = nearest(places, neighbours).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "other"))).alias("_near"))  # neighbours a place
     # the place of a minority row by md5, from the counts of md5's first 3 digits: no task orders all of them
-    lined = lined.withColumn("_md5", F.md5(F.col(key).cast("string"))).withColumn("_head", F.substring("_md5", 1, 3))
-    heads = lined.groupBy("_head").agg(F.count("*").alias("_c"))
+    lined = scaled.join(places.join(near, "key", "left").select(F.col("x").alias("_x"), "_near"), "_x").withColumn("_head", F.substring("_md5", 1, 3))
+    heads = scaled.groupBy(F.substring("_md5", 1, 3).alias("_head")).agg(F.count("*").alias("_c"))
     heads = heads.select("_head", (F.sum("_c").over(Window.orderBy("_head")) - F.col("_c")).alias("_before"))  # 4,096 rows at most
     lined = lined.join(F.broadcast(heads), "_head").withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_head").orderBy("_md5", key)) - 1)
     times = F.when(F.col("pos") > 0, F.floor(F.col("want") / F.col("pos")) + F.when(F.col("_r") < F.col("want") % F.col("pos"), 1).otherwise(0)).otherwise(0)
     made = lined.crossJoin(F.broadcast(want)).withColumn("_times", times).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     made = made.withColumn("_id", F.concat_ws("-", F.col(key), F.col("_k")))
-    pick = F.get("_near", F.pmod(draw("_id", "near"), F.greatest(F.size("_near"), F.lit(1))).cast("int"))
+    made = made.withColumn("_other", F.get("_near", F.pmod(draw("_id", "near"), F.greatest(F.size("_near"), F.lit(1))).cast("int"))["other"])
+    made = made.join(places.select(F.col("key").alias("_other"), "_at"), "_other", "left")
     step = draw("_id", "step") / float(2**32)
 
     def between(c: str) -> Column:
-        return (F.col(c) + step * (F.coalesce(pick[c], F.col(c)) - F.col(c))).alias(c)
+        mine, other = F.coalesce(F.col(c), F.col("_at")[c]), F.coalesce(F.col("_at")[c], F.col(c))
+        return (mine + step * (other - mine)).alias(c)
 
     made = made.select(F.lit(1).alias("synthetic"), F.lit(1).alias("isFraud"), *(between(c) for c in columns))
     return df.select(F.lit(0).alias("synthetic"), F.col("isFraud").cast("int").alias("isFraud"), *(F.col(c).cast("double").alias(c) for c in columns)).unionByName(made)

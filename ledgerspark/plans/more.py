@@ -90,11 +90,14 @@ op("best_f1_threshold", [rep.best_f1_threshold], "threshold:6 f1:6", "SELECT CAS
 LEAD = "UNION ALL".join(f" SELECT '{c}' AS model, {AUC_OF.format(c=c, v='t2')} AS auc, (SELECT 1000*avg(CAST({c}>0.5 AS INT)) FROM t2 WHERE isFraud=0) AS fp_per_1000, (SELECT 1-avg(CAST({c}>0.5 AS INT)) FROM t2 WHERE isFraud=0) AS specificity " for c in ("proba", "other"))
 op("model_leaderboard", [*TWO, lambda t: rep.model_leaderboard(t, ("proba", "other"))], "model auc:6 fp_per_1000:6 specificity:6 is_best:i", f"WITH {T2} SELECT *, CAST(row_number() OVER (ORDER BY round(auc,9) DESC, model)=1 AS INT) AS is_best FROM ({LEAD})", key="")
 PSI = f"WITH p AS (SELECT *, CAST(floor({DT}/604800) AS BIGINT) AS period FROM t), e AS (SELECT min({A}) AS mn, (max({A})-min({A}))/10 AS w FROM p WHERE period=(SELECT min(period) FROM p)), s AS (SELECT period, bin, greatest(coalesce(n,0)/t,1e-4) AS share FROM (SELECT period, count(*) AS t FROM p GROUP BY 1), (SELECT unnest(range(10)) AS bin) LEFT JOIN (SELECT period AS p2, CAST(least(greatest(floor(({A}-mn)/w),0),9) AS BIGINT) AS b2, count(*) AS n FROM p, e GROUP BY 1, 2) ON p2=period AND b2=bin), x AS (SELECT period, sum((share-base)*ln(share/base)) AS psi FROM s JOIN (SELECT bin, share AS base FROM s WHERE period=(SELECT min(period) FROM s)) USING (bin) GROUP BY 1), a AS (SELECT a.period, sum(CASE WHEN a.proba>b.proba THEN a.n*b.n WHEN a.proba=b.proba THEN a.n*b.n/2.0 ELSE 0 END)/sum(a.n*b.n) AS auc FROM (SELECT period, proba, count(*) AS n FROM p WHERE isFraud=1 GROUP BY 1, 2) a JOIN (SELECT period, proba, count(*) AS n FROM p WHERE isFraud=0 GROUP BY 1, 2) b USING (period) GROUP BY 1)"
-op("drift_monitor", [rep.drift_monitor], "period:i auc:6 status psi:6", f"{PSI} SELECT period, auc, CASE WHEN auc<0.95 THEN 'critical' WHEN auc<0.97 THEN 'warning' ELSE 'ok' END AS status, psi FROM x LEFT JOIN a USING (period)", key="")
+op("drift_monitor", [rep.drift_monitor], "period:i auc:6 status psi:6", f"{PSI} SELECT period, auc, CASE WHEN auc IS NULL THEN 'unknown' WHEN auc<0.95 THEN 'critical' WHEN auc<0.97 THEN 'warning' ELSE 'ok' END AS status, psi FROM x LEFT JOIN a USING (period)", key="")
 
 COMM = f"WITH RECURSIVE {EDGES}, reach(card1, lab) AS (SELECT DISTINCT card1, card1 FROM o UNION SELECT w.dst, reach.lab FROM reach JOIN w ON reach.card1=w.src WHERE reach.lab<w.dst), cm AS (SELECT card1, min(lab) AS community FROM reach GROUP BY 1), st AS (SELECT community, count(*) AS size, avg(bad) AS fraud_rate FROM cm JOIN (SELECT card1, max(isFraud) AS bad FROM o GROUP BY 1) USING (card1) GROUP BY 1)"
 op("communities", [g.communities], "card1:i community:i", f"{COMM} SELECT * FROM cm", view=txn_ord, key="")
 op("community_stats", [g.community_stats], "card1:i community:i size:i fraud_rate:6", f"{COMM} SELECT card1, community, size, fraud_rate FROM cm JOIN st USING (community)", view=txn_ord, key="")
+op("community_modularity", [g.community_modularity], "communities:i modularity:9", f"{COMM}, kk AS (SELECT src AS card1, count(*) AS k FROM w GROUP BY 1), ins AS (SELECT a.community, count(*) AS n FROM w JOIN cm a ON a.card1=w.src JOIN cm b ON b.card1=w.dst WHERE a.community=b.community GROUP BY 1), tt AS (SELECT community, sum(k) AS k FROM kk JOIN cm USING (card1) GROUP BY 1) SELECT (SELECT count(DISTINCT community) FROM cm) AS communities, (SELECT sum(coalesce(n,0)/m-(k/m)*(k/m)) FROM tt LEFT JOIN ins USING (community), (SELECT CAST(count(*) AS DOUBLE) AS m FROM w)) AS modularity", view=txn_ord, key="")
+op("modular_communities", [g.modular_communities], "card1:i community:i", None, view=txn_ord, key="")
+op("modular_community_stats", [lambda t: g.community_stats(t, g.modular_communities)], "card1:i community:i size:i fraud_rate:6", None, view=txn_ord, key="")
 op("community_rate_per_card", [g.community_rates], "card1:i community_rate:6", f"{COMM} SELECT card1, fraud_rate AS community_rate FROM cm JOIN st USING (community) WHERE fraud_rate>0", view=txn_ord, key="")
 op("sample_users_for_graph", [lambda t: g.chosen_cards(t, 400)], "card1:i", "WITH c AS (SELECT card1, max(isFraud) AS bad FROM o GROUP BY 1) SELECT card1 FROM c WHERE bad=1 UNION ALL SELECT card1 FROM (SELECT card1, row_number() OVER (ORDER BY md5(CAST(card1 AS VARCHAR)), card1) AS r FROM c WHERE bad=0) WHERE r<=greatest(400-(SELECT count(*) FROM c WHERE bad=1),0)", view=txn_ord, key="")
 op("graph_user_set", [lambda t: t.select("card1").where("addr1 IS NOT NULL").intersect(t.select("card1").where("DeviceInfo IS NOT NULL")).subtract(t.where("isFraud = 1").select("card1"))], "card1:i", "(SELECT card1 FROM o WHERE addr1 IS NOT NULL INTERSECT SELECT card1 FROM o WHERE DeviceInfo IS NOT NULL) EXCEPT SELECT card1 FROM o WHERE isFraud=1", view=txn_ord, key="")
@@ -105,6 +108,47 @@ FREQ = ("card1", "card2", "addr1", "addr2", "P_emaildomain", "R_emaildomain", "D
 op("frequency_encoding", [f.frequency_encoding], " ".join(f"{c}_freq:6 {c}_is_rare:i" for c in FREQ), "SELECT *, " + ", ".join(f"CAST({c}_freq<0.0001 AS INT) AS {c}_is_rare" for c in FREQ) + " FROM (SELECT *, " + ", ".join(f"CASE WHEN {c} IS NULL THEN 0.0 ELSE CAST(count(*) OVER (PARTITION BY {c}) AS DOUBLE)/(SELECT count({c}) FROM t) END AS {c}_freq" for c in FREQ) + " FROM t)")
 ENC = ("card1", "card2", "addr1", "addr2", "P_emaildomain")
 op("target_encoding", [f.target_encoding], " ".join(f"{c}_te:6" for c in ENC), "SELECT *, " + ", ".join(f"CASE WHEN {c} IS NULL THEN (SELECT avg(isFraud) FROM t) ELSE (sum(isFraud) OVER (PARTITION BY {c})+50*(SELECT avg(isFraud) FROM t))/(count(*) OVER (PARTITION BY {c})+50) END AS {c}_te" for c in ENC) + " FROM t")
+#: Label statistics that leave the row's own fold out, and ones fitted on other rows: the same aggregates in SQL.
+FOLD, IN_FIT = "TransactionID % 5", "TransactionID % 4 <> 0"
+FOLDED = lambda t: t.withColumn("fold", F.expr(FOLD))
+fitted_on = lambda t: t.where(IN_FIT)
+FT = f"(SELECT *, (sum(isFraud) OVER ()-sum(isFraud) OVER (PARTITION BY fold))/(count(*) OVER ()-count(*) OVER (PARTITION BY fold)) AS g FROM (SELECT *, {FOLD} AS fold FROM t))"
+
+
+def out_of_fold(keys: str, null_is_value: bool = False, weight: float | None = None, v: str = "") -> str:
+    """SQL of a row's label statistic over the other folds' rows with its keys; weight: smoothed."""
+    t, n = (f"({a} OVER (PARTITION BY {keys})-{a} OVER (PARTITION BY {keys}, fold))" for a in ("sum(isFraud)", "count(*)"))
+    some = "" if null_is_value else f" WHEN {keys} IS NULL THEN g"
+    return f"CASE{some} WHEN true THEN {f'({t}+{weight}*g)/({n}+{weight})' if weight else f'coalesce({t}/nullif({n},0),g)'} END"
+
+
+def fitted_sql(keys: str, null_is_value: bool = False, weight: float | None = None) -> str:
+    """SQL of the same over the rows IN_FIT."""
+    same = " AND ".join(f"u.{k} IS NOT DISTINCT FROM t.{k}" if null_is_value else f"u.{k}=t.{k}" for k in keys.split(", "))
+    t, n = (f"(SELECT {a} FROM t u WHERE {same} AND {IN_FIT.replace('T', 'u.T', 1)})" for a in ("coalesce(sum(isFraud),0)", "count(*)"))
+    g = f"(SELECT avg(isFraud) FROM t WHERE {IN_FIT})"
+    return f"({t}+{weight}*{g})/({n}+{weight})" if weight else f"coalesce({t}/nullif({n},0),{g})"
+
+
+RATES = {
+    "merchant_risk": (f.merchant_risk, {"product_fraud_rate": ("ProductCD", False, None), "addr_fraud_rate": ("addr1", False, None)}),
+    "email_risk": (f.email_features, {"email_fraud_rate": ("P_emaildomain", False, None)}),
+    "uid_fraud_history": (f.uid_fraud_history, {"uid_fraud_rate": ("card1, addr1", True, 50)}),
+    "cross_fraud_rates": (f.cross_fraud_rates, {f"{a}_{b}_rate": (f"{a}, {b}", True, 30) for a, b in (("card1", "ProductCD"), ("card1", "addr1"), ("addr1", "P_emaildomain"), ("ProductCD", "P_emaildomain"))}),
+    "target_encoding": (f.target_encoding, {f"{c}_te": (c, False, 50) for c in ENC}),
+}
+for name, (run, rates) in RATES.items():
+    op(f"{name}_out_of_fold", [FOLDED, lambda t, run=run: run(t, fold="fold")], " ".join(f"{c}:6" for c in rates), "SELECT TransactionID, " + ", ".join(f"{out_of_fold(*r)} AS {c}" for c, r in rates.items()) + f" FROM {FT}")
+    op(f"{name}_fitted", [lambda t, run=run: run(t, fit=fitted_on(t))], " ".join(f"{c}:6" for c in rates), "SELECT TransactionID, " + ", ".join(f"{fitted_sql(*r)} AS {c}" for c, r in rates.items()) + " FROM t")
+op("community_rate_out_of_fold", [FOLDED, lambda t: g.fitted_community_rates(t, fold="fold")], "community:i community_rate:6",
+   f"{COMM}, fd AS (SELECT card1, {FOLD} AS fold, max(isFraud) AS bad FROM o GROUP BY ALL) SELECT o.TransactionID, community, (SELECT count(DISTINCT fd.card1) FROM fd JOIN cm c2 USING (card1) WHERE c2.community=cm.community AND fd.bad=1 AND fd.fold<>o.{FOLD})/(SELECT size FROM st WHERE st.community=cm.community) AS community_rate FROM o JOIN cm USING (card1)", view=txn_ord)
+op("community_rate_fitted", [lambda t: g.fitted_community_rates(t, fit=fitted_on(t))], "community:i community_rate:6",
+   f"{COMM} SELECT TransactionID, community, (SELECT count(DISTINCT x.card1) FROM o x JOIN cm c2 ON c2.card1=x.card1 WHERE c2.community=cm.community AND x.isFraud=1 AND x.{IN_FIT})/(SELECT size FROM st WHERE st.community=cm.community) AS community_rate FROM o JOIN cm USING (card1)", view=txn_ord)
+#: Scores of any range, some without a value.
+WIDE = "CASE WHEN TransactionID%9=0 THEN NULL WHEN TransactionID%3=0 THEN proba*1e6 ELSE -proba/1e3 END"
+op("rank_normalised_wide", [lambda t: t.withColumn("proba", F.expr(WIDE)), d.rank_normalised], "rank_norm:6", f"SELECT TransactionID, CASE WHEN p IS NOT NULL THEN (rank() OVER (ORDER BY p NULLS LAST)+(count(*) OVER (PARTITION BY p)-1)/2.0)/(SELECT count({WIDE}) FROM t) END AS rank_norm FROM (SELECT TransactionID, {WIDE} AS p FROM t)")
+op("drift_monitor_without_fraud", [lambda t: t.withColumn("isFraud", F.expr(f"CASE WHEN floor({DT}/604800)%3=1 THEN 0 ELSE isFraud END")), rep.drift_monitor], "period:i auc:6 status psi:6",
+   f"{PSI.replace('SELECT *, CAST(floor(', f'SELECT * REPLACE (CASE WHEN floor({DT}/604800)%3=1 THEN 0 ELSE isFraud END AS isFraud), CAST(floor(', 1)} SELECT period, auc, CASE WHEN auc IS NULL THEN 'unknown' WHEN auc<0.95 THEN 'critical' WHEN auc<0.97 THEN 'warning' ELSE 'ok' END AS status, psi FROM x LEFT JOIN a USING (period)", key="")
 CATS = [c for c in f.CATEGORIES if c != "DeviceType"]
 op("initial_clean", [lambda t: t.withColumn("card4", F.coalesce("card4", F.lit("nan"))), f.initial_clean], " ".join(CATS), "SELECT TransactionID, " + ", ".join(f"nullif(CAST({c} AS VARCHAR),'nan') AS {c}" for c in CATS) + " FROM t")
 op("drop_high_missing_columns", [lambda t: t.withColumns({"sparse": F.expr("CASE WHEN TransactionID % 10 = 0 THEN 1 END"), "kept": F.expr("CASE WHEN TransactionID % 10 = 0 THEN 1 END")}), lambda t: f.without_high_missing(t, ("TransactionID", "kept")), lambda t: t.withColumn("n_columns", F.lit(len(t.columns)))], "n_columns:i kept:i", "SELECT TransactionID, 19 AS n_columns, CASE WHEN TransactionID%10=0 THEN 1 END AS kept FROM t")
