@@ -15,11 +15,15 @@ WEIGHTS = {"proba": 30, "iso_score": 15, "is_unusual_device": 8, "is_shared_devi
 AUTH = {"RED": "BLOCK transaction. Notify customer. Explain reason. Flag for investigation.", "ORANGE": "Request biometric re-verification before proceeding.", "YELLOW": "Request PIN re-entry for confirmation.", "GREEN": "Auto-approve. No additional authentication needed."}
 
 
+def raw_score(df: DataFrame) -> Column:
+    """The weighted sum; columns that df lacks and nulls count as 0."""
+    c = lambda n: F.coalesce(F.col(n), F.lit(0)) if n in df.columns else F.lit(0)
+    return sum((w * c(n) for n, w in WEIGHTS.items()), F.lit(0.0)) + c("is_night") * clip(c("amount_zscore"), 0.0, 5.0) * 2
+
+
 def risk_score(df: DataFrame, batch_max: float | None = None) -> DataFrame:
     """Weighted sum over the batch maximum, in percent; batch_max: a fitted maximum, as a stream needs."""
-    c = lambda n: F.coalesce(F.col(n), F.lit(0)) if n in df.columns else F.lit(0)
-    raw = sum((w * c(n) for n, w in WEIGHTS.items()), F.lit(0.0)) + c("is_night") * clip(c("amount_zscore"), 0.0, 5.0) * 2
-    df = df.withColumn("_raw", raw)
+    df = df.withColumn("_raw", raw_score(df))
     df = df.withColumn("_max", F.lit(batch_max)) if batch_max else df.crossJoin(F.broadcast(df.agg(F.max("_raw").alias("_max"))))
     return df.withColumn("risk_score", clip(F.col("_raw") / F.when(F.col("_max") > 0, F.col("_max")).otherwise(1.0) * 100, 0.0, 100.0)).drop("_raw", "_max")
 

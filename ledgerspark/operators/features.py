@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, flag, smoothed
+from ..functions.columns import draw, flag, smoothed
+from ..sources.store import written
 
 #: Free mail providers.
 FREE_MAIL = ("gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com mail.com ymail.com live.com msn.com protonmail.com gmx.com yahoo.co.jp "
@@ -17,11 +18,12 @@ FREE_MAIL = ("gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com mai
 AMT, ID, DT, Y = "TransactionAmt", "TransactionID", "TransactionDT", "isFraud"
 
 
-def look_up(df: DataFrame, keys: list[str], null_is_value: bool = False, **aggs: Column) -> DataFrame:
-    """Joins group statistics back to the rows, aggregated once a key before the join. Null keys match none, unless null_is_value."""
-    stats = df.groupBy(*keys).agg(*(a.alias(n) for n, a in aggs.items()))
+def look_up(df: DataFrame, keys: list[str], null_is_value: bool = False, source: DataFrame | None = None, **aggs: Column) -> DataFrame:
+    """Joins group statistics of source (default df) back to the rows, aggregated once a key before the join. Null keys match none,
+    unless null_is_value. A source that is written keeps the plan of many look-ups linear."""
+    stats = (df if source is None else source).groupBy(*keys).agg(*(a.alias(n) for n, a in aggs.items()))
     if not null_is_value:
-        return df.join(stats, keys, "left")
+        return df.join(stats.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)), keys, "left")
     on = [df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     return df.join(stats.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *aggs), on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
 
@@ -61,11 +63,6 @@ def left_join_identity(txn: DataFrame, identity: DataFrame) -> DataFrame:
     return txn.join(identity, ID, "left")
 
 
-def drop_high_missing(df: DataFrame, threshold: float = 0.7, essential: tuple[str, ...] = ()) -> DataFrame:
-    shares = df.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in df.columns)).first()
-    return df.drop(*(c for c in df.columns if shares[c] is not None and shares[c] > threshold and c not in essential))
-
-
 def null_shares(df: DataFrame) -> DataFrame:
     shares = df.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in df.columns))
     return shares.unpivot([], df.columns, "name", "null_share")
@@ -81,8 +78,8 @@ def time_features(df: DataFrame) -> DataFrame:
     return df.withColumns({"hour": hour, "is_night": flag(hour.between(0, 6)), "day_of_week": day.cast("int"), "is_weekend": flag(day >= 5), "month_approx": F.floor(F.col(DT) / (86400 * 30)).cast("int")})
 
 
-def behavioral_profile(df: DataFrame) -> DataFrame:
-    df = look_up(df, ["card1"], user_avg_amt=F.avg(AMT), user_std_amt=F.stddev_samp(AMT), user_txn_count=F.count("*"), user_product_diversity=F.countDistinct("ProductCD"))
+def behavioral_profile(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    df = look_up(df, ["card1"], source=source, user_avg_amt=F.avg(AMT), user_std_amt=F.stddev_samp(AMT), user_txn_count=F.count("*"), user_product_diversity=F.countDistinct("ProductCD"))
     df = df.withColumn("user_std_amt", F.coalesce("user_std_amt", F.lit(1.0)))
     return df.withColumn("amount_zscore", (F.col(AMT) - F.col("user_avg_amt")) / F.greatest("user_std_amt", F.lit(1.0))).withColumn("amount_to_mean_ratio", F.col(AMT) / F.greatest("user_avg_amt", F.lit(0.01)))
 
@@ -94,8 +91,8 @@ def account_flags(df: DataFrame, low: int = 5, high_amount: float = 500.0, round
                            "first_txn_high_value": flag(one & (F.col(AMT) > high_amount)), "is_suspicious_round": flag((F.col("is_round_amount") == 1) & (F.col(AMT) >= round_from))})
 
 
-def sim_swap(df: DataFrame) -> DataFrame:
-    df = look_up(df, ["card1"], user_device_count=F.countDistinct("DeviceInfo"), usual_device=F.mode("DeviceInfo", True))
+def sim_swap(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    df = look_up(df, ["card1"], source=source, user_device_count=F.countDistinct("DeviceInfo"), usual_device=F.mode("DeviceInfo", True))
     return df.withColumn("is_unusual_device", flag(F.col("DeviceInfo") != F.col("usual_device")))
 
 
@@ -117,8 +114,8 @@ def category_mismatch(df: DataFrame, diversity: int = 2, rate: float = 0.05) ->
     return df.withColumn("category_mismatch_risk", flag((F.col("user_product_diversity") <= diversity) & (F.col("product_fraud_rate") > rate)))
 
 
-def shared_device(df: DataFrame, most: int = 2) -> DataFrame:
-    df = look_up(df, ["DeviceInfo"], device_user_count=F.countDistinct("card1"), device_email_count=F.countDistinct("P_emaildomain"))
+def shared_device(df: DataFrame, most: int = 2, source: DataFrame | None = None) -> DataFrame:
+    df = look_up(df, ["DeviceInfo"], source=source, device_user_count=F.countDistinct("card1"), device_email_count=F.countDistinct("P_emaildomain"))
     return df.fillna(0, ["device_user_count", "device_email_count"]).withColumn("is_shared_device", flag(F.col("device_user_count") > most))
 
 
@@ -128,16 +125,17 @@ def email_features(df: DataFrame, fit: DataFrame | None = None, fold: str | None
     if fit is None and fold is None:
         df = look_up(with_rate(df), ["P_emaildomain"], email_fraud_rate=F.avg(Y), email_user_count=F.countDistinct("card1"))
     else:
-        df = look_up(df, ["P_emaildomain"], email_user_count=F.countDistinct("card1"))
+        df = look_up(df, ["P_emaildomain"], source=fit if fold is None else None, email_user_count=F.countDistinct("card1"))
         df = label_sums(fit_rate(df, fit, fold), ["P_emaildomain"], fit=df if fit is None else fit, fold=fold).withColumn("email_fraud_rate", F.try_divide("_t", "_n")).drop("_t", "_n")
     df = df.withColumns({"is_free_email": flag(free), "is_corporate_email": flag(~free)})
     return df.withColumn("email_fraud_rate", F.coalesce("email_fraud_rate", "global_rate")).fillna(0, ["email_user_count"]).drop("global_rate")
 
 
-def network_lite(df: DataFrame) -> DataFrame:
-    df = look_up(df, ["addr1"], users_per_address=F.countDistinct("card1"), has_fraud_neighbor=F.max(Y)).fillna({"users_per_address": 1, "has_fraud_neighbor": 0})
-    df = look_up(df, ["card4", "card5", "card6"], True, users_per_card_combo=F.countDistinct("card1"))
-    return look_up(df, ["addr1", "hour"], True, txns_per_addr_hour=F.count("*"))
+def network_lite(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    source = df if source is None else source
+    df = look_up(df, ["addr1"], source=source, users_per_address=F.countDistinct("card1"), has_fraud_neighbor=F.max(Y)).fillna({"users_per_address": 1, "has_fraud_neighbor": 0})
+    df = look_up(df, ["card4", "card5", "card6"], True, source, users_per_card_combo=F.countDistinct("card1"))
+    return look_up(df, ["addr1", "hour"], True, source, txns_per_addr_hour=F.count("*"))
 
 
 def uid_fraud_history(df: DataFrame, weight: float = 50.0, fit: DataFrame | None = None, fold: str | None = None) -> DataFrame:
@@ -146,14 +144,18 @@ def uid_fraud_history(df: DataFrame, weight: float = 50.0, fit: DataFrame | None
     return df.withColumn("uid_fraud_rate", smoothed(F.col("_t"), F.col("_n"), F.col("global_rate"), weight)).withColumnRenamed("_t", "uid_fraud_count").drop("_n", "global_rate")
 
 
-def uid_profile(df: DataFrame, weight: float = 50.0) -> DataFrame:
-    """Amount statistics and label history of card and address over df itself; uid_fraud_history has fitted histories."""
+def uid_windows(df: DataFrame) -> DataFrame:
+    """Amount statistics and label counts of card and address, as windows."""
     w = Window.partitionBy("card1", "addr1")
     df = df.withColumns({"uid_mean": F.avg(AMT).over(w), "uid_std": F.coalesce(F.stddev_samp(AMT).over(w), F.lit(0.0)), "uid_max": F.max(AMT).over(w), "uid_min": F.min(AMT).over(w), "uid_count": F.count("*").over(w), "uid_fraud_count": F.sum(Y).over(w)})
-    df = with_rate(df).withColumn("uid_fraud_rate", smoothed(F.col("uid_fraud_count"), F.col("uid_count"), F.col("global_rate"), weight)).drop("global_rate")
     return df.withColumns({"uid_range": F.col("uid_max") - F.col("uid_min"), "uid_zscore": (F.col(AMT) - F.col("uid_mean")) / F.greatest("uid_std", F.lit(1.0)), "uid_ratio": F.col(AMT) / F.greatest("uid_mean", F.lit(0.01)), "uid_is_max": flag(F.col(AMT) >= 0.99 * F.col("uid_max"))})
 
 
+def uid_profile(df: DataFrame, weight: float = 50.0) -> DataFrame:
+    """Amount statistics and label history of card and address over df itself; uid_fraud_history has fitted histories."""
+    return uid_windows(with_rate(df)).withColumn("uid_fraud_rate", smoothed(F.col("uid_fraud_count"), F.col("uid_count"), F.col("global_rate"), weight)).drop("global_rate")
+
+
 def uid_diversity(df: DataFrame) -> DataFrame:
     return look_up(df, ["card1", "addr1"], True, uid_device_count=F.countDistinct("DeviceInfo"), uid_email_count=F.countDistinct("P_emaildomain"), uid_product_count=F.countDistinct("ProductCD"))
 
@@ -260,16 +262,23 @@ def interactions(df: DataFrame, high: float = 500.0) -> DataFrame:
                            "graph_fraud_comm_x_high_amt": c("graph_community_fraud_rate") * big, "graph_bridge_x_unusual_device": c("graph_is_bridge") * c("is_unusual_device"), "graph_fraud_neighbor_x_round": c("graph_fraud_neighbor_ratio") * c("is_suspicious_round")})
 
 
+GRAPH = ("graph_community_fraud_rate", "graph_fraud_neighbor_ratio", "graph_is_bridge", "graph_betweenness")
+
+
 def all_features(df: DataFrame) -> DataFrame:
-    """Every group's columns come from the base rows and are joined once, by the key, so the plan grows linearly."""
-    base = time_features(amount_features(df))
-    out = base
-    for steps in ((behavioral_profile, merchant_risk, account_flags, category_mismatch), (sim_swap,), (seasonal_baseline,), (shared_device,), (email_features,), (network_lite,), (uid_profile,), (velocity,)):
-        side = base
-        for step in steps:
-            side = step(side)
-        out = out.join(side.select(ID, *(c for c in side.columns if c not in base.columns)), ID)
-    return interactions(out)
+    """df's rows, each once whatever its id, with every group's columns. The base rows are written once. Statistics a key are
+    aggregated from them and joined by that key; windows come first, over rows that are dealt by card1, which serves the
+    card, card and month, and card and address windows with one exchange."""
+    base = written(time_features(amount_features(df)), "base")
+    out = base.repartition("card1")
+    for window in (velocity, seasonal_baseline, uid_windows):
+        out = window(out)
+    rate = fit_rate(out, base)
+    out = rate.withColumn("uid_fraud_rate", smoothed(F.col("uid_fraud_count"), F.col("uid_count"), F.col("global_rate"), 50.0)).drop("global_rate")
+    out = merchant_risk(behavioral_profile(out, base), fit=base)
+    out = category_mismatch(account_flags(out))
+    out = shared_device(sim_swap(out, base), source=base)
+    return interactions(network_lite(email_features(out, fit=base), base))
 
 
 CATEGORIES = ("card1", "card2", "card4", "card5", "card6", "ProductCD", "addr1", "addr2", "P_emaildomain", "R_emaildomain", "DeviceInfo", "DeviceType")
@@ -280,7 +289,11 @@ def initial_clean(df: DataFrame, columns: tuple[str, ...] = CATEGORIES) -> DataF
     return df.withColumns({c: F.nullif(F.col(c).cast("string"), F.lit("nan")) for c in columns if c in df.columns})
 
 
-def without_high_missing(df: DataFrame, keep: tuple[str, ...], most: float = 0.7) -> DataFrame:
+#: Columns that stay however many nulls they have.
+ESSENTIAL = ("DeviceInfo", "DeviceType", "P_emaildomain", "R_emaildomain", "TransactionID", "isFraud", "TransactionAmt", "TransactionDT", "card1", "card2", "card3", "card4", "card5", "card6", "ProductCD", "addr1", "addr2", "dist1")
+
+
+def without_high_missing(df: DataFrame, keep: tuple[str, ...] = ESSENTIAL, most: float = 0.7) -> DataFrame:
     """df without the columns whose null share is over most, but for those to keep; the shares are one row."""
     others = [c for c in df.columns if c not in keep]
     shares = df.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in others)).first()
@@ -293,11 +306,6 @@ def in_fraud_address(df: DataFrame, inside: bool = True) -> DataFrame:
     return df.join(bad, "addr1", "left_semi" if inside else "left_anti")
 
 
-def draw(key: str, salt: str) -> Column:
-    """A number below 2**32 from the md5 of a key, the same on every run."""
-    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long")
-
-
 def device_imputation(df: DataFrame, own_share: float = 0.92, top: int = 100) -> DataFrame:
     """Fills null devices (imputed = 1): with own_share, one of the card's own rows' devices; else, or where the card has
     none, one of the top devices by their counts. Draws come from the md5 of the id. A card's rows are numbered and the

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,6 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,46 +90,87 @@ def resampled(train: DataFrame, ratio: float | None, columns: list[str] = FEATUR
     return made.withColumns({"label": F.col(Y).cast("double"), "weight": F.lit(1.0)})
 
 
-def oof_stacking(df: DataFrame, kinds=("gbt", "gbt_sampled", "perceptron"), folds: int = 3, ratio: float | None = None) -> DataFrame:
-    """Test rows with each model's mean probability over the folds and that of the boosted model on out-of-fold probabilities.
-    ratio: in each fold the rows that are fitted on are oversampled to it, after the fold's rows are held out."""
+def at_once(jobs: list, threads: int = 4) -> list:
+    """The results of Spark jobs without arguments, a few running side by side, in their order."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(lambda j: j(), jobs))
+
+
+def oof_predictions(df: DataFrame, kinds: tuple[str, ...], folds: int, ratio: float | None = None) -> DataFrame:
+    """TransactionID, fold, model, is_test, proba: each training row's probability by the models that didn't see its fold, and each
+    test row's by those of every fold. df: prepared, with is_test and fold. ratio: in each fold the rows that are fitted
+    on are oversampled to it, after the fold's rows are held out."""
+    train, test = df.where("is_test = 0"), df.where("is_test = 1")
+    others = [train.where(F.col("fold") != k) for k in range(folds)]
+    if ratio:
+        others = [written(resampled(o, ratio), "resampled") for o in others]
+
+    def fitted(k: int, kind: str) -> DataFrame:
+        rows = train.where(F.col("fold") == k).unionByName(test)
+        out = with_proba(pipeline(kind).fit(others[k]), rows)
+        return written(out.select(ID, F.lit(k).alias("fold"), F.lit(kind).alias("model"), "is_test", "proba"), "oof")
+
+    parts = at_once([lambda k=k, kind=kind: fitted(k, kind) for k in range(folds) for kind in kinds])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def oof_stacking(df: DataFrame, kinds=("gbt", "gbt_sampled", "perceptron"), folds: int = 7, ratio: float | None = None, anomaly: bool = True) -> DataFrame:
+    """Test rows with each model's mean probability over the folds (p_kind), the isolation score (anomaly) and proba, that of the boosted
+    meta-learner on out-of-fold probabilities and the isolation score."""
     data = written(stratified_kfold(stratified_split(prepared(df)), folds), "folds")
-    train, test, parts = data.where("is_test = 0"), data.where("is_test = 1"), []
-    for k in range(folds):
-        part, seen = train.where(F.col("fold") == k), test
-        others = train.where(F.col("fold") != k)
-        others = written(resampled(others, ratio), "resampled") if ratio else others
-        for kind in kinds:
-            model = pipeline(kind).fit(others)
-            part, seen = with_proba(model, part, f"p_{kind}"), with_proba(model, seen, f"p_{kind}")
-        parts.append(written(part.unionByName(seen), "oof"))
+    long = oof_predictions(data, kinds, folds, ratio)
     names = [f"p_{k}" for k in kinds]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = written(every.groupBy(ID, Y, "label", "weight", "is_test").agg(*(F.avg(c).alias(c) for c in names)), "oof")
+    wide = long.groupBy(ID, "is_test").pivot("model", list(kinds)).agg(F.avg("proba")).withColumnsRenamed(dict(zip(kinds, names)))
+    every = data.select(ID, Y, "label", "weight", "is_test").join(wide.drop("is_test"), ID)
+    if anomaly:
+        every, names = every.join(isolation_forest(data), ID).withColumnRenamed("iso_score", "p_isolation"), [*names, "p_isolation"]
+    every = written(every, "stacked")
     return with_proba(pipeline("gbt_shallow", names).fit(every.where("is_test = 0")), every.where("is_test = 1"))
 
 
-def tuned(df: DataFrame, tree_depths=(3, 5), steps=(0.05, 0.2)) -> DataFrame:
-    """max_depth, step_size, auc of each setting tried on a held-out quarter."""
-    last = GBTClassifier(maxIter=10, weightCol="weight", seed=42)
-    grid = ParamGridBuilder().addGrid(last.maxDepth, list(tree_depths)).addGrid(last.stepSize, list(steps)).build()
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(prepared(df))
-    fit = TrainValidationSplit(estimator=last, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), trainRatio=0.75, parallelism=4, seed=42).fit(written(data.select("features", "label", "weight"), "tuning"))
-    return df.sparkSession.createDataFrame([(int(g[last.maxDepth]), float(g[last.stepSize]), float(m)) for g, m in zip(grid, fit.validationMetrics)], "max_depth int, step_size double, auc double")
+def tuned(df: DataFrame, tree_depths=(3, 5), steps=(0.05, 0.2), shares=(0.7, 1.0), folds: int = 3, rounds: int = 10) -> DataFrame:
+    """max_depth, step_size, subsampling, auc: the mean AUC over the folds of each setting, settings and folds fitted side by side."""
+    data = written(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(stratified_kfold(prepared(df), folds)).select(ID, "fold", "features", "label", "weight"), "tuning")
+    grid = [(a, b, c) for a in tree_depths for b in steps for c in shares]
+
+    def tried(setting: tuple, k: int) -> float:
+        depth, step, share = setting
+        model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=share, weightCol="weight", seed=42).fit(data.where(F.col("fold") != k))
+        return BinaryClassificationEvaluator().evaluate(model.transform(data.where(F.col("fold") == k)))
+
+    got = at_once([lambda s=s, k=k: tried(s, k) for s in grid for k in range(folds)])
+    rows = [(int(a), float(b), float(c), float(np.mean(got[i * folds : (i + 1) * folds]))) for i, (a, b, c) in enumerate(grid)]
+    return df.sparkSession.createDataFrame(rows, "max_depth int, step_size double, subsampling double, auc double")
+
+
+def importance_table(df: DataFrame, kinds=("gbt", "forest"), columns: list[str] = FEATURES, label: str = Y, folds: int | None = None) -> DataFrame:
+    """model, fold, feature, importance: of each tree model, fitted on all rows or on those outside each fold."""
+    data = prepared(df, columns, label)
+    data = written(stratified_kfold(data, folds) if folds else data.withColumn("fold", F.lit(-1)), "importances")
+
+    def fitted(kind: str, k: int) -> list[tuple]:
+        got = pipeline(kind, columns).fit(data.where(F.col("fold") != k)).stages[-1].featureImportances.toArray()
+        return [(kind, k, c, float(v)) for c, v in zip(columns, got)]
+
+    jobs = [lambda kind=kind, k=k: fitted(kind, k) for kind in kinds for k in range(folds or 1)]
+    return df.sparkSession.createDataFrame([r for rows in at_once(jobs) for r in rows], "model string, fold int, feature string, importance double")
+
+
+def avg_importance(table: DataFrame, top: int | None = None) -> DataFrame:
+    """feature, importance: the mean over models and folds of importances that sum to 1 in each; the top greatest, or all."""
+    total = table.groupBy("model", "fold").agg(F.sum("importance").alias("_t"))
+    mean = table.join(F.broadcast(total), ["model", "fold"]).groupBy("feature").agg(F.avg(F.coalesce(F.try_divide("importance", "_t"), F.lit(0.0))).alias("importance"))
+    return mean.orderBy(F.desc("importance"), "feature").limit(top) if top else mean
 
 
 def importances(df: DataFrame, kinds=("gbt", "forest"), columns: list[str] = FEATURES, label: str = Y) -> DataFrame:
     """feature, importance: mean over the tree models of importances that sum to 1 in each."""
-    data = written(prepared(df, columns, label), "importances")
-    got = [pipeline(k, columns).fit(data).stages[-1].featureImportances.toArray() for k in kinds]
-    mean = np.mean([g / max(g.sum(), 1e-12) for g in got], 0)
-    return df.sparkSession.createDataFrame(list(zip(columns, mean.tolist())), "feature string, importance double")
+    return avg_importance(importance_table(df, kinds, columns, label))
 
 
-def selected_features(df: DataFrame, least: float = 0.001) -> DataFrame:
-    return importances(df, ("gbt",)).withColumn("kept", (F.col("importance") >= least).cast("int"))
+def selected_features(df: DataFrame, least: float = 0.001, folds: int = 3) -> DataFrame:
+    """feature, importance, kept: the mean importance over the folds' boosted models, and whether it reaches least."""
+    return avg_importance(importance_table(df, ("gbt",), folds=folds)).withColumn("kept", (F.col("importance") >= least).cast("int"))
 
 
 def adversarial_validation(df: DataFrame, is_late: Column, folds: int = 3) -> DataFrame:
@@ -145,14 +187,44 @@ def adversarial_validation(df: DataFrame, is_late: Column, folds: int = 3) -> Da
     return df.sparkSession.createDataFrame([(total, status, n, v) for n, v in top], "auc double, status string, feature string, importance double")
 
 
+def contributions(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """df with parts: an array of (size, name, value) of each column's signed contribution w (x - mean), exact for a linear model;
+    nulls count as the mean."""
+    means = df.agg(*(F.avg(F.col(c).cast("double")).alias(f"_m_{c}") for c in weights))
+    value = lambda c: F.coalesce((F.col(c).cast("double") - F.col(f"_m_{c}")) * F.lit(float(weights[c])), F.lit(0.0))
+    parts = F.array(*(F.struct(F.abs(value(c)).alias("size"), F.lit(c).alias("name"), value(c).alias("value")) for c in weights))
+    return df.crossJoin(F.broadcast(means)).withColumn("parts", parts).drop(*(f"_m_{c}" for c in weights))
+
+
+def explained(df: DataFrame, top: int = 5) -> DataFrame:
+    """TransactionID, reasons, largest (the value of the first), spread (the mean size of all): from contributions, the top greatest in
+    size, ties by name from the end."""
+    best = F.slice(F.reverse(F.array_sort("parts")), 1, top)
+    text = F.transform(best, lambda x: F.format_string("%s %s fraud risk (SHAP=%.3f)", x["name"], F.when(x["value"] > 0, "increases").otherwise("decreases"), x["value"]))
+    spread = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["size"]) / F.size("parts")
+    return df.select(ID, F.array_join(text, " | ").alias("reasons"), F.transform(best, lambda x: x["value"])[0].alias("largest"), spread.alias("spread"))
+
+
+def mean_contributions(df: DataFrame) -> DataFrame:
+    """feature, mean_size: the mean size of each column's contributions over all rows."""
+    return df.select(F.explode("parts").alias("p")).groupBy(F.col("p.name").alias("feature")).agg(F.avg("p.size").alias("mean_size"))
+
+
+def most_explained(df: DataFrame, n: int = 3) -> DataFrame:
+    """The n rows of explained with the greatest spread, ties by id."""
+    return explained(df).orderBy(F.desc(F.round("spread", 9)), ID).limit(n)
+
+
+def logistic_weights(data: DataFrame) -> dict[str, float]:
+    """A logistic model's weights on prepared columns, in their own units."""
+    model = pipeline("logistic").fit(data)
+    return {c: float(a / s) if s else 0.0 for c, s, a in zip(FEATURES, model.stages[1].std.toArray(), model.stages[2].coefficients.toArray())}
+
+
 def linear_contributions(df: DataFrame, top: int = 5) -> DataFrame:
-    """Each row's largest signed contributions w_i (x_i - mean_i) of a logistic model, as text."""
+    """Each row's largest signed contributions to a logistic model, as text."""
     data = written(prepared(df), "explained")
-    model = pipeline("logistic").fit(data)
-    scale, w = model.stages[1], model.stages[2].coefficients.toArray()
-    part = [F.struct(F.abs(v).alias("size"), F.lit(c).alias("name"), v.alias("value")) for c, m, s, a in zip(FEATURES, scale.mean.toArray(), scale.std.toArray(), w) for v in [(F.col(c) - float(m)) * float(a / s if s else 0.0)]]
-    best = F.slice(F.reverse(F.array_sort(F.array(*part))), 1, top)
-    return data.select(ID, F.concat_ws(", ", F.transform(best, lambda x: F.format_string("%s %+.3f", x["name"], x["value"]))).alias("reasons"), F.transform(best, lambda x: x["value"])[0].alias("largest"))
+    return explained(contributions(data, logistic_weights(data)), top)
 
 
 def pca_v(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
@@ -171,15 +243,21 @@ def components_of(df: DataFrame, columns: list[str], k: int, fit_on: Column | No
     return scale.transform(data), PCA(k=k, inputCol="z", outputCol="p").fit(scale.transform(base))
 
 
-def pca_anomaly(df: DataFrame, columns: list[str] = FEATURES, k: int = 6) -> DataFrame:
+def pca_anomaly(df: DataFrame, columns: list[str] = FEATURES, k: int = 10) -> DataFrame:
     """error of reconstruction from components fitted on label 0, its 95th percentile there as threshold, and a score from 0 to 1."""
     scaled, model = components_of(df, columns, k, F.col(Y) == 0)
     out = model.transform(scaled)
     z, p = vector_to_array("z"), vector_to_array("p")
     square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
     out = written(out.select(ID, Y, (F.greatest(square(z) - square(p), F.lit(0.0)) / len(columns)).alias("error")), "errors")  # components are orthonormal
-    cut = quantiles(out.where(F.col(Y) == 0), "error", 0.95).select(F.col("q").alias("threshold")).crossJoin(quantiles(out, "error", 0.999).select(F.col("q").alias("_top")))
-    out = out.crossJoin(F.broadcast(cut))
+    return anomaly_scores(out)
+
+
+def anomaly_scores(df: DataFrame) -> DataFrame:
+    """TransactionID, error, threshold (the 95th percentile of label 0), score (0 to 1: the error over the greater of its 99.9th percentile and
+    three thresholds), is_anomaly, from errors of reconstruction."""
+    cut = quantiles(df.where(F.col(Y) == 0), "error", 0.95).select(F.col("q").alias("threshold")).crossJoin(quantiles(df, "error", 0.999).select(F.col("q").alias("_top")))
+    out = df.crossJoin(F.broadcast(cut))
     return out.select(ID, "error", "threshold", F.least(F.lit(1.0), F.coalesce(F.try_divide("error", F.greatest("_top", 3 * F.col("threshold"))), F.lit(0.0))).alias("score"), (F.col("error") > F.col("threshold")).cast("int").alias("is_anomaly"))
 
 
@@ -229,8 +307,13 @@ def isolation_forest(df: DataFrame, columns: list[str] = FEATURES, trees: int =
             yield pd.DataFrame({ID: b[ID], "raw": 2.0 ** (-mean / usual)})
 
     out = written(data.mapInPandas(score, f"{ID} long, raw double"), "isolation")
-    ends = out.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
-    return out.crossJoin(F.broadcast(ends)).select(ID, ((F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8)).alias("iso_score"))
+    return spread_out(out)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """TransactionID, iso_score: raw scores from 0 to (nearly) 1 between their ends."""
+    ends = df.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
+    return df.crossJoin(F.broadcast(ends)).select(ID, ((F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8)).alias("iso_score"))
 
 
 def isotonic_calibration(df: DataFrame, calibration: Column) -> DataFrame:

@@ -157,7 +157,11 @@ def betweenness(df: DataFrame, sources: int = 100) -> DataFrame:
 
 def bridges(df: DataFrame, sources: int = 100) -> DataFrame:
     """card1, betweenness, is_bridge: above the 95th percentile."""
-    b = written(betweenness(df, sources), "betweenness")
+    return bridge_flags(written(betweenness(df, sources), "betweenness"))
+
+
+def bridge_flags(b: DataFrame) -> DataFrame:
+    """card1, betweenness, is_bridge: strictly above the 95th percentile of all cards."""
     cut = quantiles(b, "betweenness", 0.95).select(F.col("q").alias("cut"))
     return b.crossJoin(F.broadcast(cut)).select("card1", "betweenness", (F.col("betweenness") > F.col("cut")).cast("int").alias("is_bridge"))
 

@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from ..sources.store import written
 
 
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """df, written, with _range: the number of the row's range in the order, as many ranges as shuffle partitions."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
 def running(df: DataFrame, by: str | list[str], sums: dict[str, str], down: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """df with, for each column in sums, the running sum under its new name, in the order of by (down: from the top) within keys.
     Rows that are equal in keys and by all get the sum up to and with them; nulls of by come first, or last from the top."""
     by = [by] if isinstance(by, str) else list(by)
     order = [F.asc(k) for k in keys] + [F.desc(c) if down else F.asc(c) for c in by]
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    placed, ranges = ranged(df, order), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     totals = placed.groupBy("_range").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_range", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))  # a row a range

@@ -6,9 +6,8 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_or_zero
+from ..functions.columns import draw, finite_or_zero
 from ..sources.store import written
-from .features import draw
 from .neighbours import nearest
 from .robust import quantiles
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import flag
+from ..functions.columns import draw, flag
 
 
 def quantiles(df: DataFrame, column: str, level: Column | float, keys: tuple[str, ...] = (), scale: int = 1 << 14) -> DataFrame:
@@ -88,6 +90,20 @@ def confidence_rate(df: DataFrame) -> DataFrame:
     return checked(r, "confidence_rate", F.col("r"), 0.60)
 
 
+def perturbation(df: DataFrame, score: Callable[[DataFrame], DataFrame], amount_share: float = 0.1, proba_noise: float = 0.05, key: str = "TransactionID") -> DataFrame:
+    """risk_category, n, changed, changed_share, mean_shift, max_shift: what small noise on the inputs does to the scores, by the tier
+    without it. score adds risk_score and risk_category; amounts move by up to amount_share of themselves and
+    probabilities by up to proba_noise (within 0 and 1), by draws from the md5 of the key. Rows are scored twice where
+    they are, so nothing is joined."""
+    even = lambda salt: draw(key, salt) / float(2**31) - 1  # noqa: E731  from -1 to 1
+    plain = score(df).withColumnsRenamed({"risk_score": "_score", "risk_category": "_tier"})
+    moved = plain.withColumn("TransactionAmt", F.col("TransactionAmt") * (1 + amount_share * even("amount")))
+    moved = moved.withColumn("proba", F.least(F.greatest(F.col("proba") + proba_noise * even("proba"), F.lit(0.0)), F.lit(1.0)))
+    shift, other = F.abs(F.col("risk_score") - F.col("_score")), flag(F.col("risk_category") != F.col("_tier"))
+    by = score(moved).groupBy(F.col("_tier").alias("risk_category"))
+    return by.agg(F.count("*").alias("n"), F.sum(other).alias("changed"), F.avg(other).alias("changed_share"), F.avg(shift).alias("mean_shift"), F.max(shift).alias("max_shift"))
+
+
 def robustness(df: DataFrame) -> DataFrame:
     return catch_rates(df).unionByName(threshold_stability(df)).unionByName(confidence_rate(df))
 

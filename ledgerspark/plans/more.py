@@ -26,8 +26,8 @@ FEAT = f"""SELECT t.*, ln(1+{A}) AS log_amount, {HOUR} AS hour, CAST({HOUR} BETW
  {A}/greatest(avg({A}) OVER (PARTITION BY card1, CAST(floor({DT}/2592000) AS BIGINT)),0.01) AS amt_vs_seasonal, count(*) OVER (PARTITION BY card1 ORDER BY {DT} RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS txns_24h
  FROM t LEFT JOIN {lk('card1', f'avg({A}) AS m, stddev_samp({A}) AS s, count(*) AS n, count(DISTINCT ProductCD) AS k')} USING (card1) LEFT JOIN {lk('ProductCD', 'avg(isFraud) AS p')} USING (ProductCD)
  LEFT JOIN {USUAL} USING (card1) LEFT JOIN {lk('DeviceInfo', 'count(DISTINCT card1) AS dc')} USING (DeviceInfo) LEFT JOIN {lk('addr1', 'count(DISTINCT card1) AS ua, max(isFraud) AS fy')} USING (addr1)"""
-op("interaction_features", [f.all_features], "amount_x_night:6 amount_x_weekend:6 round_x_night:i round_x_new_device:i night_x_unusual_device:i dormant_x_night:i new_acct_x_round:i rapid_fire_x_night:i rapid_fire_x_high_amt:i velocity_x_new_device:i free_email_x_high_amt:i fraud_neighbor_x_night:i shared_device_x_network:i graph_fraud_comm_x_night:6",
-   f"SELECT *, log_amount*is_night AS amount_x_night, log_amount*is_weekend AS amount_x_weekend, is_suspicious_round*is_night AS round_x_night, is_suspicious_round*is_unusual_device AS round_x_new_device, is_night*is_unusual_device AS night_x_unusual_device, is_low_activity_user*is_night AS dormant_x_night, first_txn_high_value*is_suspicious_round AS new_acct_x_round, is_rapid_fire*is_night AS rapid_fire_x_night, is_rapid_fire*{BIG} AS rapid_fire_x_high_amt, is_rapid_fire*is_unusual_device AS velocity_x_new_device, is_free_email*{BIG} AS free_email_x_high_amt, has_fraud_neighbor*is_night AS fraud_neighbor_x_night, is_shared_device*CAST(users_per_address>5 AS INT) AS shared_device_x_network, 0.0 AS graph_fraud_comm_x_night FROM ({FEAT})")
+op("interaction_features", [f.all_features], "amount_x_night:6 amount_x_weekend:6 round_x_night:i round_x_new_device:i night_x_unusual_device:i dormant_x_night:i new_acct_x_round:i rapid_fire_x_night:i rapid_fire_x_high_amt:i velocity_x_new_device:i free_email_x_high_amt:i fraud_neighbor_x_night:i shared_device_x_network:i",
+   f"SELECT *, log_amount*is_night AS amount_x_night, log_amount*is_weekend AS amount_x_weekend, is_suspicious_round*is_night AS round_x_night, is_suspicious_round*is_unusual_device AS round_x_new_device, is_night*is_unusual_device AS night_x_unusual_device, is_low_activity_user*is_night AS dormant_x_night, first_txn_high_value*is_suspicious_round AS new_acct_x_round, is_rapid_fire*is_night AS rapid_fire_x_night, is_rapid_fire*{BIG} AS rapid_fire_x_high_amt, is_rapid_fire*is_unusual_device AS velocity_x_new_device, is_free_email*{BIG} AS free_email_x_high_amt, has_fraud_neighbor*is_night AS fraud_neighbor_x_night, is_shared_device*CAST(users_per_address>5 AS INT) AS shared_device_x_network FROM ({FEAT})")
 WEIGHED = "+".join(f"{w}*coalesce({c},0)" for c, w in d.WEIGHTS.items() if not c.startswith(("graph_", "iso_")) and c != "round_x_new_device") + "+3*is_suspicious_round*is_unusual_device+is_night*least(greatest(amount_zscore,0.0),5.0)*2"
 TIER = "CASE WHEN risk_score>=71 THEN 'RED' WHEN risk_score>=51 THEN 'ORANGE' WHEN risk_score>=31 THEN 'YELLOW' ELSE 'GREEN' END"
 RULES = [
@@ -55,6 +55,36 @@ def full_scores(df: DataFrame) -> DataFrame:
     return d.scored(f.interactions(f.all_features(df).join(cards, "card1", "left").join(iso, ID, "left")))
 
 
+#: Given values in place of sampled betweenness, from the degree, so that SQL can follow every graph term.
+GIVEN = {"graph_betweenness": "CAST(graph_degree AS DOUBLE)/5000", "graph_is_bridge": "CAST(graph_degree >= 4 AS INT)"}
+PROBA = "CAST(TransactionID % 97 AS DOUBLE)/97"
+
+
+def graph_features(df: DataFrame) -> DataFrame:
+    """Every feature with the graph's: community and neighbour rates from the edges, betweenness as GIVEN; products are made last."""
+    rates = store.written(g.community_stats(df).select("card1", F.col("fraud_rate").alias("graph_community_fraud_rate")), "rates")
+    near = g.fraud_neighbors(df).select("card1", F.col("fraud_neighbor_ratio").alias("graph_fraud_neighbor_ratio"))
+    degree = g.degree_centrality(df).select("card1", F.col("degree").alias("graph_degree"))
+    cards = store.written(rates.join(near, "card1", "left").join(degree, "card1", "left").fillna(0).withColumns({c: F.expr(e) for c, e in GIVEN.items()}), "graph-terms")
+    return f.interactions(f.all_features(df.withColumn("proba", F.expr(PROBA))).join(cards, "card1", "left"))
+
+
+GWEIGHED = WEIGHED + "".join(f"+{w}*coalesce({c},0)" for c, w in d.WEIGHTS.items() if c.startswith("graph_"))
+GRULES = RULES + [
+    ("graph_community_fraud_rate>0.3", "'User belongs to high-fraud network community ('||printf('%.0f', round(graph_community_fraud_rate*100))||'% fraud rate)'"),
+    ("graph_fraud_neighbor_ratio>0.3", "'Connected to known fraudsters ('||printf('%.0f', round(graph_fraud_neighbor_ratio*100))||'% of connections)'"),
+    ("graph_is_bridge=1", "'Network bridge node - potential money mule connecting fraud rings'"),
+]
+GWHY = "coalesce(nullif(concat_ws(' | ', " + ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in GRULES) + "),''),'No specific risk factors identified')"
+
+
+def with_graph_sql(query: str) -> str:
+    """query over gf: the orders' features with their graph columns."""
+    terms = "gr AS (SELECT cm.card1, fraud_rate AS graph_community_fraud_rate, coalesce(z,0.0) AS graph_fraud_neighbor_ratio, coalesce(n,0) AS graph_degree FROM cm JOIN st USING (community) LEFT JOIN (SELECT src AS card1, count(*) AS n, avg(bad) AS z FROM w JOIN (SELECT card1, max(isFraud) AS bad FROM o GROUP BY card1) b ON w.dst=b.card1 GROUP BY src) USING (card1))"
+    given = ", ".join(f"{e} AS {c}" for c, e in GIVEN.items())
+    return f"{COMM}, {terms}, t AS (SELECT *, {PROBA} AS proba FROM o), gf AS (SELECT * FROM ({FEAT}) JOIN (SELECT *, {given} FROM gr) USING (card1)) {query}"
+
+
 op("risk_score_full", [full_scores], "risk_score:4 risk_category auth_recommendation explanation", None)
 op("explanation_sampling", [f.all_features, d.risk_score, lambda t: t.withColumn("risk_category", d.tier()), lambda t: rep.explained_sample(t, 50)], "explanation",
    f"SELECT TransactionID, CASE WHEN r<=50 THEN explanation ELSE 'Risk Score: '||printf('%.0f', round(risk_score))||' | Category: '||risk_category END AS explanation FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(TransactionID AS VARCHAR)), TransactionID) AS r FROM ({RISK}))")
@@ -98,6 +128,9 @@ op("community_stats", [g.community_stats], "card1:i community:i size:i fraud_rat
 op("community_modularity", [g.community_modularity], "communities:i modularity:9", f"{COMM}, kk AS (SELECT src AS card1, count(*) AS k FROM w GROUP BY 1), ins AS (SELECT a.community, count(*) AS n FROM w JOIN cm a ON a.card1=w.src JOIN cm b ON b.card1=w.dst WHERE a.community=b.community GROUP BY 1), tt AS (SELECT community, sum(k) AS k FROM kk JOIN cm USING (card1) GROUP BY 1) SELECT (SELECT count(DISTINCT community) FROM cm) AS communities, (SELECT sum(coalesce(n,0)/m-(k/m)*(k/m)) FROM tt LEFT JOIN ins USING (community), (SELECT CAST(count(*) AS DOUBLE) AS m FROM w)) AS modularity", view=txn_ord, key="")
 op("modular_communities", [g.modular_communities], "card1:i community:i", None, view=txn_ord, key="")
 op("modular_community_stats", [lambda t: g.community_stats(t, g.modular_communities)], "card1:i community:i size:i fraud_rate:6", None, view=txn_ord, key="")
+op("risk_score_graph", [graph_features, d.scored], "risk_score:4 risk_category auth_recommendation explanation", with_graph_sql(f"SELECT *, {AUTHS} AS auth_recommendation FROM (SELECT *, {TIER} AS risk_category, {GWHY} AS explanation FROM (SELECT *, least(greatest(raw/CASE WHEN max(raw) OVER ()>0 THEN max(raw) OVER () ELSE 1.0 END*100,0.0),100.0) AS risk_score FROM (SELECT *, {GWEIGHED} AS raw FROM gf)))"), view=txn_ord)
+op("graph_interactions", [graph_features], "graph_fraud_comm_x_night:6 graph_fraud_comm_x_high_amt:6 graph_bridge_x_unusual_device:i graph_fraud_neighbor_x_round:6 fraud_neighbor_x_night:i shared_device_x_network:i",
+   with_graph_sql(f"SELECT *, graph_community_fraud_rate*is_night AS graph_fraud_comm_x_night, graph_community_fraud_rate*{BIG} AS graph_fraud_comm_x_high_amt, graph_is_bridge*is_unusual_device AS graph_bridge_x_unusual_device, graph_fraud_neighbor_ratio*is_suspicious_round AS graph_fraud_neighbor_x_round, has_fraud_neighbor*is_night AS fraud_neighbor_x_night, is_shared_device*CAST(users_per_address>5 AS INT) AS shared_device_x_network FROM gf"), view=txn_ord)
 op("community_rate_per_card", [g.community_rates], "card1:i community_rate:6", f"{COMM} SELECT card1, fraud_rate AS community_rate FROM cm JOIN st USING (community) WHERE fraud_rate>0", view=txn_ord, key="")
 op("sample_users_for_graph", [lambda t: g.chosen_cards(t, 400)], "card1:i", "WITH c AS (SELECT card1, max(isFraud) AS bad FROM o GROUP BY 1) SELECT card1 FROM c WHERE bad=1 UNION ALL SELECT card1 FROM (SELECT card1, row_number() OVER (ORDER BY md5(CAST(card1 AS VARCHAR)), card1) AS r FROM c WHERE bad=0) WHERE r<=greatest(400-(SELECT count(*) FROM c WHERE bad=1),0)", view=txn_ord, key="")
 op("graph_user_set", [lambda t: t.select("card1").where("addr1 IS NOT NULL").intersect(t.select("card1").where("DeviceInfo IS NOT NULL")).subtract(t.where("isFraud = 1").select("card1"))], "card1:i", "(SELECT card1 FROM o WHERE addr1 IS NOT NULL INTERSECT SELECT card1 FROM o WHERE DeviceInfo IS NOT NULL) EXCEPT SELECT card1 FROM o WHERE isFraud=1", view=txn_ord, key="")
@@ -151,7 +184,7 @@ op("drift_monitor_without_fraud", [lambda t: t.withColumn("isFraud", F.expr(f"CA
    f"{PSI.replace('SELECT *, CAST(floor(', f'SELECT * REPLACE (CASE WHEN floor({DT}/604800)%3=1 THEN 0 ELSE isFraud END AS isFraud), CAST(floor(', 1)} SELECT period, auc, CASE WHEN auc IS NULL THEN 'unknown' WHEN auc<0.95 THEN 'critical' WHEN auc<0.97 THEN 'warning' ELSE 'ok' END AS status, psi FROM x LEFT JOIN a USING (period)", key="")
 CATS = [c for c in f.CATEGORIES if c != "DeviceType"]
 op("initial_clean", [lambda t: t.withColumn("card4", F.coalesce("card4", F.lit("nan"))), f.initial_clean], " ".join(CATS), "SELECT TransactionID, " + ", ".join(f"nullif(CAST({c} AS VARCHAR),'nan') AS {c}" for c in CATS) + " FROM t")
-op("drop_high_missing_columns", [lambda t: t.withColumns({"sparse": F.expr("CASE WHEN TransactionID % 10 = 0 THEN 1 END"), "kept": F.expr("CASE WHEN TransactionID % 10 = 0 THEN 1 END")}), lambda t: f.without_high_missing(t, ("TransactionID", "kept")), lambda t: t.withColumn("n_columns", F.lit(len(t.columns)))], "n_columns:i kept:i", "SELECT TransactionID, 19 AS n_columns, CASE WHEN TransactionID%10=0 THEN 1 END AS kept FROM t")
+op("drop_high_missing_columns", [lambda t: t.withColumns({"sparse": F.expr("CASE WHEN TransactionID % 10 = 0 THEN 1 END"), "kept": F.expr("CASE WHEN TransactionID % 10 = 0 THEN 1 END"), "dist1": F.expr("CASE WHEN TransactionID % 10 = 0 THEN 1 END")}), lambda t: f.without_high_missing(t, (*f.ESSENTIAL, "kept")), lambda t: t.withColumn("n_columns", F.lit(len(t.columns)))], "n_columns:i kept:i", "SELECT TransactionID, 19 AS n_columns, CASE WHEN TransactionID%10=0 THEN 1 END AS kept FROM t")
 ODD = f"CASE WHEN TransactionID%5=0 THEN CAST('Infinity' AS DOUBLE) WHEN TransactionID%7=0 THEN CAST('NaN' AS DOUBLE) WHEN TransactionID%11=0 THEN NULL ELSE {A} END"
 op("finite_or_zero", [lambda t: t.withColumn("x", F.expr(ODD)), lambda t: pre.made_finite(t, ("x",))], "x:4", f"SELECT TransactionID, CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 0.0 ELSE x END AS x FROM (SELECT *, {ODD} AS x FROM t)")
 CODES = ("card4", "card6", "ProductCD", "P_emaildomain")

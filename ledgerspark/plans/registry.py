@@ -73,14 +73,16 @@ op("uid_profile", [f.uid_profile], "uid_mean:6 uid_std:6 uid_max:6 uid_min:6 uid
    f"SELECT *, uid_max-uid_min AS uid_range, ({A}-uid_mean)/greatest(uid_std,1.0) AS uid_zscore, {A}/greatest(uid_mean,0.01) AS uid_ratio, CASE WHEN {A}>=0.99::DOUBLE*uid_max THEN 1 ELSE 0 END AS uid_is_max, (uid_fraud_count+50*(SELECT avg(isFraud) FROM t))/(uid_count+50) AS uid_fraud_rate FROM (SELECT *, avg({A}) OVER w AS uid_mean, coalesce(stddev_samp({A}) OVER w,0.0) AS uid_std, max({A}) OVER w AS uid_max, min({A}) OVER w AS uid_min, count(*) OVER w AS uid_count, sum(isFraud) OVER w AS uid_fraud_count FROM t WINDOW w AS ({UID}))")
 op("uid_diversity", [f.uid_diversity], "uid_device_count:i uid_email_count:i uid_product_count:i", "SELECT t.TransactionID, uid_device_count, uid_email_count, uid_product_count FROM t JOIN (SELECT card1, addr1, count(DISTINCT DeviceInfo) AS uid_device_count, count(DISTINCT P_emaildomain) AS uid_email_count, count(DISTINCT ProductCD) AS uid_product_count FROM t GROUP BY card1, addr1) u ON t.card1=u.card1 AND t.addr1 IS NOT DISTINCT FROM u.addr1")
 op("uid2_profile", [f.uid2_profile], "uid2_count:i uid2_mean:6", f"SELECT *, count(*) OVER w AS uid2_count, avg({A}) OVER w AS uid2_mean FROM t WINDOW w AS (PARTITION BY card1, addr1, coalesce(D1,-1))")
-op("uid_time_bins", [f.uid_time_bins], "uid_count_1h:i uid_sum_6h:4 uid_count_24h:i uid_spike_1h:i uid_spike_24h:i uid_amount_spike:i uid_peak_hourly:i",
-   f"SELECT *, CAST(uid_count_1h>=3 AS INT) AS uid_spike_1h, CAST(uid_count_24h>=10 AS INT) AS uid_spike_24h, CAST(s24>3*avg({A}) OVER ({UID}) AS INT) AS uid_amount_spike, max(uid_count_1h) OVER ({UID}) AS uid_peak_hourly FROM (SELECT *, count(*) OVER ({UID}, {DT}//3600) AS uid_count_1h, sum({A}) OVER ({UID}, {DT}//21600) AS uid_sum_6h, count(*) OVER ({UID}, {DT}//86400) AS uid_count_24h, sum({A}) OVER ({UID}, {DT}//86400) AS s24 FROM t)")
+op("uid_time_bins", [f.uid_time_bins], "uid_count_1h:i uid_sum_1h:4 uid_count_6h:i uid_sum_6h:4 uid_count_24h:i uid_sum_24h:4 uid_spike_1h:i uid_spike_24h:i uid_amount_spike:i uid_peak_hourly:i",
+   f"SELECT *, CAST(uid_count_1h>=3 AS INT) AS uid_spike_1h, CAST(uid_count_24h>=10 AS INT) AS uid_spike_24h, CAST(uid_sum_24h>3*avg({A}) OVER ({UID}) AS INT) AS uid_amount_spike, max(uid_count_1h) OVER ({UID}) AS uid_peak_hourly FROM (SELECT *, count(*) OVER ({UID}, {DT}//3600) AS uid_count_1h, sum({A}) OVER ({UID}, {DT}//21600) AS uid_sum_6h, count(*) OVER ({UID}, {DT}//86400) AS uid_count_24h, sum({A}) OVER ({UID}, {DT}//86400) AS uid_sum_24h, sum({A}) OVER ({UID}, {DT}//3600) AS uid_sum_1h, count(*) OVER ({UID}, {DT}//21600) AS uid_count_6h FROM t)")
 PEER = lambda c: f"CASE WHEN {c} IS NOT NULL THEN ({A}-avg({A}) OVER (PARTITION BY {c}))/(coalesce(stddev_samp({A}) OVER (PARTITION BY {c}),1.0)+1) END"
 op("peer_deviation", [f.peer_deviation], "peer_deviation:6 is_peer_outlier:i", f"SELECT *, CASE WHEN peer_deviation>2 THEN 1 ELSE 0 END AS is_peer_outlier FROM (SELECT *, coalesce(list_avg(list_filter([abs(a),abs(b),abs(c)], lambda x: x IS NOT NULL)),0.0) AS peer_deviation FROM (SELECT TransactionID, {PEER('ProductCD')} AS a, {PEER('card4')} AS b, {PEER('addr1')} AS c FROM t))")
-op("cross_fraud_rates", [f.cross_fraud_rates], "card1_ProductCD_rate:6 card1_addr1_rate:6 addr1_P_emaildomain_rate:6", "SELECT *, " + ", ".join(f"(sum(isFraud) OVER (PARTITION BY {a}, {b})+30*(SELECT avg(isFraud) FROM t))/(count(*) OVER (PARTITION BY {a}, {b})+30) AS {a}_{b}_rate" for a, b in (("card1", "ProductCD"), ("card1", "addr1"), ("addr1", "P_emaildomain"))) + " FROM t")
-op("entropy_diversity", [f.time_features, f.entropy_diversity], "product_diversity:i hour_diversity:i", f"SELECT t.TransactionID, p AS product_diversity, h AS hour_diversity FROM t JOIN (SELECT card1, addr1, count(DISTINCT ProductCD) AS p, count(DISTINCT {HOUR}) AS h FROM t GROUP BY card1, addr1) u ON t.card1=u.card1 AND t.addr1 IS NOT DISTINCT FROM u.addr1")
-op("velocity", [f.velocity], "time_since_last:i is_rapid_fire:i txn_count_30min:i rolling_sum_3:4 amount_acceleration:6",
-   f"SELECT *, CAST(time_since_last<300 AS INT) AS is_rapid_fire FROM (SELECT *, coalesce({DT}-lag({DT}) OVER w,999999) AS time_since_last, 1+coalesce(CAST({DT}-lag({DT}) OVER w<1800 AS INT),0)+coalesce(CAST({DT}-lag({DT},2) OVER w<1800 AS INT),0) AS txn_count_30min, sum({A}) OVER (PARTITION BY card1 {SEQ} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_sum_3, least({A}/greatest(coalesce(lag({A}) OVER w,0.0),0.01),100.0) AS amount_acceleration FROM t WINDOW w AS (PARTITION BY card1 {SEQ}))")
+op("cross_fraud_rates", [f.cross_fraud_rates], "card1_ProductCD_rate:6 card1_addr1_rate:6 addr1_P_emaildomain_rate:6 ProductCD_P_emaildomain_rate:6", "SELECT *, " + ", ".join(f"(sum(isFraud) OVER (PARTITION BY {a}, {b})+30*(SELECT avg(isFraud) FROM t))/(count(*) OVER (PARTITION BY {a}, {b})+30) AS {a}_{b}_rate" for a, b in (("card1", "ProductCD"), ("card1", "addr1"), ("addr1", "P_emaildomain"), ("ProductCD", "P_emaildomain"))) + " FROM t")
+CODE = f"CASE WHEN mx>mn THEN CAST(greatest(ceil(({A}-mn)/((mx-mn)/10)),1)-1 AS BIGINT) ELSE 0 END"  # right-closed bins of equal width
+op("entropy_diversity", [f.time_features, f.entropy_diversity], "amount_diversity:i product_diversity:i hour_diversity:i is_high_diversity:i",
+   f"SELECT *, CAST(amount_diversity>2*median(amount_diversity) OVER () AS INT) AS is_high_diversity FROM (SELECT t.TransactionID, a AS amount_diversity, p AS product_diversity, h AS hour_diversity FROM t JOIN (SELECT card1, addr1, count(DISTINCT {CODE}) AS a, count(DISTINCT ProductCD) AS p, count(DISTINCT {HOUR}) AS h FROM t, (SELECT min({A}) AS mn, max({A}) AS mx FROM t) GROUP BY card1, addr1) u ON t.card1=u.card1 AND t.addr1 IS NOT DISTINCT FROM u.addr1)")
+op("velocity", [f.velocity], "time_since_last:i hours_since_last:6 is_rapid_fire:i txn_count_30min:i rolling_sum_3:4 amount_acceleration:6",
+   f"SELECT *, time_since_last/3600 AS hours_since_last, CAST(time_since_last<300 AS INT) AS is_rapid_fire FROM (SELECT *, coalesce({DT}-lag({DT}) OVER w,999999) AS time_since_last, 1+coalesce(CAST({DT}-lag({DT}) OVER w<1800 AS INT),0)+coalesce(CAST({DT}-lag({DT},2) OVER w<1800 AS INT),0) AS txn_count_30min, sum({A}) OVER (PARTITION BY card1 {SEQ} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_sum_3, least({A}/greatest(coalesce(lag({A}) OVER w,0.0),0.01),100.0) AS amount_acceleration FROM t WINDOW w AS (PARTITION BY card1 {SEQ}))")
 op("uid_time_gap", [f.uid_time_gap], "uid_gap:i uid_repeat_60:i uid_burst_300:i", f"SELECT *, CAST(uid_gap BETWEEN 0 AND 60 AS INT) AS uid_repeat_60, CAST(uid_gap BETWEEN 0 AND 300 AS INT) AS uid_burst_300 FROM (SELECT *, coalesce({DT}-lag({DT}) OVER ({UID} {SEQ}),-1) AS uid_gap FROM t)")
 op("lag_features", [f.lag_features], "prev_amount:6 amount_delta:6 amount_ratio_prev:6 time_since_prev:i uid_rank:i", f"SELECT *, {A}-prev_amount AS amount_delta, {A}/(prev_amount+1) AS amount_ratio_prev FROM (SELECT *, coalesce(lag({A}) OVER w,{A}) AS prev_amount, coalesce({DT}-lag({DT}) OVER w,0) AS time_since_prev, row_number() OVER w-1 AS uid_rank FROM t WINDOW w AS ({UID} {SEQ}))")
 op("true_range_velocity", [f.trailing_velocity], "trailing_1h:i trailing_6h:i trailing_24h:i", "SELECT *, " + ", ".join(f"count(*) OVER (PARTITION BY card1 ORDER BY {DT} RANGE BETWEEN {s - 1} PRECEDING AND CURRENT ROW) AS trailing_{n}" for n, s in (("1h", 3600), ("6h", 21600), ("24h", 86400))) + " FROM t")
@@ -141,8 +143,8 @@ PREPARED = [f.amount_features, f.time_features, f.behavioral_profile, f.velocity
 for kind, name in (("gbt", "train_gbt"), ("gbt_shallow", "train_gbt_shallow"), ("gbt_sampled", "train_gbt_sampled"), ("forest", "train_random_forest"), ("perceptron", "train_mlp")):
     op(name, [*PREPARED, lambda t, kind=kind: m.trained(t, kind)], "proba:6", None)
 op("isolation_forest", [*PREPARED, m.isolation_forest], "iso_score:6", None)
-op("oof_stacking", [*PREPARED, m.oof_stacking], "p_gbt:6 p_gbt_sampled:6 p_perceptron:6 proba:6", None)
-op("tune_params", [*PREPARED, m.tuned], "max_depth:i step_size:4 auc:6", None, key="")
+op("oof_stacking", [*PREPARED, m.oof_stacking], "p_gbt:6 p_gbt_sampled:6 p_perceptron:6 p_isolation:6 proba:6", None)
+op("tune_params", [*PREPARED, m.tuned], "max_depth:i step_size:4 subsampling:4 auc:6", None, key="")
 op("select_features", [*PREPARED, m.selected_features], "feature importance:6 kept:i", None, key="")
 op("avg_importance", [*PREPARED, m.importances], "feature importance:6", None, key="")
 op("adversarial_validation", [*PREPARED, lambda t: m.adversarial_validation(t, F.col("TransactionDT") > r.quantiles(t, "TransactionDT", 0.8).first()["q"])], "auc:6 status feature importance:6", None, key="")
@@ -159,7 +161,7 @@ REGISTERED["stream_lag_state"] = (lambda s, p: streams.drained(streams.lag_state
     "SELECT user_id, event_id, round(gap, 3) AS gap, CAST(gap<300 AS BIGINT) AS is_rapid_fire, round(delta, 4) AS delta FROM (SELECT *, coalesce((epoch_us(ts)-lag(epoch_us(ts)) OVER w)/1e6, 999999.0) AS gap, coalesce(value-lag(value) OVER w, 0.0) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
 
 
-from . import more  # noqa: E402, F401  adds its queries to REGISTERED
+from . import more, served  # noqa: E402, F401  they add their queries to REGISTERED
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
