@@ -26,6 +26,8 @@ columns of the input are kept. The key is a parameter; keep it secret.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,11 @@ COUNTED = ("email", "secret", "iban", "date", "ip", "ssn", "card", "number", "ph
 ANY = "|".join(f"(?:{KINDS[k]})" for k in ORDER)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it, as it also would be inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def digits_of(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -100,19 +107,21 @@ def permuted_digits(d: Column, key: str, kind: str | Column) -> Column:
     """The digit string d (at most 31 digits: the halves fit a long), permuted among all strings of its length."""
     n = F.length(d)
     h = F.floor(n / 2).cast("int")
-    st = feistel(F.coalesce(F.try_to_number(F.concat(F.lit("0"), F.substring(d, F.lit(1), h)), F.lit("9" * 16)), F.lit(0)), F.substring(d, h + 1, n - h).cast("long"), ten_to(h), ten_to(n - h), F.concat(F.lit(kind) if isinstance(kind, str) else kind, n.cast("string")), key)
-    return F.concat(F.when(h > 0, F.lpad(st["l"].cast("string"), h, "0")).otherwise(""), F.lpad(st["r"].cast("string"), n - h, "0"))
+    both = feistel(F.coalesce(F.try_to_number(F.concat(F.lit("0"), F.substring(d, F.lit(1), h)), F.lit("9" * 16)), F.lit(0)), F.substring(d, h + 1, n - h).cast("long"), ten_to(h), ten_to(n - h), F.concat(F.lit(kind) if isinstance(kind, str) else kind, n.cast("string")), key)
+    return let(both, lambda st: F.concat(F.when(h > 0, F.lpad(st["l"].cast("string"), h, "0")).otherwise(""), F.lpad(st["r"].cast("string"), n - h, "0")))
 
 
 def number(d: Column, key: str) -> Column:
     """A digit string of any length: up to 31 digits at once, longer ones in parts of 18, each by its place."""
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(d) - 1) / 18).cast("int")), lambda i: permuted_digits(F.substring(d, i * 18 + 1, F.lit(18)), key, F.concat(F.lit("number"), i.cast("string"))))
+    part = lambda i: let(F.substring(d, i * 18 + 1, F.lit(18)), lambda x: permuted_digits(x, key, F.concat(F.lit("number"), i.cast("string"))))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(d) - 1) / 18).cast("int")), part)
     return F.when(F.length(d) <= 31, permuted_digits(d, key, "number")).otherwise(F.array_join(parts, ""))
 
 
 def in_shape(m: Column, d: Column) -> Column:
-    """m with its digits replaced, in order, by those of d."""
-    return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(d, F.length(digits_of(F.substring(m, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+    """m with its digits replaced, in order, by those of d, which is m where m is digits alone, as values of any length are."""
+    spread = lambda v: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(v, F.length(digits_of(F.substring(m, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+    return let(d, lambda v: F.when(F.length(v) == F.length(m), v).otherwise(spread(v)))
 
 
 def luhn_sum(d: Column) -> Column:
@@ -124,9 +133,9 @@ def luhn_sum(d: Column) -> Column:
 
 def card(m: Column, key: str) -> Column:
     d = digits_of(m)
-    body = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10))
-    return in_shape(m, F.concat(body, check.cast("string")))
+    check = lambda body: F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10))
+    new = let(permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"), lambda body: F.concat(body, check(body).cast("string")))
+    return in_shape(m, new)
 
 
 def phone(m: Column, key: str) -> Column:
@@ -144,17 +153,17 @@ def iban(m: Column, key: str) -> Column:
     plain = F.regexp_replace(m, " ", "")
     tail = F.substring(plain, F.lit(5), F.length(plain))
     d = digits_of(tail)
-    new = F.when(F.length(d) > 0, in_shape(tail, permuted_digits(d, key, "iban"))).otherwise(tail)
-    check = 98 - mod97(F.concat(new, F.substring(plain, 1, 2), F.lit("00")))
-    whole = F.concat(F.substring(plain, 1, 2), F.lpad(check.cast("string"), 2, "0"), new)
-    return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(whole, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
+    changed = F.when(F.length(d) > 0, in_shape(tail, permuted_digits(d, key, "iban"))).otherwise(tail)
+    check = lambda new: 98 - mod97(F.concat(new, F.substring(plain, 1, 2), F.lit("00")))
+    whole = let(changed, lambda new: F.concat(F.substring(plain, 1, 2), F.lpad(check(new).cast("string"), 2, "0"), new))
+    return let(whole, lambda w: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(w, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), ""))
 
 
 def ip(m: Column, key: str) -> Column:
     p = F.split(m, "\\.")
     part = lambda i: F.element_at(p, i).cast("int")
-    st = feistel(part(1) * 256 + part(2), part(3) * 256 + part(4), F.lit(65536), F.lit(65536), F.lit("ip"), key)
-    return F.concat_ws(".", F.floor(st["l"] / 256).cast("string"), (st["l"] % 256).cast("string"), F.floor(st["r"] / 256).cast("string"), (st["r"] % 256).cast("string"))
+    both = feistel(part(1) * 256 + part(2), part(3) * 256 + part(4), F.lit(65536), F.lit(65536), F.lit("ip"), key)
+    return let(both, lambda st: F.concat_ws(".", F.floor(st["l"] / 256).cast("string"), (st["l"] % 256).cast("string"), F.floor(st["r"] / 256).cast("string"), (st["r"] % 256).cast("string")))
 
 
 DATE_FORMS = (("^[0-9]{4}-", "yyyy-MM-dd", "yyyy-MM-dd"), ("\\.", "d.M.yyyy", "dd.MM.yyyy"), ("/", "M/d/yyyy", "MM/dd/yyyy"), ("/", "d/M/yyyy", "dd/MM/yyyy"))
@@ -165,10 +174,14 @@ def date(m: Column, key: str) -> Column:
     a, b = CYCLE
     out = F.lit(None).cast("string")
     for mark, form, shape in reversed(DATE_FORMS):
-        day = F.datediff(F.try_to_date(m, form), F.lit("1900-01-01").cast("date"))
-        cycle, place = F.floor(day / (a * b)), F.pmod(day, F.lit(a * b))
-        st = feistel(F.floor(place / b), place % b, F.lit(a), F.lit(b), F.lit("date"), key)
-        new = F.date_add(F.lit("1900-01-01").cast("date"), (cycle * (a * b) + st["l"] * b + st["r"]).cast("int"))
+        start = F.lit("1900-01-01").cast("date")
+
+        def moved(day: Column) -> Column:
+            cycle, place = F.floor(day / (a * b)), F.pmod(day, F.lit(a * b))
+            both = feistel(F.floor(place / b), place % b, F.lit(a), F.lit(b), F.lit("date"), key)
+            return let(both, lambda st: F.date_add(start, (cycle * (a * b) + st["l"] * b + st["r"]).cast("int")))
+
+        new = let(F.datediff(F.try_to_date(m, form), start), moved)
         out = F.when(m.rlike(mark) & F.try_to_date(m, form).isNotNull(), F.date_format(new, shape)).otherwise(out)
     return out
 
@@ -201,7 +214,10 @@ def kind_of(m: Column) -> Column:
 
 
 def pseudonym(kind: Column, m: Column, key: str) -> Column:
-    d = digits_of(m)
+    return let(digits_of(m), lambda d: pseudonym_of(kind, m, d, key))
+
+
+def pseudonym_of(kind: Column, m: Column, d: Column, key: str) -> Column:
     return (F.when(kind == "email", email(m, key)).when(kind == "secret", secret(m, key)).when(kind == "iban", iban(m, key)).when(kind == "date", F.coalesce(date(m, key), m))
             .when(kind == "ip", ip(m, key)).when(kind == "ssn", in_shape(m, permuted_digits(d, key, "ssn"))).when(kind == "card", card(m, key))
             .when(kind == "number", in_shape(m, number(d, key))).when(kind == "phone", phone(m, key)).otherwise(m))
