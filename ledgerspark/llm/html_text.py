@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL = 100_000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?|[^<]+|<", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|object|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?|[^<]+|<", re.S | re.I)
 ATTRS = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
@@ -35,44 +36,54 @@ P_ENDS = BLOCK - {"body", "html"}
 
 
 class Node:
-    __slots__ = ("own", "parent", "path", "skip", "tag", "text", "linked", "paras")
+    """An element: its part of the path, its depth in the path, and the element that holds its text."""
 
-    def __init__(self, tag, own, parent, path, skip):
-        self.tag, self.own, self.parent, self.path, self.skip = tag, own, parent, path, skip
+    __slots__ = ("own", "parent", "depth", "holder", "skip", "tag", "text", "linked", "paras")
+
+    def __init__(self, tag, own, parent, skip):
+        self.tag, self.own, self.parent, self.skip = tag, own, parent, skip
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.holder = self if parent is None or tag in HOLDERS else parent.holder
         self.text = self.linked = self.paras = 0
 
 
+def path_of(node: Node) -> str:
+    parts = []
+    while node.parent is not None:
+        parts.append(node.own)
+        node = node.parent
+    return ">".join(reversed(parts))
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
     """The containers in page order, and the pieces of text (nearest container, text or a break, in a link)."""
-    root = Node("html", "html", None, "", False)
+    root = Node("html", "html", None, False)
     nodes, out = [root], []
     stack: list[tuple[str, Node]] = [("html", root)]
-    links = 0
+    opened: Counter[str] = Counter()  # of the stack but its first: what isn't open needn't be searched for
     for m in TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
             s = m[0]
             if m[1] is None and (s[0] != "<" or s == "<"):
-                out.append((stack[-1][1], s, links > 0))
+                out.append((stack[-1][1], s, opened["a"] > 0))
             continue
         tag = tag.lower()
         if m[2]:
-            if any(t == tag for t, _ in stack[1:]):
+            if opened[tag]:
                 while stack[-1][0] != tag:
-                    if stack.pop()[0] == "a":
-                        links -= 1
-                stack.pop()
-                links -= tag == "a"
+                    opened[stack.pop()[0]] -= 1
+                opened[stack.pop()[0]] -= 1
             if tag in BLOCK:
                 out.append((stack[-1][1], "\n", False))
             continue
         if tag in P_ENDS:
             ends = CLOSES.get(tag, CLOSES["p"])
             stop = STOPS.get(tag, frozenset())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
                 t = stack[i][0]
                 if t in ends:
-                    links -= sum(x[0] == "a" for x in stack[i:])
+                    opened.subtract(x[0] for x in stack[i:])
                     del stack[i:]
                 elif t in stop or t in HOLDERS or t in FURNITURE:
                     break
@@ -81,19 +92,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
             out.append((up, " " if tag == "br" else "\n", False))
         if tag in VOID or m[4].rstrip().endswith("/"):
             continue
-        if tag == "a":
-            links += 1
         node = up
         if tag in BLOCK or tag in FURNITURE:
             attrs = {k.lower(): v.strip("\"'") for k, v in ATTRS.findall(m[4])} if m[4] else {}
             named = attrs.get("class", "")
-            inside = any(t in ("article", "main") for t, _ in stack)
+            inside = opened["article"] + opened["main"] > 0
             furniture = (tag in FURNITURE and not (tag == "header" and inside)) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""))
             furniture = furniture or (tag not in ("body", "html", "article", "main") and bool(NAMES.search(named) or NAMES.search(attrs.get("id", ""))))
-            own = DIGITS.sub("", tag + "".join(f".{c}" for c in sorted(named.lower().split()))) if tag not in ("h1", "h2", "h3", "h4", "h5", "h6") else tag
-            node = Node(tag, own, up, f"{up.path}>{own}" if up.path else own, up.skip or bool(furniture))
+            own = DIGITS.sub("", tag + "".join(f".{c}" for c in sorted(named.lower().replace(">", "").split()))) if tag not in ("h1", "h2", "h3", "h4", "h5", "h6") else tag
+            node = Node(tag, own, up, up.skip or bool(furniture))
             nodes.append(node)
         stack.append((tag, node))
+        opened[tag] += 1
     return nodes, out
 
 
@@ -103,9 +113,7 @@ def best_path(nodes: list[Node], out: list[tuple[Node, str, bool]]) -> tuple[str
     for node, s, linked in out:
         n = len(s.strip())
         if n and not node.skip:
-            holder = node
-            while holder.parent is not None and holder.tag not in HOLDERS:
-                holder = holder.parent
+            holder = node.holder
             holder.linked += n * linked
             holder.text += n * (not linked)
             holder.paras += node is not holder and n > 40
@@ -119,16 +127,23 @@ def best_path(nodes: list[Node], out: list[tuple[Node, str, bool]]) -> tuple[str
         if node.parent is not None and not node.skip:
             total[id(node.parent)] = total.get(id(node.parent), 0.0) + got * (1.0 if node.tag not in HOLDERS else 0.67)
     bonus = {"article": 1.5, "main": 1.3, "body": 0.9}
-    ranked = [(total[id(n)] * bonus.get(n.tag, 1.0), n.path) for n in nodes if n.tag in HOLDERS and not n.skip]
-    score, path = max(ranked, key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0.0, ""))
-    return (path, score) if score > 0 else ("", 0.0)
+    ranked = [(total[id(n)] * bonus.get(n.tag, 1.0), n) for n in nodes if n.tag in HOLDERS and not n.skip]
+    score = max((s for s, _ in ranked), default=0.0)
+    if score <= 0:
+        return "", 0.0
+    return max({path_of(n) for s, n in ranked if s == score}, key=lambda p: [-ord(c) for c in p]), score
 
 
 def text_on(nodes: list[Node], out: list[tuple[Node, str, bool]], path: str) -> str:
     """The blocks of the elements on path, without furniture; of the whole page for ''."""
-    inside = {}
+    inside, parts = {}, path.split(">") if path else []
+    along = {id(nodes[0]): True} if nodes else {}  # the path leads through the node
     for node in nodes:  # parents come first
-        inside[id(node)] = not node.skip and (node.path == path or not path or (node.parent is not None and inside[id(node.parent)]))
+        up = node.parent
+        if up is not None:
+            along[id(node)] = along[id(up)] and node.depth <= len(parts) and node.own == parts[node.depth - 1]
+        here = along[id(node)] and node.depth == len(parts)
+        inside[id(node)] = not node.skip and (here or not path or (up is not None and inside[id(up)]))
     blocks, now = [], []
     last = None
     for node, s, _ in out:
