@@ -59,8 +59,8 @@ def pipeline(kind: str, columns: list[str] = FEATURES) -> Pipeline:
         depth, rounds, step = trees[kind]
         return Pipeline(stages=[*gather, GBTClassifier(maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=0.7 if kind == "gbt_sampled" else 1.0, weightCol="weight", seed=42)])
     last = {
-        "forest": RandomForestClassifier(numTrees=60, maxDepth=10, weightCol="weight", seed=42),
-        "perceptron": MultilayerPerceptronClassifier(layers=[len(columns), 64, 32, 2], maxIter=60, seed=42),
+        "forest": RandomForestClassifier(numTrees=300, maxDepth=14, weightCol="weight", seed=42),
+        "perceptron": MultilayerPerceptronClassifier(layers=[len(columns), 256, 128, 64, 2], maxIter=60, seed=42),
         "logistic": LogisticRegression(weightCol="weight", regParam=0.01),
     }
     return Pipeline(stages=[*gather, last[kind]])

@@ -52,12 +52,17 @@ def fraud_neighbors(df: DataFrame) -> DataFrame:
 
 
 def clustering(df: DataFrame) -> DataFrame:
-    """2 T / (d (d - 1)) of the cards with edges; triangles are found once, from their smallest card."""
-    e = graph_edges(df).select("src", "dst")
-    tri = e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("x"), F.col("a.dst").alias("y"), F.col("b.dst").alias("z"))
-    tri = tri.join(e.select(F.col("src").alias("x"), F.col("dst").alias("z")), ["x", "z"])
-    t = tri.select(F.explode(F.array("x", "y", "z")).alias("card1")).groupBy("card1").agg(F.count("*").alias("t"))
+    """2 T / (d (d - 1)) of the cards with edges. Each edge leads from its card of lesser degree (ties: lesser card) to the other, and
+    triangles are found once, from their least card, so a hub starts few wedges."""
+    e = written(graph_edges(df).select("src", "dst"), "card-edges")
     d = both_ways(e).groupBy(F.col("src").alias("card1")).agg(F.count("*").alias("d"))
+    both = e.join(d.select(F.col("card1").alias("src"), F.col("d").alias("ds")), "src").join(d.select(F.col("card1").alias("dst"), F.col("d").alias("dd")), "dst")
+    low, high = F.struct(F.col("ds").alias("d"), F.col("src").alias("c")), F.struct(F.col("dd").alias("d"), F.col("dst").alias("c"))
+    up = written(both.select(F.least(low, high)["c"].alias("src"), F.greatest(low, high)["c"].alias("dst")), "card-edges")
+    wedge = up.join(up.select("src", F.col("dst").alias("other")), "src").where("dst < other")
+    closed = up.select(F.least("src", "dst").alias("dst"), F.greatest("src", "dst").alias("other"))
+    tri = wedge.join(closed, ["dst", "other"])
+    t = tri.select(F.explode(F.array("src", "dst", "other")).alias("card1")).groupBy("card1").agg(F.count("*").alias("t"))
     return d.join(t, "card1", "left").select("card1", F.coalesce(F.try_divide(2 * F.coalesce("t", F.lit(0)), F.col("d") * (F.col("d") - 1)), F.lit(0.0)).alias("clustering"))
 
 
