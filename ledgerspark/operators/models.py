@@ -78,6 +78,14 @@ def trained(df: DataFrame, kind: str) -> DataFrame:
     return with_proba(model, data.where("is_test = 1"))
 
 
+def round_trip(df: DataFrame, kind: str = "logistic") -> DataFrame:
+    """TransactionID, proba of a fitted pipeline, and same: whether its saved and loaded copy gives that too."""
+    data = written(prepared(df), "round-trip")
+    model = pipeline(kind).fit(data)
+    both = with_proba(persisted(model, new_path(df.sparkSession, "model")), with_proba(model, data), "again")
+    return both.select(ID, "proba", (F.abs(F.col("proba") - F.col("again")) < 1e-12).cast("int").alias("same"))
+
+
 def auc_of(df: DataFrame, score: str) -> float:
     return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol="label", numBins=0).evaluate(df)
 

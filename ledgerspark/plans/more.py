@@ -42,6 +42,7 @@ WHY = "coalesce(nullif(concat_ws(' | ', " + ", ".join(f"CASE WHEN {c} THEN {t} E
 AUTHS = "CASE risk_category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.AUTH.items()) + " END"
 RISK = f"SELECT *, {AUTHS} AS auth_recommendation FROM (SELECT *, {TIER} AS risk_category, {WHY} AS explanation FROM (SELECT *, least(greatest(raw/CASE WHEN max(raw) OVER ()>0 THEN max(raw) OVER () ELSE 1.0 END*100,0.0),100.0) AS risk_score FROM (SELECT *, {WEIGHED} AS raw FROM ({FEAT}))))"
 op("risk_score", [f.all_features, d.scored], "risk_score:4 risk_category auth_recommendation explanation", RISK)
+op("sink_scored", [f.all_features, d.scored, lambda t: store.sink_scored(t, store.new_path(t.sparkSession, "scored"))], "risk_score:4 risk_category", RISK)
 op("tier_distribution", [f.all_features, d.scored, d.tier_distribution], "risk_category n:i pct:6", f"SELECT risk_category, count(*) AS n, 100.0*count(*)/(SELECT count(*) FROM t) AS pct FROM ({RISK}) GROUP BY 1", key="")
 
 

@@ -144,6 +144,7 @@ for kind, name in (("gbt", "train_gbt"), ("gbt_shallow", "train_gbt_shallow"), (
     op(name, [*PREPARED, lambda t, kind=kind: m.trained(t, kind)], "proba:6", None)
 op("isolation_forest", [*PREPARED, m.isolation_forest], "iso_score:6", None)
 op("oof_stacking", [*PREPARED, m.oof_stacking], "p_gbt:6 p_gbt_sampled:6 p_perceptron:6 p_isolation:6 proba:6", None)
+op("persist_pipeline", [*PREPARED, m.round_trip], "proba:6 same:i", None)
 op("tune_params", [*PREPARED, m.tuned], "max_depth:i step_size:4 subsampling:4 auc:6", None, key="")
 op("select_features", [*PREPARED, m.selected_features], "feature importance:6 kept:i", None, key="")
 op("avg_importance", [*PREPARED, m.importances], "feature importance:6", None, key="")
@@ -153,7 +154,6 @@ op("pca_v", [lambda t: m.pca_v(t, [f"V{j}" for j in range(1, 9)])], " ".join(f"p
 op("pca_anomaly", [*PREPARED, m.pca_anomaly], "error:6 threshold:6 score:6 is_anomaly:i", None)
 op("isotonic_calibration", [lambda t: m.isotonic_calibration(t, F.expr(CAL))], "proba:6 calibrated:6", None)
 op("brier", [lambda t: m.isotonic_calibration(t, F.expr(CAL)), m.brier], "brier_before:6 brier_after:6", None, key="")
-op("sink_scored", [f.all_features, d.scored, lambda t: store.sink_scored(t, store.new_path(t.sparkSession, "scored"))], "risk_score:4 risk_category", None)
 op("sink_json_report", [d.confusion, lambda t: store.sink_json_report(t, store.new_path(t.sparkSession, "report"))], "tp:i fp:i fn:i tn:i precision:6 recall:6 f1:6", CM, key="")
 
 REGISTERED["stream_running_totals"] = (lambda s, p: streams.drained(streams.running_totals(streams.event_stream(s, p)), "complete"), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
