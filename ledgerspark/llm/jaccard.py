@@ -276,16 +276,36 @@ def linked(pairs: DataFrame, segs: DataFrame, size: DataFrame) -> DataFrame:
     return both.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b")
 
 
-def between_components(groups: DataFrame, labels: DataFrame) -> DataFrame:
+def sketches(size: DataFrame) -> DataFrame:
+    """c, s0 to s31: each class's bitmap in 2,048 bits (a larger one folded), as longs that an expression can count."""
+    names = [f"s{i}" for i in range(32)]
+
+    def rows(batches):
+        for b in batches:
+            x = [np.bitwise_or.reduce(np.frombuffer(z.as_buffer(), np.int64).reshape(-1, 32), 0) for z in b.column(1)]
+            x = np.stack(x) if x else np.zeros((0, 32), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(v)) for v in x.T)], ["c", *names])
+
+    return size.select("c", "bits").mapInArrow(rows, "c long, " + ", ".join(f"{n} long" for n in names))
+
+
+def between_components(groups: DataFrame, labels: DataFrame, size: DataFrame) -> DataFrame:
     """a, b: the possible pairs of a large group whose classes are in different components. Those outside the hub's
-    component are the query set; a pair's sizes are in the same or neighbouring steps of 4 : 3."""
+    component are the query set; a pair's sizes are in the same or neighbouring steps of 4 : 3. Bitmaps are compared
+    inside the join, so it gives rows only for pairs that they let pass, about as many as link."""
     of = labels.withColumnRenamed("node", "a")
     hubs = labels.select(F.col("node").alias("b"), F.col("label").alias("home"))
     step = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))
     left = groups.join(of, "a", "left").join(hubs, "b", "left").select("token", "a", "n", "rest", F.coalesce("label", "a").alias("label"), F.coalesce("home", "b").alias("home"), step.alias("step"))
     left = written(left, "near-left")
     asked = left.where("label <> home").select("token", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("label").alias("label2"), F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))).alias("step"))
-    possible = f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2) AND {100 + PERCENT} * least(rest, rest2) >= {PERCENT} * (n + n2)"
+    left = left.join(asked.select("token", "step").distinct(), ["token", "step"], "left_semi")  # groups that are asked
+    bits = written(sketches(size.join(left.select(F.col("a").alias("c")).distinct(), "c", "left_semi")), "near-sketches")
+    left = left.join(bits.withColumnRenamed("c", "a"), "a")
+    asked = asked.join(bits.withColumnsRenamed({"c": "a2"} | {f"s{i}": f"t{i}" for i in range(32)}), "a2")
+    lacks = lambda x, y: " + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in range(32))
+    most = f"least(n - ({lacks('s', 't')}), n2 - ({lacks('t', 's')}))"
+    possible = f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2) AND {100 + PERCENT} * least(rest, rest2) >= {PERCENT} * (n + n2) AND {100 + PERCENT} * {most} >= {PERCENT} * (n + n2)"
     return left.join(asked, ["token", "step"]).where(f"label <> label2 AND {possible}").select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct()
 
 
@@ -314,7 +334,7 @@ def near_duplicates(documents: DataFrame, keyed: bool = False) -> DataFrame:
     links = verified(tried)
     labels = components(links)
     groups = found.where("kind = 1").select("token", "a", "b", "n", "rest").unionByName(huge.select("token", "a", "b", "n", "rest"))
-    more = written(between_components(groups, labels).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    more = written(between_components(groups, labels, size).join(tried, ["a", "b"], "left_anti"), "near-pairs")
     if more.head(1):
         labels = components(links.unionByName(verified(more)))
     named = docs.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))

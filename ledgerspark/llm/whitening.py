@@ -12,10 +12,10 @@ matrix gives the components to double precision; one more measures the covarianc
 Every partition holds one dims x dims matrix; the driver gets one such matrix and the sums, whatever the rows.
 
 Defined cases: rows with a null vector or a null, NaN or infinite entry are left out; short vectors count as filled with
-zeros; a null vec_id is a row like any other; repeated rows each have their results and count once in the fit; a
-component without variance (also with fewer than two distinct vectors) has whitened and explained 0 and is left out of
-identity_error; vectors without any entry have no components, so no rows; deviation is null where it does not fit a long; with no rows left there are no
-results. Extra columns are ignored.
+zeros; an entry beyond a long stops at its ends; a null vec_id is a row like any other; repeated rows each have their
+results and count once in the fit; a component without variance (also with fewer than two distinct vectors) has
+whitened and explained 0 and is left out of identity_error; vectors without any entry have no components, so no rows;
+deviation is null where it does not fit a long; with no rows left there are no results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -224,7 +224,7 @@ def integers(rows: DataFrame, dims: int, *keep: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = matrix(b.column(len(keep)), dims).astype(np.int64)
+            x = np.clip(matrix(b.column(len(keep)), dims), -(2.0**63), np.nextafter(2.0**63, 0)).astype(np.int64)  # as a cast to long does
             arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dims), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], arrays], [*keep, "x"])
 

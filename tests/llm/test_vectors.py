@@ -85,6 +85,8 @@ def test_deviation_beyond_a_long(spark):
     total = sum(xs.values())
     want = {i: (3 * x - total) ** 2 for i, x in xs.items()}
     assert got == {i: v if v < 2**63 else None for i, v in want.items()}
+    ends = [r["deviation"] for r in whitening.whiten(hard(spark, [(1, [1e300], 1), (2, [-1e300], 1), (3, [0.0], 1)])).collect()]
+    assert len(ends) == 3 and sum(d is None for d in ends) == 2
 
 
 def test_updates_equal_the_decomposition():
