@@ -134,7 +134,10 @@ def test_registered_sql(spark):
         compare(spark, name, entries.QUERIES[name], sql, "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(entries.QUERIES) if n not in entries.SQL])
+BY_VECTOR = ("op11_whitening", "op13_hard_negatives")  # their rows are compared in test_vectors.py
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(entries.QUERIES) if n not in entries.SQL and n not in BY_VECTOR])
 def test_entries_return_a_row_a_document(spark, name):
     sf = "/root/testdata/sf0.001"
     got = entries.QUERIES[name](spark, sf)
