@@ -5,12 +5,14 @@ A chunk is a run of bytes outside ASCII white space. The normaliser and the pre-
 never join across white space, so a text's tokens are the sum over its chunks. Tier one is a broadcast table of
 frequent chunks and their token counts, at most TABLE entries. Tier two encodes misses and keeps their counts in
 a cache of the worker, at most CACHE entries of at most LONG bytes; longer chunks are encoded where they occur. Every count is exact; the tables only save time.
+A task encodes on its own thread: its misses come a few at a time, and a pool of threads costs more than their encoding.
 
 Defined cases: null or empty text has 0 bytes and 0 tokens; repeated rows and null ids are each counted; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import numpy as np
@@ -53,6 +55,12 @@ def opened(path: str):
     return tok
 
 
+def counted(tok, chunks: list[bytes]) -> dict[bytes, int]:
+    """Token counts of chunks, for calls inside tasks: without the library's threads in this process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the library reads it at each call
+    return {c: len(e.ids) for c, e in zip(chunks, tok.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False))}
+
+
 _caches: dict[str, dict[bytes, int]] = {}
 
 
@@ -87,7 +95,7 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, table:
                         if len(cache) + len(new) > CACHE:
                             cache.clear()
                             new = list(dict.fromkeys(miss))
-                        fresh = {c: len(e.ids) for c, e in zip(new, tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False))}
+                        fresh = counted(tok, new)
                         cache.update((c, n) for c, n in fresh.items() if len(c) <= LONG)
                     else:
                         fresh = cache
