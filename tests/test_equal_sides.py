@@ -1,6 +1,7 @@
 """Comparisons whose sides are equal in exact arithmetic, where sums of doubles depend on the order of rows."""
 
 import random
+from decimal import Decimal
 
 from ledgerspark.operators import features as f
 
@@ -21,3 +22,21 @@ def test_amount_spike_of_equal_sides(spark):
     assert set(got.columns) >= {"uid_amount_spike", "uid_sum_24h"} and not [c for c in got.columns if c.startswith("_")]
     found = got.collect()
     assert len(found) == len(rows) and {r["card1"] for r in found if r["uid_amount_spike"]} == {99}
+
+
+def test_means_of_any_order(spark):
+    """Means of card and of card and month are those of exact sums, in any order of rows; very small, great and null amounts too."""
+    draw = random.Random(2)
+    amounts = {card: [draw.randrange(1, 9999) / 10 for _ in range(7)] for card in range(60)}
+    rows = [(7 * card + i, card, 1, 100 * i, a) for card, of in amounts.items() for i, a in enumerate(of)]
+    rows += [(900, 99, 1, 0, 1e-12), (901, 99, 1, 1, 3e-12), (910, 98, 1, 0, None), (911, 97, 1, 0, 1e300)]
+    draw.shuffle(rows)
+    df = f.time_features(spark.createDataFrame(rows, COLUMNS).repartition(5))
+    got = {r["TransactionID"]: r for r in f.behavioral_profile(f.seasonal_baseline(df.withColumn("ProductCD", df.card1))).collect()}
+    assert len(got) == len(rows)
+    for card, of in amounts.items():
+        mean = float(sum(Decimal(str(a)) for a in of)) / 7
+        for i, a in enumerate(of):
+            r = got[7 * card + i]
+            assert (r["user_avg_amt"], r["seasonal_avg"], r["amt_vs_seasonal"]) == (mean, mean, a / mean)
+    assert got[900]["user_avg_amt"] == 2e-12 and got[910]["user_avg_amt"] is None and got[911]["seasonal_avg"] == 1e300
